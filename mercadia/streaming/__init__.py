@@ -1,0 +1,7 @@
+"""Streaming.
+
+The marketplace workload is batch only: every source is a full file load that
+is gated and then overwritten (see ``mercadia.sources``). There is no stream,
+watermark or stateful operator to express, so this package is intentionally
+empty; it is kept so the layout matches the other packages.
+"""
