@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mercadia.plans import logistics
+from mercadia.plans import financial, logistics, supplier
+from mercadia.plans.thresholds import FinancialTiers, SupplierTiers
 from mercadia.sources import testdata
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -70,3 +71,103 @@ def _state_metrics(spark, sf_dir):
 @register("logistics_regional")
 def _logistics_regional(spark, sf_dir):
     return logistics.logistics_regional(tables(spark, sf_dir))
+
+
+def _cols(fn, *cols):
+    return lambda spark, sf_dir: fn(spark, sf_dir).select(*cols)
+
+
+register("state_lead_time_rank")(_cols(_logistics_regional, "customer_state",
+                                       "avg_lead_time_days", "lead_time_rank"))
+register("state_rank_in_region")(_cols(_logistics_regional, "customer_state", "region",
+                                       "avg_lead_time_days", "lead_time_rank_in_region"))
+
+# --- supplier performance ----------------------------------------------------------
+
+TUNED_SUPPLIER = SupplierTiers(gold_score=3.03, gold_on_time=0.67,
+                               regular_score=2.97, regular_on_time=0.66)
+
+
+@register("flt_status_not_in")
+def _flt_status_not_in(spark, sf_dir):
+    o = tables(spark, sf_dir).orders
+    return (o.where(~F.col("order_status").isin(*supplier.DEFAULT_EXCLUDED))
+            .select("order_id", "order_status"))
+
+
+@register("join_items_orders")
+def _join_items_orders(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    return (t.items.join(t.orders, "order_id")
+            .select("order_id", "order_item_id", "seller_id", "order_status", "price"))
+
+
+@register("seller_orders")
+def _seller_orders(spark, sf_dir):
+    return supplier.seller_orders(tables(spark, sf_dir))
+
+
+@register("seller_revenue")
+def _seller_revenue(spark, sf_dir):
+    return supplier.seller_revenue(tables(spark, sf_dir))
+
+
+@register("seller_reviews")
+def _seller_reviews(spark, sf_dir):
+    return supplier.seller_reviews(tables(spark, sf_dir))
+
+
+@register("seller_sla")
+def _seller_sla(spark, sf_dir):
+    return supplier.seller_sla(tables(spark, sf_dir))
+
+
+@register("supplier_performance")
+def _supplier_performance(spark, sf_dir):
+    return supplier.supplier_performance(tables(spark, sf_dir))
+
+
+@register("supplier_performance_tuned")
+def _supplier_performance_tuned(spark, sf_dir):
+    return supplier.supplier_performance(tables(spark, sf_dir), TUNED_SUPPLIER)
+
+
+register("supplier_quality_rank")(_cols(_supplier_performance, "seller_id", "avg_review_score",
+                                        "on_time_rate", "quality_rank"))
+register("supplier_rank_in_state")(_cols(_supplier_performance, "seller_id", "seller_state",
+                                         "avg_review_score", "on_time_rate",
+                                         "quality_rank_in_state"))
+register("supplier_revenue_quartile")(_cols(_supplier_performance, "seller_id", "total_revenue",
+                                            "revenue_quartile"))
+
+# --- financial health --------------------------------------------------------------
+
+TUNED_FINANCIAL = FinancialTiers(high_risk=0.36, moderate_risk=0.34)
+
+
+@register("category_financials")
+def _category_financials(spark, sf_dir):
+    return financial.category_financials(tables(spark, sf_dir))
+
+
+@register("financial_health")
+def _financial_health(spark, sf_dir):
+    return financial.financial_health(tables(spark, sf_dir))
+
+
+@register("financial_health_tuned")
+def _financial_health_tuned(spark, sf_dir):
+    return financial.financial_health(tables(spark, sf_dir), TUNED_FINANCIAL)
+
+
+register("category_revenue_rank")(_cols(_financial_health, "category", "total_revenue",
+                                        "revenue_rank"))
+register("category_revenue_percentile")(_cols(_financial_health, "category", "total_revenue",
+                                              "revenue_percentile"))
+register("category_revenue_quartile")(_cols(_financial_health, "category", "total_revenue",
+                                            "revenue_quartile"))
+
+
+@register("top_categories")
+def _top_categories(spark, sf_dir):
+    return financial.top_categories(financial.financial_health(tables(spark, sf_dir)))
