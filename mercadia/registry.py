@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mercadia.plans import financial, logistics, supplier
+from mercadia.functions import expressions, measures
+from mercadia.plans import financial, logistics, star, supplier
 from mercadia.plans.thresholds import FinancialTiers, SupplierTiers
 from mercadia.sources import testdata
 
@@ -171,3 +172,75 @@ register("category_revenue_quartile")(_cols(_financial_health, "category", "tota
 @register("top_categories")
 def _top_categories(spark, sf_dir):
     return financial.top_categories(financial.financial_health(tables(spark, sf_dir)))
+
+# --- scalar expressions -------------------------------------------------------------
+
+
+@register("date_key_and_parts")
+def _date_key_and_parts(spark, sf_dir):
+    o = tables(spark, sf_dir).orders
+    ts = F.col("order_purchase_timestamp")
+    return o.select(
+        "order_id", expressions.date_key(ts).alias("date_key"),
+        F.year(ts).alias("year"), F.quarter(ts).alias("quarter"), F.month(ts).alias("month"),
+        F.date_format(ts, "MMMM").alias("month_name"), F.dayofmonth(ts).alias("day_of_month"),
+        F.date_format(ts, "EEEE").alias("day_name"), F.dayofweek(ts).alias("day_of_week"),
+        F.date_add(F.to_date(ts), 30).alias("plus_30_days"))
+
+
+@register("state_region")
+def _state_region(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    return expressions.with_region(t.customers.select("customer_id", "customer_state"),
+                                   "customer_state", t.region_lookup)
+
+
+@register("delivery_flags")
+def _delivery_flags(spark, sf_dir):
+    o = tables(spark, sf_dir).orders
+    return o.select(
+        "order_id", expressions.on_time_flag().alias("is_on_time"),
+        expressions.late_flag().alias("is_late"),
+        expressions.cancelled_flag().alias("is_cancelled"),
+        expressions.days_between("order_delivered_customer_date", "order_purchase_timestamp")
+        .alias("lead_time_days"),
+        expressions.days_between("order_delivered_customer_date",
+                                 "order_estimated_delivery_date").alias("delay_days"))
+
+
+# --- star schema ---------------------------------------------------------------------
+
+def _star(spark, sf_dir):
+    return star.build_star(tables(spark, sf_dir))
+
+
+for _name in star.Star.NAMES:
+    register(_name)((lambda n: lambda spark, sf_dir: getattr(_star(spark, sf_dir), n))(_name))
+
+
+@register("order_min_seller")
+def _order_min_seller(spark, sf_dir):
+    return star.order_min_seller(tables(spark, sf_dir).items)
+
+
+@register("union_states")
+def _union_states(spark, sf_dir):
+    return star.all_states(tables(spark, sf_dir))
+
+
+# --- measures ---------------------------------------------------------------------------
+
+def _measures(names, by=()):
+    return lambda spark, sf_dir: measures.measures(_star(spark, sf_dir), names, by)
+
+
+M = measures
+register("measures_financial")(_measures(M.FINANCIAL))
+register("measures_logistics")(_measures(M.LOGISTICS))
+register("measures_quality")(_measures(M.QUALITY))
+register("measures_sellers")(_measures(M.SELLERS))
+register("measures_by_year")(_measures(M.FINANCIAL + M.LOGISTICS + M.QUALITY, ["year"]))
+register("measures_by_region")(_measures(M.FINANCIAL + M.LOGISTICS, ["customer_region"]))
+register("measures_by_category")(_measures(M.FINANCIAL + M.LOGISTICS, ["category"]))
+register("measures_by_seller_segment")(_measures(
+    M.FINANCIAL + M.LOGISTICS + M.QUALITY + M.SELLERS, ["segment_tier"]))
