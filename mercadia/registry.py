@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mercadia.functions import expressions, measures
-from mercadia.plans import financial, logistics, star, supplier
+from mercadia.operators import gates, quality
+from mercadia.plans import financial, logistics, reports, star, supplier
 from mercadia.plans.thresholds import FinancialTiers, SupplierTiers
-from mercadia.sources import testdata
+from mercadia.sources import schemas, testdata
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -244,3 +245,162 @@ register("measures_by_region")(_measures(M.FINANCIAL + M.LOGISTICS, ["customer_r
 register("measures_by_category")(_measures(M.FINANCIAL + M.LOGISTICS, ["category"]))
 register("measures_by_seller_segment")(_measures(
     M.FINANCIAL + M.LOGISTICS + M.QUALITY + M.SELLERS, ["segment_tier"]))
+
+# --- load gates ---------------------------------------------------------------------
+# The driver tables have no bad rows, so these fixtures make some by arithmetic
+# (FIXTURES.md): every row of the child table is still processed.
+
+LINE_KEY = ["l_orderkey", "l_linenumber"]
+LINE_ORDER = ["l_partkey", "l_suppkey", "l_shipdate", "l_quantity", "l_extendedprice",
+              "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
+
+
+def _pk(spark, sf_dir):
+    return gates.pk_gate(testdata.read(spark, sf_dir, "lineitem"), LINE_KEY, LINE_ORDER)
+
+
+@register("gate_pk_first_wins")
+def _gate_pk_first_wins(spark, sf_dir):
+    return _pk(spark, sf_dir)[0]
+
+
+@register("gate_pk_rejects")
+def _gate_pk_rejects(spark, sf_dir):
+    return _pk(spark, sf_dir)[1]
+
+
+def _orders_with_gaps(spark, sf_dir):
+    """Parent fixture: every tenth order removed, so their lines become orphans."""
+    return testdata.read(spark, sf_dir, "orders").where(F.col("o_orderkey") % 10 != 0)
+
+
+def _fk(spark, sf_dir):
+    return gates.fk_gate(testdata.read(spark, sf_dir, "lineitem"),
+                         _orders_with_gaps(spark, sf_dir), [("l_orderkey", "o_orderkey")])
+
+
+@register("gate_fk_keep")
+def _gate_fk_keep(spark, sf_dir):
+    return _fk(spark, sf_dir)[0]
+
+
+@register("gate_fk_rejects")
+def _gate_fk_rejects(spark, sf_dir):
+    return _fk(spark, sf_dir)[1]
+
+
+@register("gate_domain_rejects")
+def _gate_domain_rejects(spark, sf_dir):
+    it = tables(spark, sf_dir).items
+    k = F.col("order_id")
+    bad = it.select(
+        "order_id", "order_item_id",
+        F.when(k % 103 == 0, F.lpad(F.col("seller_id").cast("string"), 33, "0"))
+        .otherwise(F.col("seller_id").cast("string")).alias("seller_id"),
+        F.when(k % 101 == 0, F.lit(None)).otherwise(F.col("price")).cast("decimal(10,2)")
+        .alias("price"),
+        "freight_value")
+    rules = gates.domain_rules(
+        [f for f in schemas.ORDER_ITEMS.fields if f.name in bad.columns],
+        {"seller_id": schemas.MAX_LENGTH["order_items"]["seller_id"]})
+    _, rejected = gates.domain_gate(bad, rules)
+    return rejected.select("order_id", "order_item_id", gates.REASON)
+
+
+@register("enrich_category")
+def _enrich_category(spark, sf_dir):
+    return testdata.products(spark, sf_dir).select(
+        "product_id", "product_category_name", "product_category_name_english")
+
+
+# --- data quality ---------------------------------------------------------------------
+
+@register("dq_row_counts")
+def _dq_row_counts(spark, sf_dir):
+    return quality.row_counts(tables(spark, sf_dir))
+
+
+@register("dq_products_no_category")
+def _dq_products_no_category(spark, sf_dir):
+    return quality.products_without_english_category(tables(spark, sf_dir).products)
+
+
+@register("dq_delivered_no_date")
+def _dq_delivered_no_date(spark, sf_dir):
+    return quality.delivered_missing_delivery_date(tables(spark, sf_dir).orders)
+
+
+@register("dq_invalid_price_freight")
+def _dq_invalid_price_freight(spark, sf_dir):
+    it = tables(spark, sf_dir).items
+    return quality.invalid_price_or_freight(it.withColumn("price", F.col("price") - 2000))
+
+
+@register("dq_invalid_scores")
+def _dq_invalid_scores(spark, sf_dir):
+    r = tables(spark, sf_dir).reviews
+    return quality.invalid_review_scores(r.withColumn("review_score", F.col("review_score") + 1))
+
+
+@register("dq_orphan_items")
+def _dq_orphan_items(spark, sf_dir):
+    it = tables(spark, sf_dir).items
+    parents = _orders_with_gaps(spark, sf_dir).select(F.col("o_orderkey").alias("order_id"))
+    return quality.orphan_order_items(it, parents)
+
+
+@register("dq_status_distribution")
+def _dq_status_distribution(spark, sf_dir):
+    return quality.status_distribution(tables(spark, sf_dir).orders)
+
+
+@register("dq_report")
+def _dq_report(spark, sf_dir):
+    return quality.quality_report(tables(spark, sf_dir))
+
+
+# --- validation and dashboard queries -----------------------------------------------
+
+@register("segment_summary")
+def _segment_summary(spark, sf_dir):
+    return reports.segment_summary(_supplier_performance_tuned(spark, sf_dir))
+
+
+@register("segment_share")
+def _segment_share(spark, sf_dir):
+    return reports.segment_share(_supplier_performance_tuned(spark, sf_dir))
+
+
+@register("risk_tier_summary")
+def _risk_tier_summary(spark, sf_dir):
+    return reports.risk_tier_summary(_logistics_regional(spark, sf_dir))
+
+
+@register("region_freight_ratio")
+def _region_freight_ratio(spark, sf_dir):
+    return reports.region_freight_ratio(_logistics_regional(spark, sf_dir))
+
+
+@register("health_tier_summary")
+def _health_tier_summary(spark, sf_dir):
+    return reports.health_tier_summary(_financial_health_tuned(spark, sf_dir))
+
+
+@register("dim_row_counts")
+def _dim_row_counts(spark, sf_dir):
+    return reports.dim_row_counts(_star(spark, sf_dir))
+
+
+@register("seller_segment_counts")
+def _seller_segment_counts(spark, sf_dir):
+    return reports.seller_segment_counts(_star(spark, sf_dir))
+
+
+@register("fact_row_counts")
+def _fact_row_counts(spark, sf_dir):
+    return reports.fact_row_counts(_star(spark, sf_dir))
+
+
+@register("overall_delay_rate")
+def _overall_delay_rate(spark, sf_dir):
+    return reports.overall_delay_rate(_star(spark, sf_dir))
