@@ -6,7 +6,8 @@ Quoted fields may span lines, which needs ``multiLine``: a multi-line file is
 read by one task, so large inputs should arrive as many files.
 
 Empty fields stay empty strings except in the columns listed in
-``schemas.BLANK_IS_NULL`` (numbers and dates), where they become NULL.
+``schemas.BLANK_IS_NULL`` (numbers and dates), where they become NULL. A CSV
+field cannot express NULL for the other text columns.
 Numbers and dates are converted with ``try_cast``; a value that does not parse
 becomes NULL and is caught by the NOT NULL rule of the domain gate when the
 column requires a value.
@@ -30,7 +31,6 @@ from mercadia.operators.gates import REASON, domain_gate, domain_rules, fk_gate,
 from mercadia.sources import schemas
 from mercadia.sources.enrich import enrich_category
 
-NEVER_NULL_TOKEN = "\u0000<null>\u0000"  # CSV text never means NULL by itself
 POS = "__pos"
 
 
@@ -41,7 +41,7 @@ def read_raw(spark: SparkSession, path: str | list[str], table: str) -> DataFram
     df = (spark.read.schema(schema)
           .option("header", True).option("multiLine", True)
           .option("quote", '"').option("escape", '"').option("encoding", "UTF-8")
-          .option("nullValue", NEVER_NULL_TOKEN).option("emptyValue", "")
+          .option("emptyValue", "")
           .option("mode", "PERMISSIVE")
           .csv(path))
     return df.withColumn(POS, F.struct(F.input_file_name().alias("file"),
@@ -59,6 +59,9 @@ def typed(raw: DataFrame, table: str) -> DataFrame:
         c = F.col(f.name)
         if f.name in blank_null:
             c = F.nullif(F.trim(c), F.lit(""))
+        elif isinstance(f.dataType, T.StringType):
+            # the CSV reader yields NULL for an empty unquoted field; text stays text
+            c = F.coalesce(c, F.lit(""))
         if not isinstance(f.dataType, T.StringType):
             c = c.try_cast(f.dataType)
         out.append(c.alias(f.name))
