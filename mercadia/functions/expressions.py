@@ -94,8 +94,12 @@ def ratio(num, den, digits: int, num_scale: int = 0) -> Column:
     return F.round(dec(num, num_scale) / F.nullif(col_(den), F.lit(0)), digits)
 
 
-def mean(c, digits: int | None = None, scale: int = 0) -> Column:
-    """Aggregate: exact mean of the non-NULL values (sum / count), optionally rounded."""
+def mean(c, digits: int | None = None, scale: int = 0, over=None) -> Column:
+    """Aggregate: exact mean of the non-NULL values (sum / count), optionally
+    rounded; with ``over`` (a window) the same as a window expression."""
     x = col_(c)
-    q = dec(F.sum(x), scale) / F.nullif(F.count(x), F.lit(0))
+    s, n = F.sum(x), F.count(x)
+    if over is not None:
+        s, n = s.over(over), n.over(over)
+    q = dec(s, scale) / F.nullif(n, F.lit(0))
     return q if digits is None else F.round(q, digits)

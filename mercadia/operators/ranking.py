@@ -82,7 +82,10 @@ def _struct_literal(values: T.Row, st: T.StructType) -> Column:
                       for v, f in zip(values, st.fields)])
 
 
-def _cut_points(keys: DataFrame, buckets: int | None, rows_per_bucket: int) -> list[T.Row]:
+def _cut_points(keys: DataFrame, buckets: int | None, rows_per_bucket: int,
+                max_rows: int | None = None) -> list[T.Row]:
+    if buckets is None and max_rows is not None and max_rows <= rows_per_bucket:
+        return []  # a known upper bound fits one bucket: no counting job needed
     n = keys.count()
     b = buckets or min(MAX_BUCKETS, max(1, math.ceil(n / rows_per_bucket)))
     if b <= 1 or n <= 1:
@@ -100,19 +103,15 @@ def _cut_points(keys: DataFrame, buckets: int | None, rows_per_bucket: int) -> l
     return cuts
 
 
-def bucketed_rank(df: DataFrame, order: OrderSpec, method: str, out: str,
-                  partition_by: Sequence[str] = (), unique: bool = False,
-                  buckets: int | None = None,
-                  rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
-    """Exact rank / dense_rank / row_number / percent_rank / ntile:N over big inputs.
+def rank_table(df: DataFrame, order: OrderSpec, method: str, out: str,
+               partition_by: Sequence[str] = (), unique: bool = False,
+               buckets: int | None = None, rows_per_bucket: int = ROWS_PER_BUCKET,
+               max_rows: int | None = None) -> DataFrame:
+    """The rank of every distinct ``partition_by + order`` key, as a table.
 
-    ``unique=True`` promises that ``partition_by + order`` columns identify a
-    row (needed for row_number and ntile to be deterministic); then the
-    distinct-key step and the join back are skipped. ``partition_by`` columns
-    should have a bounded domain (the offset table has one row per
-    partition and bucket). The call runs two small jobs (a count and a
-    sample) to fix the cut points; feed it a checkpointed input when the
-    upstream plan is expensive.
+    Returns ``(*partition_by, *order columns, out)``, one row per distinct key;
+    with ``unique=True`` (the key identifies a row) it returns the rows of
+    ``df`` with ``out`` added. See :func:`bucketed_rank` for the parameters.
     """
     kind, n_tiles = _method(method)
     part = list(partition_by)
@@ -123,7 +122,7 @@ def bucketed_rank(df: DataFrame, order: OrderSpec, method: str, out: str,
         kc = df.groupBy(*part, *keys).agg(F.count(F.lit(1)).alias("__n"))
     kc = kc.withColumn("__k", _key_struct(kc, order))
 
-    cuts = _cut_points(kc, buckets, rows_per_bucket)
+    cuts = _cut_points(kc, buckets, rows_per_bucket, max_rows)
     if cuts:
         st = kc.schema["__k"].dataType
         arr = F.array(*[_struct_literal(c, st) for c in cuts])
@@ -131,33 +130,32 @@ def bucketed_rank(df: DataFrame, order: OrderSpec, method: str, out: str,
     else:
         kc = kc.withColumn("__b", F.lit(0))
 
-    w = Window.partitionBy(*part, "__b").orderBy("__k")
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    kc = (kc.withColumn("__rows_lo", F.coalesce(F.sum("__n").over(before), F.lit(0)))
-          .withColumn("__keys_lo", F.row_number().over(w) - 1))
-
+    # per (partition, bucket) totals and their running offsets: a bounded table
     tot = kc.groupBy(*part, "__b").agg(F.sum("__n").alias("__rows"),
                                        F.count(F.lit(1)).alias("__keys"))
     wo = Window.partitionBy(*part).orderBy("__b")
     wo_before = wo.rowsBetween(Window.unboundedPreceding, -1)
-    tot = (tot.withColumn("__rows_off", F.coalesce(F.sum("__rows").over(wo_before), F.lit(0)))
-           .withColumn("__keys_off", F.coalesce(F.sum("__keys").over(wo_before), F.lit(0)))
-           .withColumn("__total", F.sum("__rows").over(Window.partitionBy(*part)))
-           .drop("__rows", "__keys"))
-    # bounded: one row per (partition value, bucket); partition values may be NULL
-    tot = tot.select(*[F.col(c).alias(f"__p{i}") for i, c in enumerate(part)],
-                     F.col("__b").alias("__pb"), "__rows_off", "__keys_off", "__total")
+    tot = tot.select(
+        *[F.col(c).alias(f"__p{i}") for i, c in enumerate(part)], F.col("__b").alias("__pb"),
+        F.coalesce(F.sum("__rows").over(wo_before), F.lit(0)).alias("__rows_off"),
+        F.coalesce(F.sum("__keys").over(wo_before), F.lit(0)).alias("__keys_off"),
+        F.sum("__rows").over(Window.partitionBy(*part)).alias("__total"))
+
+    # ranks inside each (partition, bucket)
+    w = Window.partitionBy(*part, "__b").orderBy("__k")
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    local = (kc.withColumn("__rows_lo", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+             .withColumn("__keys_lo", F.row_number().over(w) - 1))
+    # partition values may be NULL, hence the NULL-safe match
     cond = [F.col(c).eqNullSafe(F.col(f"__p{i}")) for i, c in enumerate(part)]
-    kc = (kc.join(F.broadcast(tot), cond + [F.col("__b") == F.col("__pb")])
+    kc = (local.join(F.broadcast(tot), cond + [F.col("__b") == F.col("__pb")])
           .drop(*[f"__p{i}" for i in range(len(part))], "__pb"))
 
     rank = F.col("__rows_off") + F.col("__rows_lo") + 1
-    if kind == "rank":
+    if kind in ("rank", "row_number"):
         val = rank
     elif kind == "dense_rank":
         val = F.col("__keys_off") + F.col("__keys_lo") + 1
-    elif kind == "row_number":
-        val = rank
     elif kind == "percent_rank":
         nn = F.col("__total")
         val = F.when(nn > 1, (rank - 1).cast("double") / (nn - 1)).otherwise(F.lit(0.0))
@@ -170,13 +168,40 @@ def bucketed_rank(df: DataFrame, order: OrderSpec, method: str, out: str,
             .otherwise(rem + F.floor((r - 1 - big) / q) + 1)
     if kind != "percent_rank":
         val = val.cast("bigint")
-    ranked = kc.withColumn(out, val)
+    cols = df.columns if unique else part + keys
+    return kc.select(*cols, val.alias(out))
+
+
+def join_ranks(df: DataFrame, table: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Attach a rank table to rows by its key columns (NULL-safe)."""
+    on = list(on)
+    t = table.select(*[F.col(c).alias(f"__j{i}") for i, c in enumerate(on)],
+                     *[c for c in table.columns if c not in on])
+    cond = [F.col(c).eqNullSafe(F.col(f"__j{i}")) for i, c in enumerate(on)]
+    return df.join(t, cond, "inner").drop(*[f"__j{i}" for i in range(len(on))])
+
+
+def bucketed_rank(df: DataFrame, order: OrderSpec, method: str, out: str,
+                  partition_by: Sequence[str] = (), unique: bool = False,
+                  buckets: int | None = None,
+                  rows_per_bucket: int = ROWS_PER_BUCKET,
+                  max_rows: int | None = None) -> DataFrame:
+    """Exact rank / dense_rank / row_number / percent_rank / ntile:N over big inputs.
+
+    ``unique=True`` promises that ``partition_by + order`` columns identify a
+    row (needed for row_number and ntile to be deterministic); then the
+    distinct-key step and the join back are skipped. ``partition_by`` columns
+    should have a bounded domain (the offset table has one row per
+    partition and bucket). The call runs two small jobs (a count and a
+    sample) to fix the cut points; feed it a checkpointed input when the
+    upstream plan is expensive. ``max_rows``, an upper bound on the input rows
+    the caller already knows, skips the count when it fits one bucket.
+    """
+    t = rank_table(df, order, method, out, partition_by, unique, buckets, rows_per_bucket,
+                   max_rows)
     if unique:
-        return ranked.drop("__n", "__k", "__b", "__rows_lo", "__keys_lo",
-                           "__rows_off", "__keys_off", "__total")
-    back = ranked.select(*[F.col(c).alias(f"__j{i}") for i, c in enumerate(part + keys)], out)
-    cond = [F.col(c).eqNullSafe(F.col(f"__j{i}")) for i, c in enumerate(part + keys)]
-    return df.join(back, cond, "inner").drop(*[f"__j{i}" for i in range(len(part + keys))])
+        return t
+    return join_ranks(df, t, list(partition_by) + [c for c, _ in order])
 
 
 def rank_over(df: DataFrame, order: OrderSpec, method: str, out: str,
@@ -187,11 +212,14 @@ def rank_over(df: DataFrame, order: OrderSpec, method: str, out: str,
     return bucketed_rank(df, order, method, out, partition_by, **kw)
 
 
-def with_overall_means(df: DataFrame, means: dict[str, tuple[str, int]]) -> DataFrame:
+def with_overall_means(df: DataFrame, means: dict[str, tuple[str, int | None]],
+                       bounded: bool = False) -> DataFrame:
     """``ROUND(AVG(col) OVER (), digits)`` for each ``out -> (col, digits)``.
 
-    A global aggregate is one row by construction; it is broadcast to every
-    row instead of moving all rows through a single-partition window.
+    For a domain-bounded input (``bounded=True``) this is the plain window over
+    all rows. Otherwise the global aggregate, one row by construction, is
+    broadcast to every row instead of moving all rows through a
+    single-partition window.
     """
     from mercadia.functions.expressions import mean
 
@@ -199,5 +227,9 @@ def with_overall_means(df: DataFrame, means: dict[str, tuple[str, int]]) -> Data
         dt = df.schema[c].dataType
         return dt.scale if isinstance(dt, T.DecimalType) else 0
 
+    if bounded:
+        w = Window.partitionBy()
+        return df.select("*", *[mean(c, d, scale(c), over=w).alias(o)
+                                for o, (c, d) in means.items()])
     one = df.agg(*[mean(c, d, scale(c)).alias(o) for o, (c, d) in means.items()])
     return df.crossJoin(F.broadcast(one))

@@ -83,7 +83,8 @@ def financial_health(t: Tables, tiers: FinancialTiers = FinancialTiers(),
     cf = window_rank(cf, [("total_revenue", False), ("category", True)], "ntile:4",
                      "revenue_quartile")
     cf = with_overall_means(cf, {"company_avg_ticket": ("avg_ticket", 2),
-                                 "company_avg_pct_revenue_at_risk": ("pct_revenue_at_risk", 4)})
+                                 "company_avg_pct_revenue_at_risk": ("pct_revenue_at_risk", 4)},
+                            bounded=True)
     return cf.withColumn("financial_health_tier", tiers.tier()).select(*COLUMNS)
 
 

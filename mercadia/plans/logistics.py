@@ -74,7 +74,7 @@ def logistics_regional(t: Tables, tiers: LogisticsTiers = LogisticsTiers()) -> D
     sm = with_overall_means(sm, {
         "national_avg_lead_time_days": ("avg_lead_time_days", 1),
         "national_avg_pct_delayed": ("pct_delayed", 4),
-        "__mean_lead": ("avg_lead_time_days", None)})
+        "__mean_lead": ("avg_lead_time_days", None)}, bounded=True)
     sm = (sm.withColumn("lead_time_vs_national_avg",
                         F.round(F.col("avg_lead_time_days") - F.col("__mean_lead"), 1))
           .withColumn("logistics_risk_tier", tiers.tier()))

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from mercadia.functions.expressions import on_time_flag, ratio
 from mercadia.model import Tables
-from mercadia.operators.ranking import bucketed_rank, with_overall_means
+from mercadia.operators.ranking import join_ranks, rank_table, with_overall_means
 from mercadia.plans.thresholds import SupplierTiers
 from mercadia.session import checkpoint_dir
 
@@ -130,16 +130,22 @@ def supplier_performance(t: Tables, tiers: SupplierTiers = SupplierTiers(),
         F.coalesce("avg_review_score", F.lit(0)).alias("avg_review_score"),
         "total_reviews",
         F.coalesce("on_time_rate", F.lit(0)).alias("on_time_rate"))
+    n = None
     if materialize:
         checkpoint_dir(sm.sparkSession)
         sm = sm.checkpoint(eager=True)
+        n = sm.count()  # reads the checkpoint; bounds every rank input below
     quality = [("avg_review_score", False), ("on_time_rate", False)]
-    sm = bucketed_rank(sm, quality, "dense_rank", "quality_rank", buckets=buckets)
-    sm = bucketed_rank(sm, quality, "dense_rank", "quality_rank_in_state",
-                       partition_by=["seller_state"], buckets=buckets)
+    kw = dict(buckets=buckets, max_rows=n)
+    # each rank is computed from the materialized metrics alone, then joined once
+    overall = rank_table(sm, quality, "dense_rank", "quality_rank", **kw)
+    in_state = rank_table(sm, quality, "dense_rank", "quality_rank_in_state",
+                          partition_by=["seller_state"], **kw)
     # NTILE ties are arbitrary in SQL; seller_id makes them deterministic
-    sm = bucketed_rank(sm, [("total_revenue", False), ("seller_id", True)], "ntile:4",
-                       "revenue_quartile", unique=True, buckets=buckets)
+    sm = rank_table(sm, [("total_revenue", False), ("seller_id", True)], "ntile:4",
+                    "revenue_quartile", unique=True, **kw)
+    keys = ["avg_review_score", "on_time_rate"]
+    sm = join_ranks(join_ranks(sm, overall, keys), in_state, ["seller_state"] + keys)
     sm = with_overall_means(sm, {"company_avg_review_score": ("avg_review_score", 2),
                                  "company_avg_on_time_rate": ("on_time_rate", 4)})
     return sm.withColumn("supplier_segment", tiers.segment()).select(*COLUMNS)
