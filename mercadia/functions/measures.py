@@ -78,22 +78,18 @@ def _q(num: Column, den: Column) -> Column:
     return dec(num, 2) / F.nullif(den, F.lit(0))
 
 
-def _dimension(star, dim: str) -> DataFrame:
+def _dimension(star, dim: str, need_region: bool) -> DataFrame:
     if dim == "date":
         return F.broadcast(star.dim_date)  # bounded: days of the calendar span
-    if dim == "customer":
-        return with_region(star.dim_customer, "state", _geo(star))
-    if dim == "seller":
-        return with_region(star.dim_seller, "state", _geo(star))
+    if dim in ("customer", "seller"):
+        d = star.dim_customer if dim == "customer" else star.dim_seller
+        # geography's region of a state is the bounded state -> region lookup
+        return with_region(d, "state", star.region_lookup) if need_region else d
     if dim == "product":
         return star.dim_product
     raise ValueError(dim)
 
 
-def _geo(star) -> DataFrame:
-    return star.dim_geography.select(F.col("state_key").alias("state"), "region")
-
-
 def _attach(star, rows: DataFrame, fact: str, attrs: Sequence[str]) -> DataFrame:
     """Join the dimensions that provide ``attrs`` onto fact-keyed rows."""
     by_dim: dict[str, list[Attribute]] = {}
@@ -102,7 +98,7 @@ def _attach(star, rows: DataFrame, fact: str, attrs: Sequence[str]) -> DataFrame
         by_dim.setdefault(at.dim, []).append(at)
     for dim, ats in by_dim.items():
         key, _ = FACT_KEYS[fact][dim]
-        d = _dimension(star, dim)
+        d = _dimension(star, dim, any(a.column == "region" for a in ats))
         dkey = {"date": "date_key", "customer": "customer_key", "seller": "seller_key",
                 "product": "product_key"}[dim]
         cols = [F.col(dkey).alias("__dk")] + [F.col(a.column).alias(a.name) for a in ats]
@@ -185,7 +181,7 @@ def _seller_measures(star, by: Sequence[str], where: Mapping[str, object]) -> Da
     """Dimension-level counts: fact filters do not reach them."""
     attrs = list(dict.fromkeys([*by, *where]))
     _check_reach("sellers", attrs)
-    s = with_region(star.dim_seller, "state", _geo(star))
+    s = _dimension(star, "seller", any(ATTRIBUTES[a].column == "region" for a in attrs))
     g = _filter(s.select(F.col("segment_tier").alias("__seg"),
                          *[F.col(ATTRIBUTES[a].column).alias(a) for a in attrs]), where)
     a = g.groupBy(*by).agg(

@@ -18,8 +18,9 @@ from mercadia.functions.expressions import (cancelled_flag, date_key, days_betwe
                                            late_flag, with_region)
 from mercadia.model import Tables
 from mercadia.plans.financial import UNKNOWN_CATEGORY
-from mercadia.plans.supplier import supplier_performance
+from mercadia.plans.supplier import supplier_segments
 from mercadia.plans.thresholds import SupplierTiers
+from mercadia.session import checkpoint_dir
 
 NO_FULFILLED_ORDERS = "No Fulfilled Orders"
 
@@ -64,8 +65,13 @@ def dim_customer(t: Tables) -> DataFrame:
 
 def dim_seller(t: Tables, supplier: DataFrame | None = None,
                tiers: SupplierTiers = SupplierTiers()) -> DataFrame:
-    sp = supplier if supplier is not None else supplier_performance(t, tiers)
-    seg = sp.select("seller_id", "supplier_segment")
+    """Sellers with the segment of the supplier mart, or 'No Fulfilled Orders'.
+
+    Pass the published mart as ``supplier`` to reuse it; otherwise only the
+    segment column is computed (no ranks are needed for it).
+    """
+    seg = (supplier.select("seller_id", "supplier_segment") if supplier is not None
+           else supplier_segments(t, tiers))
     return (t.sellers.join(seg, "seller_id", "left")
             .select(F.col("seller_id").alias("seller_key"),
                     F.col("seller_city").alias("city"), F.col("seller_state").alias("state"),
@@ -131,8 +137,10 @@ class Star:
              "fact_orders", "fact_reviews")
 
     def __init__(self, t: Tables, dates: DataFrame | None = None,
-                 tiers: SupplierTiers = SupplierTiers(), supplier: DataFrame | None = None):
+                 tiers: SupplierTiers = SupplierTiers(), supplier: DataFrame | None = None,
+                 materialize: bool = True):
         self._t, self._dates, self._tiers, self._supplier = t, dates, tiers, supplier
+        self._materialize = materialize
 
     @cached_property
     def dim_date(self) -> DataFrame:
@@ -144,7 +152,14 @@ class Star:
 
     @cached_property
     def dim_seller(self) -> DataFrame:
-        return dim_seller(self._t, self._supplier, self._tiers)
+        # read by every seller-sliced measure of all three facts: materialise it
+        # once in the shared checkpoint folder instead of recomputing the
+        # seller metrics from the item rows for each reader
+        d = dim_seller(self._t, self._supplier, self._tiers)
+        if self._materialize:
+            checkpoint_dir(d.sparkSession)
+            d = d.checkpoint(eager=True)
+        return d
 
     @cached_property
     def dim_product(self) -> DataFrame:
@@ -162,11 +177,15 @@ class Star:
     def fact_reviews(self) -> DataFrame:
         return fact_reviews(self._t)
 
+    @property
+    def region_lookup(self) -> DataFrame:
+        return self._t.region_lookup
+
     def as_dict(self) -> dict[str, DataFrame]:
         return {n: getattr(self, n) for n in self.NAMES}
 
 
 def build_star(t: Tables, dates: DataFrame | None = None,
                tiers: SupplierTiers = SupplierTiers(),
-               supplier: DataFrame | None = None) -> Star:
-    return Star(t, dates, tiers, supplier)
+               supplier: DataFrame | None = None, materialize: bool = True) -> Star:
+    return Star(t, dates, tiers, supplier, materialize)

@@ -118,18 +118,35 @@ COLUMNS = ["seller_id", "seller_city", "seller_state", "total_orders", "total_it
            "company_avg_review_score", "company_avg_on_time_rate", "supplier_segment"]
 
 
-def supplier_performance(t: Tables, tiers: SupplierTiers = SupplierTiers(),
-                         excluded: Sequence[str] = DEFAULT_EXCLUDED,
-                         materialize: bool = True, buckets: int | None = None) -> DataFrame:
+def ranked_sellers(t: Tables, excluded: Sequence[str] = DEFAULT_EXCLUDED) -> DataFrame:
+    """One row per seller with item rows: the metrics the mart ranks and tiers.
+
+    ``sellers LEFT JOIN metrics WHERE total_orders > 0`` is an inner join,
+    since metrics exist only for sellers with items. Missing review score or
+    SLA become 0, as published.
+    """
     m = seller_metrics(t, excluded)
     s = t.sellers.select("seller_id", "seller_city", "seller_state")
-    # sellers LEFT JOIN metrics WHERE total_orders > 0  ==  inner join
-    sm = s.join(m, "seller_id").select(
+    return s.join(m, "seller_id").select(
         "seller_id", "seller_city", "seller_state", "total_orders", "total_items_sold",
         "total_revenue", "avg_item_price",
         F.coalesce("avg_review_score", F.lit(0)).alias("avg_review_score"),
         "total_reviews",
         F.coalesce("on_time_rate", F.lit(0)).alias("on_time_rate"))
+
+
+def supplier_segments(t: Tables, tiers: SupplierTiers = SupplierTiers(),
+                      excluded: Sequence[str] = DEFAULT_EXCLUDED) -> DataFrame:
+    """``(seller_id, supplier_segment)``: the mart's segment column without its
+    ranks (a segment depends on score, SLA and orders only)."""
+    return ranked_sellers(t, excluded).select("seller_id",
+                                              tiers.segment().alias("supplier_segment"))
+
+
+def supplier_performance(t: Tables, tiers: SupplierTiers = SupplierTiers(),
+                         excluded: Sequence[str] = DEFAULT_EXCLUDED,
+                         materialize: bool = True, buckets: int | None = None) -> DataFrame:
+    sm = ranked_sellers(t, excluded)
     n = None
     if materialize:
         checkpoint_dir(sm.sparkSession)

@@ -22,8 +22,19 @@ STATUS_BY_REMAINDER = {0: "canceled", 1: "unavailable", 2: "shipped"}  # else 'd
 # --- end of fixed values
 
 
+_READS: dict[tuple[int, str], DataFrame] = {}
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """One parquet table. Memoised per session and path: opening a parquet
+    source infers its schema with a small job, and the mapping reads some
+    tables several times (a DataFrame is an immutable plan, so sharing it is
+    safe)."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    key = (id(spark), path)
+    if key not in _READS:
+        _READS[key] = spark.read.parquet(path)
+    return _READS[key]
 
 
 def _days_hours(days: Column, hours: Column) -> Column:
