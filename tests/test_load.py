@@ -146,3 +146,21 @@ def test_publish_is_idempotent(spark, scratch):
     paths = publish.write_tables(marketplace(spark).as_dict(), os.path.join(scratch, "base"))
     publish.write_tables(marketplace(spark).as_dict(), os.path.join(scratch, "base"))
     assert spark.read.parquet(paths["order_items"]).count() == 10
+
+
+def test_refresh_job(spark, scratch):
+    from mercadia import jobs
+    paths = {k: write(scratch, k, v) for k, v in CSV.items()}
+    tr = write(scratch, "translation", TRANSLATION)
+    out = os.path.join(scratch, "out")
+    written = jobs.refresh(spark, paths, tr, out)
+    again = jobs.refresh(spark, paths, tr, out)   # idempotent reload
+    assert written == again
+    assert spark.read.parquet(written["base/order_items"]).count() == 1
+    assert spark.read.parquet(written["rejects/order_items"]).count() == 3
+    assert spark.read.parquet(written["marts/supplier_performance"]).count() == 1
+    seg = spark.read.parquet(written["star/dim_seller"]).first()["segment_tier"]
+    assert seg == "Regular Operation"  # score 4, on time 1.0, one order
+    q = {r["check"]: r["violations"] for r in
+         spark.read.parquet(written["quality/quality_report"]).collect()}
+    assert q["orphan_order_items"] == 0
