@@ -37,3 +37,38 @@ class Tables:
             "order_payments": self.payments,
             "order_reviews": self.reviews,
         }
+
+
+class LazyTables:
+    """Same attributes as :class:`Tables`, each built on first access.
+
+    ``builders`` maps every field name of :class:`Tables` to a zero-argument
+    function returning the DataFrame; a query that reads three relations never
+    plans the other five.
+    """
+
+    FIELDS = ("customers", "sellers", "products", "orders", "items", "payments", "reviews",
+              "region_lookup")
+
+    def __init__(self, builders: dict):
+        missing = set(self.FIELDS) - set(builders)
+        if missing:
+            raise ValueError(f"missing builders: {sorted(missing)}")
+        self._builders = dict(builders)
+        self._built: dict[str, DataFrame] = {}
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name.startswith("_") or name not in self._builders:
+            raise AttributeError(name)
+        if name not in self._built:
+            self._built[name] = self._builders[name]()
+        return self._built[name]
+
+    def materialize(self) -> Tables:
+        return Tables(**{f: getattr(self, f) for f in self.FIELDS})
+
+    def with_(self, **changes) -> Tables:
+        return self.materialize().with_(**changes)
+
+    def as_dict(self) -> dict[str, DataFrame]:
+        return self.materialize().as_dict()

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mercadia.model import Tables
+from mercadia.model import LazyTables
 from mercadia.sources.enrich import enrich_category
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
@@ -161,10 +161,16 @@ def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
                     (created + _days_hours(k % 5, k % 24)).alias("review_answer_timestamp")))
 
 
-def load(spark: SparkSession, sf_dir: str) -> Tables:
-    """All domain relations for one scale-factor folder."""
-    return Tables(customers=customers(spark, sf_dir), sellers=sellers(spark, sf_dir),
-                  products=products(spark, sf_dir), orders=orders(spark, sf_dir),
-                  items=items(spark, sf_dir), payments=payments(spark, sf_dir),
-                  reviews=reviews(spark, sf_dir),
-                  region_lookup=region_lookup(spark, sf_dir))
+_LOADS: dict[tuple[int, str], LazyTables] = {}
+
+
+def load(spark: SparkSession, sf_dir: str) -> LazyTables:
+    """All domain relations for one scale-factor folder, planned on first use
+    and shared by every query of the session (plans are immutable)."""
+    key = (id(spark), sf_dir.rstrip("/"))
+    if key not in _LOADS:
+        fns = {"customers": customers, "sellers": sellers, "products": products,
+               "orders": orders, "items": items, "payments": payments, "reviews": reviews,
+               "region_lookup": region_lookup}
+        _LOADS[key] = LazyTables({k: (lambda f=f: f(spark, sf_dir)) for k, f in fns.items()})
+    return _LOADS[key]
