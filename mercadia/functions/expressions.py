@@ -103,3 +103,24 @@ def mean(c, digits: int | None = None, scale: int = 0, over=None) -> Column:
         s, n = s.over(over), n.over(over)
     q = dec(s, scale) / F.nullif(n, F.lit(0))
     return q if digits is None else F.round(q, digits)
+
+
+# --- text comparison --------------------------------------------------------------
+
+SOURCE_COLLATION = "UNICODE_CI_AI_RTRIM"  # case- and accent-insensitive, trailing spaces ignored
+
+
+def collate_strings(df: DataFrame, collation: str = SOURCE_COLLATION) -> DataFrame:
+    """Give every top-level text column ``collation``.
+
+    Grouping, joins, ``=``/``IN`` and DISTINCT then compare text as the source
+    database did ('SP' = 'sp ', 'São Paulo' = 'Sao Paulo'). Every table that
+    is joined on text must be collated the same way: Spark refuses to compare
+    two different collations. Collation-aware hashing costs CPU, so it is an
+    opt-in; binary comparison is the default.
+    """
+    from pyspark.sql import types as T
+    cols = [F.col(f"`{f.name}`").cast(f"string collate {collation}").alias(f.name)
+            if isinstance(f.dataType, T.StringType) else F.col(f"`{f.name}`")
+            for f in df.schema.fields]
+    return df.select(*cols)

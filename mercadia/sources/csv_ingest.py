@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mercadia.functions.expressions import region_lookup
+from mercadia.functions.expressions import collate_strings, region_lookup
 from mercadia.model import Tables
 from mercadia.operators.gates import REASON, domain_gate, domain_rules, fk_gate, pk_gate
 from mercadia.sources import schemas
@@ -88,13 +88,22 @@ def _with_reason_cols(df: DataFrame) -> DataFrame:
 
 def load_marketplace(spark: SparkSession, paths: Mapping[str, str | list[str]],
                      translation_path: str | None = None,
-                     region: DataFrame | None = None) -> LoadResult:
+                     region: DataFrame | None = None,
+                     collation: str | None = None) -> LoadResult:
     """Read, gate (domain -> primary key -> foreign keys against the gated
-    parents) and enrich the seven tables, parents first."""
+    parents) and enrich the seven tables, parents first.
+
+    ``collation`` (e.g. ``expressions.SOURCE_COLLATION``) makes every text
+    column, and the lookups, compare case- and accent-insensitively; keys that
+    differ only in case then count as duplicates, as in the source database.
+    """
+    def coll(df: DataFrame) -> DataFrame:
+        return collate_strings(df, collation) if collation else df
+
     gated: dict[str, DataFrame] = {}
     rejects: dict[str, DataFrame] = {}
     for table in schemas.LOAD_ORDER:
-        df = read_table(spark, paths[table], table)
+        df = coll(read_table(spark, paths[table], table))
         rules = domain_rules(schemas.SCHEMAS[table].fields, schemas.MAX_LENGTH.get(table))
         valid, bad_domain = domain_gate(df, rules)
         keys = schemas.PRIMARY_KEYS[table]
@@ -104,7 +113,8 @@ def load_marketplace(spark: SparkSession, paths: Mapping[str, str | list[str]],
             accepted, orphan = fk_gate(accepted, gated[parent], [(child_col, parent_col)])
             rej.append(orphan)
         if table == "products" and translation_path:
-            accepted = enrich_category(accepted, read_translation(spark, translation_path))
+            accepted = enrich_category(accepted,
+                                       coll(read_translation(spark, translation_path)))
         gated[table] = accepted
         cols = df.columns + [REASON]
         rejects[table] = rej[0].select(*cols)
@@ -116,5 +126,5 @@ def load_marketplace(spark: SparkSession, paths: Mapping[str, str | list[str]],
                       products=out["products"], orders=out["orders"],
                       items=out["order_items"], payments=out["order_payments"],
                       reviews=out["order_reviews"],
-                      region_lookup=region if region is not None else region_lookup(spark)),
+                      region_lookup=coll(region if region is not None else region_lookup(spark))),
         rejects=rejects)

@@ -164,3 +164,26 @@ def test_refresh_job(spark, scratch):
     q = {r["check"]: r["violations"] for r in
          spark.read.parquet(written["quality/quality_report"]).collect()}
     assert q["orphan_order_items"] == 0
+
+
+def test_source_collation_opt_in(spark, scratch):
+    from mercadia.functions.expressions import SOURCE_COLLATION
+    from mercadia.plans import logistics
+    csv = dict(CSV)
+    csv["customers"] = (CSV["customers"]
+                        + "C1 ,u7,01000,Sao Paulo,sp\n"      # c1 but for case and a trailing space
+                        + "c3,u3,01000,SÃO PAULO,sp\n")
+    csv["orders"] = CSV["orders"] + "o4,c3,delivered,2017-10-05 10:00:00,,,2017-10-08 10:00:00,2017-10-18 00:00:00\n"
+    csv["order_items"] = CSV["order_items"] + "o4,1,p1,s1,,5.00,1.00\n"
+    paths = {k: write(scratch, k, v) for k, v in csv.items()}
+    tr = write(scratch, "translation", TRANSLATION)
+    binary = csv_ingest.load_marketplace(spark, paths, tr)
+    coll = csv_ingest.load_marketplace(spark, paths, tr, collation=SOURCE_COLLATION)
+    assert binary.tables.customers.count() == 4
+    assert coll.tables.customers.count() == 3            # 'C1' duplicates 'c1'
+    states = [(r["customer_state"].upper(), r["total_delivered_orders"])
+              for r in logistics.logistics_regional(coll.tables).collect()]
+    assert states == [("SP", 2)]                          # 'SP' and 'sp' are one state
+    assert {r["region"] for r in logistics.logistics_regional(coll.tables).collect()} == {"Sudeste"}
+    cities = coll.tables.customers.groupBy("customer_city").count().collect()
+    assert sorted(r["count"] for r in cities) == [1, 2]   # 'são paulo' = 'SÃO PAULO'
