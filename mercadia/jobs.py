@@ -1,12 +1,13 @@
 """The full refresh as one batch job: ingest, gate, check, build, publish.
 
 1. read the seven CSV sources, gate them parents first and enrich categories;
-2. overwrite the accepted base tables and the rejects as Parquet (an
-   idempotent reload: running twice leaves the same rows);
-3. read the written base tables back, so every later stage starts from files
+   each accepted table is overwritten as Parquet and read back before its
+   children are gated against it (an idempotent reload: running twice leaves
+   the same rows); the rejects are written next to it;
+2. read the written base tables back, so every later stage starts from files
    in the shared output folder rather than from the CSV lineage (a lost
    executor recomputes from Parquet, not from a multi-line CSV parse);
-4. write the data-quality report, the three marts and the star schema.
+3. write the data-quality report, the three marts and the star schema.
 """
 
 from __future__ import annotations
@@ -41,9 +42,10 @@ def refresh(spark: SparkSession, csv_paths: Mapping[str, str | list[str]], trans
             financial_tiers: FinancialTiers = FinancialTiers()) -> dict[str, str]:
     """Run the whole refresh; returns the written paths by name."""
     out = out_dir.rstrip("/")
-    loaded = csv_ingest.load_marketplace(spark, csv_paths, translation_path)
-    paths = {f"base/{k}": v for k, v in
-             publish.write_tables(loaded.tables.as_dict(), f"{out}/base").items()}
+    # each gated table is written to base/ and read back before its children
+    loaded = csv_ingest.load_marketplace(spark, csv_paths, translation_path,
+                                         stage_dir=f"{out}/base")
+    paths = {f"base/{k}": f"{out}/base/{k}" for k in loaded.tables.as_dict()}
     paths.update({f"rejects/{k}": v for k, v in
                   publish.write_tables(loaded.rejects, f"{out}/rejects").items()})
     t = read_tables(spark, f"{out}/base")

@@ -89,13 +89,19 @@ def _with_reason_cols(df: DataFrame) -> DataFrame:
 def load_marketplace(spark: SparkSession, paths: Mapping[str, str | list[str]],
                      translation_path: str | None = None,
                      region: DataFrame | None = None,
-                     collation: str | None = None) -> LoadResult:
+                     collation: str | None = None,
+                     stage_dir: str | None = None) -> LoadResult:
     """Read, gate (domain -> primary key -> foreign keys against the gated
     parents) and enrich the seven tables, parents first.
 
     ``collation`` (e.g. ``expressions.SOURCE_COLLATION``) makes every text
     column, and the lookups, compare case- and accent-insensitively; keys that
     differ only in case then count as duplicates, as in the source database.
+
+    ``stage_dir`` (a shared folder) writes each accepted table there, replacing
+    what was there, and reads it back before children are gated against it:
+    a parent is then computed once instead of inside every child's plan, and
+    the children's lineage starts at Parquet files.
     """
     def coll(df: DataFrame) -> DataFrame:
         return collate_strings(df, collation) if collation else df
@@ -115,12 +121,16 @@ def load_marketplace(spark: SparkSession, paths: Mapping[str, str | list[str]],
         if table == "products" and translation_path:
             accepted = enrich_category(accepted,
                                        coll(read_translation(spark, translation_path)))
+        if stage_dir:
+            path = f"{stage_dir.rstrip('/')}/{table}"
+            accepted.drop(POS).write.mode("overwrite").parquet(path)
+            accepted = spark.read.parquet(path)
         gated[table] = accepted
         cols = df.columns + [REASON]
         rejects[table] = rej[0].select(*cols)
         for r in rej[1:]:
             rejects[table] = rejects[table].unionByName(_with_reason_cols(r).select(*cols))
-    out = {k: v.drop(POS) for k, v in gated.items()}
+    out = {k: v.drop(POS) if POS in v.columns else v for k, v in gated.items()}
     return LoadResult(
         tables=Tables(customers=out["customers"], sellers=out["sellers"],
                       products=out["products"], orders=out["orders"],
