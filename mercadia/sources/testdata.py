@@ -8,6 +8,8 @@ consumes them, and Catalyst prunes the columns a mart does not use.
 
 from __future__ import annotations
 
+import weakref
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,7 +24,9 @@ STATUS_BY_REMAINDER = {0: "canceled", 1: "unavailable", 2: "shipped"}  # else 'd
 # --- end of fixed values
 
 
-_READS: dict[tuple[int, str], DataFrame] = {}
+# per-session memo: a stopped session's plans die with it
+_READS: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+_LOADS: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,10 +35,10 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     tables several times (a DataFrame is an immutable plan, so sharing it is
     safe)."""
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    key = (id(spark), path)
-    if key not in _READS:
-        _READS[key] = spark.read.parquet(path)
-    return _READS[key]
+    memo = _READS.setdefault(spark, {})
+    if path not in memo:
+        memo[path] = spark.read.parquet(path)
+    return memo[path]
 
 
 def _days_hours(days: Column, hours: Column) -> Column:
@@ -161,16 +165,14 @@ def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
                     (created + _days_hours(k % 5, k % 24)).alias("review_answer_timestamp")))
 
 
-_LOADS: dict[tuple[int, str], LazyTables] = {}
-
-
 def load(spark: SparkSession, sf_dir: str) -> LazyTables:
     """All domain relations for one scale-factor folder, planned on first use
     and shared by every query of the session (plans are immutable)."""
-    key = (id(spark), sf_dir.rstrip("/"))
-    if key not in _LOADS:
+    key = sf_dir.rstrip("/")
+    memo = _LOADS.setdefault(spark, {})
+    if key not in memo:
         fns = {"customers": customers, "sellers": sellers, "products": products,
                "orders": orders, "items": items, "payments": payments, "reviews": reviews,
                "region_lookup": region_lookup}
-        _LOADS[key] = LazyTables({k: (lambda f=f: f(spark, sf_dir)) for k, f in fns.items()})
-    return _LOADS[key]
+        memo[key] = LazyTables({k: (lambda f=f: f(spark, sf_dir)) for k, f in fns.items()})
+    return memo[key]
