@@ -213,13 +213,15 @@ def rank_over(df: DataFrame, order: OrderSpec, method: str, out: str,
 
 
 def with_overall_means(df: DataFrame, means: dict[str, tuple[str, int | None]],
-                       bounded: bool = False) -> DataFrame:
+                       bounded: bool = False, source: DataFrame | None = None) -> DataFrame:
     """``ROUND(AVG(col) OVER (), digits)`` for each ``out -> (col, digits)``.
 
     For a domain-bounded input (``bounded=True``) this is the plain window over
     all rows. Otherwise the global aggregate, one row by construction, is
     broadcast to every row instead of moving all rows through a
-    single-partition window.
+    single-partition window. ``source`` is a frame with the same rows and
+    averaged columns as ``df`` but a cheaper plan (e.g. before rank joins),
+    to aggregate instead of ``df``.
     """
     from mercadia.functions.expressions import mean
 
@@ -231,5 +233,6 @@ def with_overall_means(df: DataFrame, means: dict[str, tuple[str, int | None]],
         w = Window.partitionBy()
         return df.select("*", *[mean(c, d, scale(c), over=w).alias(o)
                                 for o, (c, d) in means.items()])
-    one = df.agg(*[mean(c, d, scale(c)).alias(o) for o, (c, d) in means.items()])
+    src = df if source is None else source
+    one = src.agg(*[mean(c, d, scale(c)).alias(o) for o, (c, d) in means.items()])
     return df.crossJoin(F.broadcast(one))

@@ -152,6 +152,7 @@ def supplier_performance(t: Tables, tiers: SupplierTiers = SupplierTiers(),
         checkpoint_dir(sm.sparkSession)
         sm = sm.checkpoint(eager=True)
         n = sm.count()  # reads the checkpoint; bounds every rank input below
+    base = sm
     quality = [("avg_review_score", False), ("on_time_rate", False)]
     kw = dict(buckets=buckets, max_rows=n)
     # each rank is computed from the materialized metrics alone, then joined once
@@ -163,6 +164,8 @@ def supplier_performance(t: Tables, tiers: SupplierTiers = SupplierTiers(),
                     "revenue_quartile", unique=True, **kw)
     keys = ["avg_review_score", "on_time_rate"]
     sm = join_ranks(join_ranks(sm, overall, keys), in_state, ["seller_state"] + keys)
+    # the rank joins keep every seller row, so the benchmarks come from the base
     sm = with_overall_means(sm, {"company_avg_review_score": ("avg_review_score", 2),
-                                 "company_avg_on_time_rate": ("on_time_rate", 4)})
+                                 "company_avg_on_time_rate": ("on_time_rate", 4)},
+                            source=base)
     return sm.withColumn("supplier_segment", tiers.segment()).select(*COLUMNS)
