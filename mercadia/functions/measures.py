@@ -80,7 +80,7 @@ def _q(num: Column, den: Column) -> Column:
 
 def _dimension(star, dim: str, need_region: bool) -> DataFrame:
     if dim == "date":
-        return F.broadcast(star.dim_date)  # bounded: days of the calendar span
+        return star.dim_date  # days of the data's span: broadcast by its measured size
     if dim in ("customer", "seller"):
         d = star.dim_customer if dim == "customer" else star.dim_seller
         # geography's region of a state is the bounded state -> region lookup

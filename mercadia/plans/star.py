@@ -4,7 +4,7 @@
 surrogate keys of the dimensions. Dimensions that grow with the data
 (customer, seller, product) are joined by key and left to AQE to broadcast or
 shuffle from their measured size; the calendar and geography dimensions are
-bounded (days of a span, states of a country) and broadcast.
+small (days of a span, states of a country), which AQE sees at run time.
 """
 
 from __future__ import annotations

@@ -46,7 +46,11 @@ def _days_hours(days: Column, hours: Column) -> Column:
 
 
 def state_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(nationkey, state) — the nation name plays the role of a state."""
+    """(nationkey, state) — the nation name plays the role of a state.
+
+    Nation (25 rows) and region (5 rows) do not grow with the scale factor,
+    so joins against them are broadcast.
+    """
     return read(spark, sf_dir, "nation").select(
         F.col("n_nationkey").alias("nationkey"), F.col("n_name").alias("state"))
 
