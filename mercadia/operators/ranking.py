@@ -10,8 +10,9 @@ spread over the cluster:
    (map-side partial aggregation, so one very frequent key costs one row);
 2. take cut points from a bounded sample of those keys (one small collect of
    at most ``SAMPLE_PER_BUCKET * buckets`` rows) and give every key the number
-   of cut points at or below it, a deterministic function of the key, so a
-   recomputed task after an executor loss lands in the same bucket;
+   of cut points at or below it (a binary search written as a CASE tree), a
+   deterministic function of the key, so a recomputed task after an executor
+   loss lands in the same bucket;
 3. rank inside ``(partition, bucket)`` with an ordinary window;
 4. add per-bucket offsets from a table of at most ``partitions x buckets`` rows,
    broadcast back;
@@ -32,7 +33,7 @@ from pyspark.sql import types as T
 OrderSpec = Sequence[tuple[str, bool]]  # (column, ascending)
 
 SAMPLE_PER_BUCKET = 32
-MAX_BUCKETS = 4096
+MAX_BUCKETS = 256  # keeps the CASE tree of cut points small enough for codegen
 ROWS_PER_BUCKET = 2_000_000
 _SEED = 20240601
 
@@ -82,12 +83,23 @@ def _struct_literal(values: T.Row, st: T.StructType) -> Column:
                       for v, f in zip(values, st.fields)])
 
 
+def _bucket_of(key: Column, cuts: list[Column], lo: int = 0, hi: int | None = None) -> Column:
+    """Number of (sorted) cut points at or below ``key``: a balanced CASE tree,
+    so each row makes log2(len(cuts)) comparisons."""
+    hi = len(cuts) if hi is None else hi
+    if lo >= hi:
+        return F.lit(lo)
+    mid = (lo + hi) // 2
+    return F.when(key < cuts[mid], _bucket_of(key, cuts, lo, mid)) \
+        .otherwise(_bucket_of(key, cuts, mid + 1, hi))
+
+
 def _cut_points(keys: DataFrame, buckets: int | None, rows_per_bucket: int,
                 max_rows: int | None = None) -> list[T.Row]:
     if buckets is None and max_rows is not None and max_rows <= rows_per_bucket:
         return []  # a known upper bound fits one bucket: no counting job needed
     n = keys.count()
-    b = buckets or min(MAX_BUCKETS, max(1, math.ceil(n / rows_per_bucket)))
+    b = min(MAX_BUCKETS, buckets or max(1, math.ceil(n / rows_per_bucket)))
     if b <= 1 or n <= 1:
         return []
     frac = min(1.0, SAMPLE_PER_BUCKET * b / n)
@@ -123,12 +135,8 @@ def rank_table(df: DataFrame, order: OrderSpec, method: str, out: str,
     kc = kc.withColumn("__k", _key_struct(kc, order))
 
     cuts = _cut_points(kc, buckets, rows_per_bucket, max_rows)
-    if cuts:
-        st = kc.schema["__k"].dataType
-        arr = F.array(*[_struct_literal(c, st) for c in cuts])
-        kc = kc.withColumn("__b", F.size(F.filter(arr, lambda c: c <= F.col("__k"))))
-    else:
-        kc = kc.withColumn("__b", F.lit(0))
+    st = kc.schema["__k"].dataType
+    kc = kc.withColumn("__b", _bucket_of(F.col("__k"), [_struct_literal(c, st) for c in cuts]))
 
     # per (partition, bucket) totals and their running offsets: a bounded table
     tot = kc.groupBy(*part, "__b").agg(F.sum("__n").alias("__rows"),
