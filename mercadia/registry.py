@@ -29,13 +29,32 @@ def register(name: str):
     return deco
 
 
-def portable(df: DataFrame) -> DataFrame:
+# Integer columns that hold NULLs in the driver data. Engines hand such
+# columns to pandas differently (float NaN or a nullable integer), so for
+# comparison they are DOUBLE on both sides; the values are unchanged.
+NULLABLE_INTEGERS = {
+    "delivery_flags": ["is_on_time", "lead_time_days", "delay_days"],
+    "order_logistics": ["delay_days"],
+    "seller_orders": ["is_on_time"],
+    "fact_orders": ["lead_time_days"],
+    "fact_reviews": ["seller_key", "date_key", "response_time_days"],
+    "measures_by_year": ["year", "total_orders", "delayed_orders", "cancelled_orders",
+                         "total_reviews"],
+    "measures_by_seller_segment": ["total_orders", "delayed_orders", "cancelled_orders",
+                                   "total_reviews", "total_sellers", "gold_partners",
+                                   "operational_risk_sellers"],
+}
+
+
+def portable(df: DataFrame, as_double=()) -> DataFrame:
     """Normalise types for cross-engine comparison; values are unchanged."""
     cols = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
         dt = f.dataType
-        if isinstance(dt, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        if f.name in as_double:
+            c = c.cast("double")
+        elif isinstance(dt, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
             c = c.cast("bigint")
         elif isinstance(dt, (T.DecimalType, T.FloatType)):
             c = c.cast("double")
