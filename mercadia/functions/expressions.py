@@ -9,17 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# --- Fixed values: Brazilian macro-region of each state code (27 codes).
-# States not listed map to 'Unknown'.
-UNKNOWN_REGION = "Unknown"
-REGION_STATES = {
-    "Norte": ["AC", "AP", "AM", "PA", "RO", "RR", "TO"],
-    "Nordeste": ["AL", "BA", "CE", "MA", "PB", "PE", "PI", "RN", "SE"],
-    "Centro-Oeste": ["DF", "GO", "MT", "MS"],
-    "Sudeste": ["ES", "MG", "RJ", "SP"],
-    "Sul": ["PR", "RS", "SC"],
-}
-# --- end of fixed values
+from mercadia.fixed import REGION_STATES, STATUS_CANCELED, UNKNOWN_REGION
 
 
 def region_lookup(spark: SparkSession) -> DataFrame:
@@ -66,7 +56,7 @@ def on_time_flag(delivered="order_delivered_customer_date",
             .when(d.isNotNull() & (d > e), F.lit(0)))
 
 
-def cancelled_flag(status="order_status", value: str = "canceled") -> Column:
+def cancelled_flag(status="order_status", value: str = STATUS_CANCELED) -> Column:
     return F.when(col_(status) == F.lit(value), F.lit(1)).otherwise(F.lit(0))
 
 

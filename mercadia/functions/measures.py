@@ -29,6 +29,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mercadia.fixed import GOLD_PARTNER, OPERATIONAL_RISK
 from mercadia.functions.expressions import dec, mean, with_region
 
 
@@ -186,8 +187,8 @@ def _seller_measures(star, by: Sequence[str], where: Mapping[str, object]) -> Da
                          *[F.col(ATTRIBUTES[a].column).alias(a) for a in attrs]), where)
     a = g.groupBy(*by).agg(
         F.count(F.lit(1)).alias("total_sellers"),
-        F.count_if(F.col("__seg") == "Gold Partner").alias("gold_partners"),
-        F.count_if(F.col("__seg") == "Operational Risk").alias("operational_risk_sellers"))
+        F.count_if(F.col("__seg") == GOLD_PARTNER).alias("gold_partners"),
+        F.count_if(F.col("__seg") == OPERATIONAL_RISK).alias("operational_risk_sellers"))
     return a.select(*by, "total_sellers", "gold_partners",
                     _q(F.col("gold_partners"), F.col("total_sellers")).alias("pct_gold_partners"),
                     "operational_risk_sellers")

@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mercadia.fixed import STATUS_DELIVERED
 from mercadia.model import Tables
 
 
@@ -28,7 +29,7 @@ def products_without_english_category(products: DataFrame) -> DataFrame:
 
 
 def delivered_missing_delivery_date(orders: DataFrame) -> DataFrame:
-    return orders.agg(F.count_if((F.col("order_status") == "delivered")
+    return orders.agg(F.count_if((F.col("order_status") == STATUS_DELIVERED)
                                  & F.col("order_delivered_customer_date").isNull())
                       .alias("delivered_orders_missing_delivery_date"))
 

@@ -14,15 +14,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mercadia.fixed import STATUS_CANCELED, UNKNOWN_CATEGORY
 from mercadia.functions.expressions import cancelled_flag, late_flag, ratio
 from mercadia.model import Tables
 from mercadia.operators.ranking import window_rank, with_overall_means
 from mercadia.plans.thresholds import FinancialTiers
 
-UNKNOWN_CATEGORY = "unknown"
 
 
-def order_category_base(t: Tables, cancelled: str = "canceled") -> DataFrame:
+def order_category_base(t: Tables, cancelled: str = STATUS_CANCELED) -> DataFrame:
     """Item rows with category, price, freight and the order's two risk flags."""
     p = t.products.select(
         "product_id",
@@ -45,7 +45,7 @@ def order_category(base: DataFrame) -> DataFrame:
         F.max("is_late").alias("is_late"))
 
 
-def category_financials(t: Tables, cancelled: str = "canceled") -> DataFrame:
+def category_financials(t: Tables, cancelled: str = STATUS_CANCELED) -> DataFrame:
     oc = order_category(order_category_base(t, cancelled))
     at_risk = F.when((F.col("is_cancelled") == 1) | (F.col("is_late") == 1),
                      F.col("revenue")).otherwise(F.lit(0))
@@ -73,7 +73,7 @@ COLUMNS = ["category", "total_orders", "total_revenue", "total_freight", "avg_ti
 
 
 def financial_health(t: Tables, tiers: FinancialTiers = FinancialTiers(),
-                     cancelled: str = "canceled") -> DataFrame:
+                     cancelled: str = STATUS_CANCELED) -> DataFrame:
     cf = category_financials(t, cancelled)
     # bounded: one row per category of the translation list (+ 'unknown')
     cf = window_rank(cf, [("total_revenue", False)], "rank", "revenue_rank")

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mercadia.fixed import STATUS_DELIVERED
 from mercadia.functions.expressions import (days_between, late_flag, mean, ratio,
                                            with_region)
 from mercadia.model import Tables
@@ -29,7 +30,7 @@ def order_freight(items: DataFrame) -> DataFrame:
 def order_logistics(t: Tables) -> DataFrame:
     """One row per delivered order with a delivery date: lead time, delay, late flag."""
     o = (t.orders
-         .where((F.col("order_status") == "delivered")
+         .where((F.col("order_status") == STATUS_DELIVERED)
                 & F.col("order_delivered_customer_date").isNotNull())
          .select("order_id", "customer_id", "order_purchase_timestamp",
                  "order_delivered_customer_date", "order_estimated_delivery_date"))

@@ -17,12 +17,12 @@ from pyspark.sql import functions as F
 from mercadia.functions.expressions import (cancelled_flag, date_key, days_between,
                                            late_flag, with_region)
 from mercadia.model import Tables
-from mercadia.plans.financial import UNKNOWN_CATEGORY
+from mercadia.fixed import (DAY_NAME_PATTERN, MONTH_NAME_PATTERN, NO_FULFILLED_ORDERS,
+                            STATUS_CANCELED, UNKNOWN_CATEGORY)
 from mercadia.plans.supplier import supplier_segments
 from mercadia.plans.thresholds import SupplierTiers
 from mercadia.session import checkpoint_dir
 
-NO_FULFILLED_ORDERS = "No Fulfilled Orders"
 
 
 # --- dim_date ----------------------------------------------------------------------
@@ -35,9 +35,9 @@ def _calendar(bounds: DataFrame) -> DataFrame:
     return days.select(
         date_key(d).alias("date_key"), d,
         F.year(d).alias("year"), F.quarter(d).alias("quarter"), F.month(d).alias("month"),
-        F.date_format(d, "MMMM").alias("month_name"),
+        F.date_format(d, MONTH_NAME_PATTERN).alias("month_name"),
         F.dayofmonth(d).alias("day_of_month"),
-        F.date_format(d, "EEEE").alias("day_name"),
+        F.date_format(d, DAY_NAME_PATTERN).alias("day_name"),
         F.dayofweek(d).alias("day_of_week"),  # 1 = Sunday
         F.when(F.dayofweek(d).isin(1, 7), F.lit(1)).otherwise(F.lit(0)).alias("is_weekend"))
 
@@ -100,7 +100,7 @@ def dim_geography(t: Tables) -> DataFrame:
 
 # --- facts ----------------------------------------------------------------------
 
-def fact_orders(t: Tables, cancelled: str = "canceled") -> DataFrame:
+def fact_orders(t: Tables, cancelled: str = STATUS_CANCELED) -> DataFrame:
     o = t.orders.select(
         "order_id", F.col("customer_id").alias("customer_key"),
         date_key("order_purchase_timestamp").alias("date_key"),

@@ -25,6 +25,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mercadia.fixed import SLA_EXCLUDED_STATUSES
 from mercadia.functions.expressions import on_time_flag, ratio
 from mercadia.model import Tables
 from mercadia.operators.ranking import join_ranks, rank_table, with_overall_means
@@ -33,7 +34,7 @@ from mercadia.session import checkpoint_dir
 
 # The published view excludes these statuses from the SLA. Note the spelling:
 # the data says 'canceled', so cancelled orders are *not* excluded by default.
-DEFAULT_EXCLUDED = ("cancelled", "unavailable")
+DEFAULT_EXCLUDED = SLA_EXCLUDED_STATUSES
 
 
 def seller_order_grain(t: Tables, excluded: Sequence[str] = DEFAULT_EXCLUDED) -> DataFrame:

@@ -1,7 +1,7 @@
 """Tier thresholds of the three marts, as parameters.
 
-Defaults are the business rules of the marts; tests and the tuned query keys
-pass other values to reach every branch on synthetic data.
+Defaults are the business rules of the marts (``mercadia.fixed``); tests and
+the tuned query keys pass other values to reach every branch on synthetic data.
 """
 
 from __future__ import annotations
@@ -11,48 +11,50 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from mercadia import fixed as V
+
 
 @dataclass(frozen=True)
 class SupplierTiers:
-    gold_score: float = 4.5
-    gold_on_time: float = 0.90
-    gold_min_orders: int = 10
-    regular_score: float = 3.5
-    regular_on_time: float = 0.70
+    gold_score: float = V.GOLD_MIN_SCORE
+    gold_on_time: float = V.GOLD_MIN_ON_TIME
+    gold_min_orders: int = V.GOLD_MIN_ORDERS
+    regular_score: float = V.REGULAR_MIN_SCORE
+    regular_on_time: float = V.REGULAR_MIN_ON_TIME
 
     def segment(self, score="avg_review_score", on_time="on_time_rate",
                 orders="total_orders") -> Column:
         s, r, o = F.col(score), F.col(on_time), F.col(orders)
         return (F.when((s >= self.gold_score) & (r >= self.gold_on_time)
-                       & (o >= self.gold_min_orders), F.lit("Gold Partner"))
+                       & (o >= self.gold_min_orders), F.lit(V.GOLD_PARTNER))
                 .when((s >= self.regular_score) & (r >= self.regular_on_time),
-                      F.lit("Regular Operation"))
-                .otherwise(F.lit("Operational Risk")))
+                      F.lit(V.REGULAR_OPERATION))
+                .otherwise(F.lit(V.OPERATIONAL_RISK)))
 
 
 @dataclass(frozen=True)
 class LogisticsTiers:
-    efficient_delay: float = 0.08
-    efficient_lead: float = 12
-    moderate_delay: float = 0.20
-    moderate_lead: float = 20
+    efficient_delay: float = V.EFFICIENT_MAX_DELAYED
+    efficient_lead: float = V.EFFICIENT_MAX_LEAD_DAYS
+    moderate_delay: float = V.MODERATE_MAX_DELAYED
+    moderate_lead: float = V.MODERATE_MAX_LEAD_DAYS
 
     def tier(self, delay="pct_delayed", lead="avg_lead_time_days") -> Column:
         d, l_ = F.col(delay), F.col(lead)
         return (F.when((d <= self.efficient_delay) & (l_ <= self.efficient_lead),
-                       F.lit("Efficient Region"))
+                       F.lit(V.EFFICIENT_REGION))
                 .when((d <= self.moderate_delay) & (l_ <= self.moderate_lead),
-                      F.lit("Moderate Delay Region"))
-                .otherwise(F.lit("High Risk Region")))
+                      F.lit(V.MODERATE_DELAY_REGION))
+                .otherwise(F.lit(V.HIGH_RISK_REGION)))
 
 
 @dataclass(frozen=True)
 class FinancialTiers:
-    high_risk: float = 0.15
-    moderate_risk: float = 0.07
+    high_risk: float = V.HIGH_RISK_MIN_SHARE
+    moderate_risk: float = V.MODERATE_RISK_MIN_SHARE
 
     def tier(self, share="pct_revenue_at_risk") -> Column:
         s = F.col(share)
-        return (F.when(s >= self.high_risk, F.lit("High Financial Risk"))
-                .when(s >= self.moderate_risk, F.lit("Moderate Financial Risk"))
-                .otherwise(F.lit("Financially Healthy")))
+        return (F.when(s >= self.high_risk, F.lit(V.HIGH_FINANCIAL_RISK))
+                .when(s >= self.moderate_risk, F.lit(V.MODERATE_FINANCIAL_RISK))
+                .otherwise(F.lit(V.FINANCIALLY_HEALTHY)))

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from mercadia import fixed
 from mercadia.functions import expressions, measures
 from mercadia.operators import gates, quality
 from mercadia.plans import financial, logistics, reports, star, supplier
@@ -203,8 +204,10 @@ def _date_key_and_parts(spark, sf_dir):
     return o.select(
         "order_id", expressions.date_key(ts).alias("date_key"),
         F.year(ts).alias("year"), F.quarter(ts).alias("quarter"), F.month(ts).alias("month"),
-        F.date_format(ts, "MMMM").alias("month_name"), F.dayofmonth(ts).alias("day_of_month"),
-        F.date_format(ts, "EEEE").alias("day_name"), F.dayofweek(ts).alias("day_of_week"),
+        F.date_format(ts, fixed.MONTH_NAME_PATTERN).alias("month_name"),
+        F.dayofmonth(ts).alias("day_of_month"),
+        F.date_format(ts, fixed.DAY_NAME_PATTERN).alias("day_name"),
+        F.dayofweek(ts).alias("day_of_week"),
         F.date_add(F.to_date(ts), 30).alias("plus_30_days"))
 
 
