@@ -46,6 +46,8 @@ def order_category(base: DataFrame) -> DataFrame:
 
 
 def category_financials(t: Tables, cancelled: str = STATUS_CANCELED) -> DataFrame:
+    """Eight KPIs per category; revenue at risk is the price of items in
+    cancelled or late orders."""
     oc = order_category(order_category_base(t, cancelled))
     at_risk = F.when((F.col("is_cancelled") == 1) | (F.col("is_late") == 1),
                      F.col("revenue")).otherwise(F.lit(0))
@@ -74,6 +76,8 @@ COLUMNS = ["category", "total_orders", "total_revenue", "total_freight", "avg_ti
 
 def financial_health(t: Tables, tiers: FinancialTiers = FinancialTiers(),
                      cancelled: str = STATUS_CANCELED) -> DataFrame:
+    """The category financial-health mart: KPIs, revenue rank, percentile and
+    quartile, company benchmarks and the health tier."""
     cf = category_financials(t, cancelled)
     # bounded: one row per category of the translation list (+ 'unknown')
     cf = window_rank(cf, [("total_revenue", False)], "rank", "revenue_rank")

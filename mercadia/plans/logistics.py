@@ -67,6 +67,8 @@ COLUMNS = ["customer_state", "region", "total_delivered_orders", "avg_lead_time_
 
 
 def logistics_regional(t: Tables, tiers: LogisticsTiers = LogisticsTiers()) -> DataFrame:
+    """The regional logistics mart: state KPIs, macro-region, national and
+    in-region lead-time ranks, national benchmarks and the risk tier."""
     sm = with_region(state_metrics(order_logistics(t)), "customer_state", t.region_lookup)
     lead = [("avg_lead_time_days", True)]
     # bounded: one row per state

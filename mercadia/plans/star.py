@@ -58,6 +58,7 @@ def dim_date_for(orders: DataFrame, ts: str = "order_purchase_timestamp") -> Dat
 # --- other dimensions ------------------------------------------------------------
 
 def dim_customer(t: Tables) -> DataFrame:
+    """One row per customer key (a checkout, not a person)."""
     return t.customers.select(F.col("customer_id").alias("customer_key"), "customer_unique_id",
                               F.col("customer_city").alias("city"),
                               F.col("customer_state").alias("state"))
@@ -80,6 +81,7 @@ def dim_seller(t: Tables, supplier: DataFrame | None = None,
 
 
 def dim_product(t: Tables) -> DataFrame:
+    """Products with their English category, or 'unknown'."""
     return t.products.select(
         F.col("product_id").alias("product_key"),
         F.coalesce("product_category_name_english", F.lit(UNKNOWN_CATEGORY))
@@ -94,6 +96,7 @@ def all_states(t: Tables) -> DataFrame:
 
 
 def dim_geography(t: Tables) -> DataFrame:
+    """States seen at customers or sellers with their macro-region."""
     g = with_region(all_states(t), "state", t.region_lookup)
     return g.select(F.col("state").alias("state_key"), "region")
 
@@ -101,6 +104,8 @@ def dim_geography(t: Tables) -> DataFrame:
 # --- facts ----------------------------------------------------------------------
 
 def fact_orders(t: Tables, cancelled: str = STATUS_CANCELED) -> DataFrame:
+    """Item grain: dimension keys, purchase date key, money, the two risk
+    flags and the lead time of the item's order."""
     o = t.orders.select(
         "order_id", F.col("customer_id").alias("customer_key"),
         date_key("order_purchase_timestamp").alias("date_key"),
@@ -120,6 +125,8 @@ def order_min_seller(items: DataFrame) -> DataFrame:
 
 
 def fact_reviews(t: Tables) -> DataFrame:
+    """Review grain: one seller per review (the order's lowest seller id),
+    creation date key, score and response time."""
     r = t.reviews.join(order_min_seller(t.items), "order_id", "left")
     return r.select("review_id", "order_id", "seller_key",
                     date_key("review_creation_date").alias("date_key"), "review_score",

@@ -147,6 +147,14 @@ def supplier_segments(t: Tables, tiers: SupplierTiers = SupplierTiers(),
 def supplier_performance(t: Tables, tiers: SupplierTiers = SupplierTiers(),
                          excluded: Sequence[str] = DEFAULT_EXCLUDED,
                          materialize: bool = True, buckets: int | None = None) -> DataFrame:
+    """The supplier-performance mart: one row per seller with item rows.
+
+    Adds the global quality rank (dense, score then SLA, both descending), the
+    same rank inside the seller's state, the revenue quartile, the company
+    benchmarks and the segment. ``materialize`` checkpoints the seller rows
+    first (they are read by every rank); ``buckets`` forces the number of
+    rank buckets (tests).
+    """
     sm = ranked_sellers(t, excluded)
     n = None
     if materialize:
