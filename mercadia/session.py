@@ -27,6 +27,23 @@ DEFAULT_CONF = {
 }
 
 
+def scale_conf(input_bytes: int, partition_bytes: int = 256 << 20) -> dict[str, str]:
+    """Settings sized for an input of ``input_bytes`` (compressed, on disk).
+
+    Shuffle partitions start at about one per ``partition_bytes`` of input
+    (scans expand on decode, joins and aggregates shrink it again) and AQE
+    coalesces the ones that come out small; file splits and the advisory
+    partition size match, so a task holds a few hundred MB.
+    """
+    parts = max(200, -(-input_bytes // partition_bytes))
+    return {
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.files.maxPartitionBytes": str(partition_bytes),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes),
+        "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+    }
+
+
 def build_session(master: str | None = None, app: str = "mercadia",
                   shuffle_partitions: int | None = None,
                   extra: dict[str, str] | None = None) -> SparkSession:
