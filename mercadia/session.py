@@ -27,15 +27,18 @@ DEFAULT_CONF = {
 }
 
 
-def scale_conf(input_bytes: int, partition_bytes: int = 256 << 20) -> dict[str, str]:
+def scale_conf(input_bytes: int, partition_bytes: int = 256 << 20,
+               input_per_shuffle_partition: int = 1 << 30,
+               max_shuffle_partitions: int = 100_000) -> dict[str, str]:
     """Settings sized for an input of ``input_bytes`` (compressed, on disk).
 
-    Shuffle partitions start at about one per ``partition_bytes`` of input
-    (scans expand on decode, joins and aggregates shrink it again) and AQE
-    coalesces the ones that come out small; file splits and the advisory
-    partition size match, so a task holds a few hundred MB.
+    File splits and the advisory shuffle partition size are
+    ``partition_bytes``. Shuffles carry pruned, partially aggregated rows, far
+    less than the input, so the initial shuffle width is one partition per
+    ``input_per_shuffle_partition`` of input, capped (the driver tracks every
+    map output per reducer); AQE then coalesces partitions that come out small.
     """
-    parts = max(200, -(-input_bytes // partition_bytes))
+    parts = min(max_shuffle_partitions, max(200, -(-input_bytes // input_per_shuffle_partition)))
     return {
         "spark.sql.shuffle.partitions": str(parts),
         "spark.sql.files.maxPartitionBytes": str(partition_bytes),
