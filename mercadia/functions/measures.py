@@ -109,7 +109,7 @@ def _attach(star, rows: DataFrame, fact: str, attrs: Sequence[str]) -> DataFrame
 
 def _filter(df: DataFrame, where: Mapping[str, object]) -> DataFrame:
     for a, v in where.items():
-        vals = list(v) if isinstance(v, (list, tuple, set, frozenset)) else [v]
+        vals = list(v) if isinstance(v, (list, tuple, set, frozenset, range)) else [v]
         df = df.where(F.col(a).isin(*vals))
     return df
 

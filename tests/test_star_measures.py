@@ -87,3 +87,17 @@ def test_measures_where_and_unreachable(s):
     assert [(r["customer_region"], r["total_revenue"]) for r in m] == [("Sudeste", Decimal("290.00"))]
     with pytest.raises(ValueError):
         measures(s, ["avg_review_score"], ["category"])
+
+
+def test_measures_two_dimensions_and_range_filter(s):
+    m = measures(s, ["total_revenue", "total_orders"], ["year", "seller_state"],
+                 where={"year": range(2017, 2018)})
+    got = {(r["year"], r["seller_state"]): (r["total_revenue"], r["total_orders"])
+           for r in m.collect()}
+    # 2017 items: s1 (SP) o1 150 + o2 80; s2 (RJ) o2 20, o3 0, o6 30; s3 (PR) o4 40, o5 60
+    assert got == {(2017, "SP"): (Decimal("230.00"), 2), (2017, "RJ"): (Decimal("50.00"), 3),
+                   (2017, "PR"): (Decimal("100.00"), 2)}
+    seg = measures(s, ["avg_review_score", "total_reviews", "total_sellers"], ["seller_region"])
+    rows = {r["seller_region"]: r for r in seg.collect()}
+    assert rows["Sudeste"]["total_sellers"] == 3 and rows["Sul"]["total_sellers"] == 1
+    assert rows["Sudeste"]["total_reviews"] == 4   # r1-r4; r5 has no seller
