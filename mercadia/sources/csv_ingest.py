@@ -8,9 +8,11 @@ read by one task, so large inputs should arrive as many files.
 Empty fields stay empty strings except in the columns listed in
 ``schemas.BLANK_IS_NULL`` (numbers and dates), where they become NULL. A CSV
 field cannot express NULL for the other text columns.
-Numbers and dates are converted with ``try_cast``; a value that does not parse
-becomes NULL and is caught by the NOT NULL rule of the domain gate when the
-column requires a value.
+Numbers and dates are parsed with ``try_cast`` into wide types, keeping the
+source text, so the domain gate can tell a blank required value (``:null``)
+from text that does not parse (``:invalid``) and from a number outside the
+declared type (``:out_of_range``); rejected rows carry the source text in
+``__raw``. Accepted rows are cast to the declared schema.
 
 The first row of a duplicated key wins: rows are ordered by file name, then by
 position inside the file (``__pos``), which is deterministic on recomputation.
@@ -21,13 +23,13 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mercadia.functions.expressions import collate_strings, region_lookup
 from mercadia.model import Tables
-from mercadia.operators.gates import REASON, domain_gate, domain_rules, fk_gate, pk_gate
+from mercadia.operators.gates import REASON, domain_gate, fk_gate, pk_gate
 from mercadia.sources import schemas
 from mercadia.sources.enrich import enrich_category
 
@@ -48,8 +50,26 @@ def read_raw(spark: SparkSession, path: str | list[str], table: str) -> DataFram
                                        F.monotonically_increasing_id().alias("row")))
 
 
-def typed(raw: DataFrame, table: str) -> DataFrame:
-    """Convert raw text to the declared schema (blank -> NULL where declared)."""
+RAW = "__raw"  # struct with the source text of every converted column
+
+
+def _wide(dt: T.DataType) -> T.DataType:
+    """Parse numbers into a wide type first, so range rules can see them."""
+    if isinstance(dt, T.DecimalType):
+        return T.DecimalType(38, dt.scale)
+    if isinstance(dt, (T.ByteType, T.ShortType, T.IntegerType)):
+        return T.LongType()
+    return dt
+
+
+def _converted(raw: DataFrame, table: str) -> list[T.StructField]:
+    return [f for f in schemas.SCHEMAS[table].fields
+            if f.name in raw.columns and not isinstance(f.dataType, T.StringType)]
+
+
+def parse(raw: DataFrame, table: str) -> DataFrame:
+    """Raw text -> values in wide types, plus the source text of the converted
+    columns in ``__raw`` when there are any (blank -> NULL where declared)."""
     blank_null = set(schemas.BLANK_IS_NULL.get(table, []))
     out = []
     for f in schemas.SCHEMAS[table].fields:
@@ -63,9 +83,56 @@ def typed(raw: DataFrame, table: str) -> DataFrame:
             # the CSV reader yields NULL for an empty unquoted field; text stays text
             c = F.coalesce(c, F.lit(""))
         if not isinstance(f.dataType, T.StringType):
-            c = c.try_cast(f.dataType)
+            c = c.try_cast(_wide(f.dataType))
         out.append(c.alias(f.name))
-    return raw.select(*out, POS)
+    raws = [F.col(f.name).alias(f.name) for f in _converted(raw, table)]
+    extra = [F.struct(*raws).alias(RAW)] if raws else []  # all-text tables keep no copy
+    return raw.select(*out, *extra, POS)
+
+
+def declared(df: DataFrame, table: str) -> DataFrame:
+    """Cast parsed columns to the declared types (out-of-range values become
+    NULL; gate them first)."""
+    cols = []
+    for f in schemas.SCHEMAS[table].fields:
+        if f.name not in df.columns:
+            continue
+        # text keeps its type (and any collation given to it)
+        cols.append(F.col(f.name) if isinstance(f.dataType, T.StringType)
+                    else F.col(f.name).cast(f.dataType).alias(f.name))
+    keep = [c for c in df.columns if c not in schemas.SCHEMAS[table].fieldNames()]
+    return df.select(*cols, *keep)
+
+
+def parse_rules(table: str, raw_columns: list[str]) -> dict[str, Column]:
+    """Domain rules of a parsed table: blank where a value is required,
+    unparseable text, values outside the declared type, text too long."""
+    rules: dict[str, Column] = {}
+    converted = {f.name for f in schemas.SCHEMAS[table].fields
+                 if f.name in raw_columns and not isinstance(f.dataType, T.StringType)}
+    for f in schemas.SCHEMAS[table].fields:
+        c = F.col(f.name)
+        if f.name in converted:
+            r = F.col(f"{RAW}.{f.name}")
+            blank = r.isNull() | (F.trim(r) == "")
+            rules[f"{f.name}:invalid"] = ~blank & c.isNull()
+            if not f.nullable:
+                rules[f"{f.name}:null"] = blank
+            if isinstance(f.dataType, T.DecimalType):
+                bound = 10 ** (f.dataType.precision - f.dataType.scale)
+                rules[f"{f.name}:out_of_range"] = F.abs(c) >= F.lit(bound)
+            elif isinstance(f.dataType, T.IntegerType):
+                rules[f"{f.name}:out_of_range"] = (c < -(2 ** 31)) | (c > 2 ** 31 - 1)
+        elif not f.nullable:
+            rules[f"{f.name}:null"] = c.isNull()
+    for name, n in schemas.MAX_LENGTH.get(table, {}).items():
+        rules[f"{name}:too_long"] = F.char_length(F.col(name)) > F.lit(n)
+    return rules
+
+
+def typed(raw: DataFrame, table: str) -> DataFrame:
+    """Convert raw text to the declared schema without gating."""
+    return declared(parse(raw, table), table).drop(RAW)
 
 
 def read_table(spark: SparkSession, path, table: str) -> DataFrame:
@@ -109,9 +176,11 @@ def load_marketplace(spark: SparkSession, paths: Mapping[str, str | list[str]],
     gated: dict[str, DataFrame] = {}
     rejects: dict[str, DataFrame] = {}
     for table in schemas.LOAD_ORDER:
-        df = coll(read_table(spark, paths[table], table))
-        rules = domain_rules(schemas.SCHEMAS[table].fields, schemas.MAX_LENGTH.get(table))
-        valid, bad_domain = domain_gate(df, rules)
+        raw = read_raw(spark, paths[table], table)
+        parsed = coll(parse(raw, table))
+        valid, bad_domain = domain_gate(parsed, parse_rules(table, raw.columns))
+        valid, bad_domain = declared(valid, table), declared(bad_domain, table)
+        df = valid
         keys = schemas.PRIMARY_KEYS[table]
         accepted, dup = pk_gate(valid, keys, [POS])
         rej = [bad_domain, dup]
@@ -121,6 +190,7 @@ def load_marketplace(spark: SparkSession, paths: Mapping[str, str | list[str]],
         if table == "products" and translation_path:
             accepted = enrich_category(accepted,
                                        coll(read_translation(spark, translation_path)))
+        accepted = accepted.drop(RAW)
         if stage_dir:
             path = f"{stage_dir.rstrip('/')}/{table}"
             accepted.drop(POS).write.mode("overwrite").parquet(path)

@@ -79,9 +79,10 @@ def test_csv_load_and_gates(spark, scratch):
     rej = {k: [r["reject_reason"] for r in v.collect()] for k, v in res.rejects.items()}
     assert rej["customers"] == ["duplicate_key"]
     assert rej["sellers"] == ["seller_state:too_long"]
-    assert sorted(rej["orders"]) == ["missing_parent:customer_id", "order_purchase_timestamp:null"]
+    assert sorted(rej["orders"]) == ["missing_parent:customer_id",
+                                     "order_purchase_timestamp:invalid"]
     assert sorted(rej["order_items"]) == ["duplicate_key", "missing_parent:order_id",
-                                          "price:null"]
+                                          "price:invalid"]
     assert rej["order_reviews"] == ["duplicate_key"]
     # accepted + rejected = input
     for name in CSV:
@@ -187,3 +188,22 @@ def test_source_collation_opt_in(spark, scratch):
     assert {r["region"] for r in logistics.logistics_regional(coll.tables).collect()} == {"Sudeste"}
     cities = coll.tables.customers.groupBy("customer_city").count().collect()
     assert sorted(r["count"] for r in cities) == [1, 2]   # 'são paulo' = 'SÃO PAULO'
+
+
+def test_parse_rules_tell_blank_invalid_and_out_of_range(spark, scratch):
+    from mercadia.operators.gates import domain_gate
+    text = ("order_id,order_item_id,product_id,seller_id,shipping_limit_date,price,freight_value\n"
+            "o1,1,p1,s1,,1.005,0\n"                       # rounds half up to 1.01
+            "o1,2,p1,s1,,,1.00\n"                          # blank required price
+            "o1,3,p1,s1,,12.3.4,1.00\n"                    # not a number
+            "o1,4,p1,s1,,123456789.00,1.00\n"              # beyond DECIMAL(10,2)
+            "o1,99999999999,p1,s1,not a date,1.00,1.00\n")  # int overflow, bad date
+    path = write(scratch, "order_items", text)
+    raw = csv_ingest.read_raw(spark, path, "order_items")
+    parsed = csv_ingest.parse(raw, "order_items")
+    valid, bad = domain_gate(parsed, csv_ingest.parse_rules("order_items", raw.columns))
+    ok = csv_ingest.declared(valid, "order_items").drop("__raw").collect()
+    assert [(r["order_item_id"], r["price"]) for r in ok] == [(1, Decimal("1.01"))]
+    reasons = {r["__raw"]["order_item_id"]: r["reject_reason"] for r in bad.collect()}
+    assert reasons == {"2": "price:null", "3": "price:invalid", "4": "price:out_of_range",
+                       "99999999999": "order_item_id:out_of_range,shipping_limit_date:invalid"}
