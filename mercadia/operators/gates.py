@@ -17,13 +17,15 @@ from pyspark.sql import functions as F
 REASON = "reject_reason"
 
 
-def pk_gate(df: DataFrame, keys: Sequence[str],
-            order: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+def pk_gate(df: DataFrame, keys: Sequence[str], order: Sequence[str],
+            row_id: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Keep the first row of each key by ``order`` (ascending, NULLs first).
 
     ``order`` should make the order total (e.g. a file position column);
     otherwise ties are broken by the remaining columns. Rows equal in every
-    column are one row. Returns ``(accepted, rejected)``.
+    column are one row. ``row_id`` names a column unique per row (such as the
+    file position): rejects are then found by that column alone instead of
+    by every column. Returns ``(accepted, rejected)``.
     """
     keys, order = list(keys), list(order)
     rest = [c for c in df.columns if c not in keys and c not in order]
@@ -31,8 +33,9 @@ def pk_gate(df: DataFrame, keys: Sequence[str],
            .agg(F.min(F.struct(*[F.col(c) for c in order + rest])).alias("__w"))
            .select(*keys, *[F.col(f"__w.{c}").alias(c) for c in order + rest])
            .select(*df.columns))
-    w = win.select(*[F.col(c).alias(f"__a{i}") for i, c in enumerate(df.columns)])
-    cond = [F.col(c).eqNullSafe(F.col(f"__a{i}")) for i, c in enumerate(df.columns)]
+    match = [row_id] if row_id else df.columns
+    w = win.select(*[F.col(c).alias(f"__a{i}") for i, c in enumerate(match)])
+    cond = [F.col(c).eqNullSafe(F.col(f"__a{i}")) for i, c in enumerate(match)]
     rejected = df.join(w, cond, "left_anti").withColumn(REASON, F.lit("duplicate_key"))
     return win, rejected
 

@@ -182,7 +182,7 @@ def load_marketplace(spark: SparkSession, paths: Mapping[str, str | list[str]],
         valid, bad_domain = declared(valid, table), declared(bad_domain, table)
         df = valid
         keys = schemas.PRIMARY_KEYS[table]
-        accepted, dup = pk_gate(valid, keys, [POS])
+        accepted, dup = pk_gate(valid, keys, [POS], row_id=POS)
         rej = [bad_domain, dup]
         for child_col, parent, parent_col in schemas.FOREIGN_KEYS.get(table, []):
             accepted, orphan = fk_gate(accepted, gated[parent], [(child_col, parent_col)])
