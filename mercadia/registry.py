@@ -61,7 +61,11 @@ def portable(df: DataFrame, as_double=()) -> DataFrame:
             c = c.cast("double")
         elif isinstance(dt, T.DateType):
             c = F.date_format(c, "yyyy-MM-dd")
-        elif isinstance(dt, (T.TimestampType, T.TimestampNTZType)):
+        elif isinstance(dt, T.TimestampNTZType):
+            # a direct cast: date_format would pass through the session time
+            # zone and move wall times that fall in a daylight-saving gap
+            c = c.cast("string")
+        elif isinstance(dt, T.TimestampType):
             c = F.date_format(c, "yyyy-MM-dd HH:mm:ss")
         elif isinstance(dt, T.BooleanType):
             c = c.cast("bigint")
