@@ -26,6 +26,11 @@ def pk_gate(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     column are one row. ``row_id`` names a column unique per row (such as the
     file position): rejects are then found by that column alone instead of
     by every column. Returns ``(accepted, rejected)``.
+
+    The winner is ``min(struct(order..., rest...))`` per key. A struct buffer
+    makes Spark plan a sort-based aggregate; it is still partial on the map
+    side, so a duplicated key collapses before the shuffle (a window would
+    send all of that key's rows to one task).
     """
     keys, order = list(keys), list(order)
     rest = [c for c in df.columns if c not in keys and c not in order]
