@@ -24,6 +24,27 @@ def register_views(frames: Mapping[str, DataFrame]) -> list[str]:
     return list(frames)
 
 
+def register_all(t, star=None, supplier_tiers=None, logistics_tiers=None,
+                 financial_tiers=None) -> list[str]:
+    """Publish the three marts, the five dimensions and the two facts as temp
+    views, so SQL users query them by name (``spark.sql("SELECT ... FROM
+    supplier_performance")``). Views are lazy: nothing runs until queried,
+    except the supplier mart's checkpoint."""
+    from mercadia.plans.financial import financial_health
+    from mercadia.plans.logistics import logistics_regional
+    from mercadia.plans.star import build_star
+    from mercadia.plans.supplier import supplier_performance
+    from mercadia.plans.thresholds import FinancialTiers, LogisticsTiers, SupplierTiers
+    st = supplier_tiers or SupplierTiers()
+    sp = supplier_performance(t, st)
+    s = star if star is not None else build_star(t, tiers=st, supplier=sp)
+    frames = {"supplier_performance": sp,
+              "logistics_regional": logistics_regional(t, logistics_tiers or LogisticsTiers()),
+              "financial_health": financial_health(t, financial_tiers or FinancialTiers()),
+              **s.as_dict()}
+    return register_views(frames)
+
+
 def write_tables(frames: Mapping[str, DataFrame], out_dir: str) -> dict[str, str]:
     """Full reload of base tables: one Parquet folder per table, overwritten."""
     paths = {}

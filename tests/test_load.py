@@ -207,3 +207,22 @@ def test_parse_rules_tell_blank_invalid_and_out_of_range(spark, scratch):
     reasons = {r["__raw"]["order_item_id"]: r["reject_reason"] for r in bad.collect()}
     assert reasons == {"2": "price:null", "3": "price:invalid", "4": "price:out_of_range",
                        "99999999999": "order_item_id:out_of_range,shipping_limit_date:invalid"}
+
+
+def test_register_all_for_sql_users(spark):
+    from mercadia.plans.thresholds import SupplierTiers
+    t = marketplace(spark)
+    names = publish.register_all(t, supplier_tiers=SupplierTiers(
+        gold_score=3.5, gold_on_time=0.5, gold_min_orders=3, regular_score=2.5,
+        regular_on_time=0.0))
+    assert {"supplier_performance", "logistics_regional", "financial_health", "dim_date",
+            "fact_orders", "fact_reviews"} <= set(names)
+    seg = spark.sql("""SELECT supplier_segment, COUNT(*) AS sellers,
+                              ROUND(AVG(total_revenue), 2) AS avg_revenue
+                       FROM supplier_performance GROUP BY supplier_segment""").collect()
+    assert {r["supplier_segment"]: r["sellers"] for r in seg} == \
+        {"Gold Partner": 1, "Regular Operation": 1, "Operational Risk": 1}
+    tiers = spark.sql("SELECT segment_tier, COUNT(*) AS n FROM dim_seller GROUP BY 1").collect()
+    assert {r["segment_tier"]: r["n"] for r in tiers}["No Fulfilled Orders"] == 1
+    n = spark.sql("SELECT COUNT(*) FROM fact_orders f JOIN dim_date d USING (date_key)").first()[0]
+    assert n == 10
