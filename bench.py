@@ -5,8 +5,8 @@ nothing is collected to the driver) and prints ONE JSON line:
 {"metric": ..., "value": total_sec, "unit": "sec", "queries": {...}, "sf": ...}
 
 Environment: BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8),
-BENCH_QUERIES (comma list, default the headline set), BENCH_REPEAT (default 2,
-best of N: the first run of a plan also pays its code generation).
+BENCH_QUERIES (comma list, default the headline set), BENCH_REPEAT (default 3,
+best of N: the first runs of a plan also pay code generation and JIT warm-up).
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ HEADLINE = [
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
-    repeat = int(os.environ.get("BENCH_REPEAT", "2"))
+    repeat = int(os.environ.get("BENCH_REPEAT", "3"))
     names = [q for q in os.environ.get("BENCH_QUERIES", ",".join(HEADLINE)).split(",") if q]
     from mercadia.registry import QUERIES
     from mercadia.session import build_session, checkpoint_dir
