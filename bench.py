@@ -57,7 +57,8 @@ def main() -> None:
     print(json.dumps({"metric": "headline_queries_total_wall", "value": round(sum(times.values()), 3),
                       "unit": "sec", "queries": times,
                       "sf": float(m.group(1)) if m else sf_dir,
-                      "cpus": cpus, "shuffle_partitions": cpus * 2, "repeat": repeat}))
+                      "cpus": cpus, "shuffle_partitions": cpus * 2, "repeat": repeat,
+                      "spark": spark.version}))
     spark.stop()
 
 
