@@ -95,6 +95,17 @@ def mean(c, digits: int | None = None, scale: int = 0, over=None) -> Column:
     return q if digits is None else F.round(q, digits)
 
 
+# --- whole-table values -------------------------------------------------------------
+
+def with_scalars(df: DataFrame, one: DataFrame) -> DataFrame:
+    """Attach the columns of ``one``, a frame of exactly one row (a global
+    aggregate), to every row of ``df`` as a scalar subquery: Spark computes it
+    once, before ``df``'s stages, and inlines the values; no join is planned."""
+    packed = one.select(F.struct(*[F.col(f"`{c}`") for c in one.columns]).alias("__s"))
+    return df.withColumn("__s", packed.scalar()).select(
+        "*", *[F.col(f"__s.`{c}`").alias(c) for c in one.columns]).drop("__s")
+
+
 # --- text comparison --------------------------------------------------------------
 
 SOURCE_COLLATION = "UNICODE_CI_AI_RTRIM"  # case- and accent-insensitive, trailing spaces ignored

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mercadia.fixed import GOLD_PARTNER, OPERATIONAL_RISK
-from mercadia.functions.expressions import dec, mean, with_region
+from mercadia.functions.expressions import dec, mean, with_region, with_scalars
 
 
 @dataclass(frozen=True)
@@ -214,7 +214,7 @@ def measures(star, names: Sequence[str], by: Sequence[str] = (),
 
     def combine(left: DataFrame, right: DataFrame) -> DataFrame:
         if not by:
-            return left.crossJoin(right)  # one row each: a global context
+            return with_scalars(left, right)  # one row each: a global context
         r = right.select(*[F.col(b).alias(f"__r_{b}") for b in by],
                          *[c for c in right.columns if c not in by])
         cond = [F.col(b).eqNullSafe(F.col(f"__r_{b}")) for b in by]

@@ -138,26 +138,31 @@ def rank_table(df: DataFrame, order: OrderSpec, method: str, out: str,
     st = kc.schema["__k"].dataType
     kc = kc.withColumn("__b", _bucket_of(F.col("__k"), [_struct_literal(c, st) for c in cuts]))
 
-    # per (partition, bucket) totals and their running offsets: a bounded table
-    tot = kc.groupBy(*part, "__b").agg(F.sum("__n").alias("__rows"),
-                                       F.count(F.lit(1)).alias("__keys"))
-    wo = Window.partitionBy(*part).orderBy("__b")
-    wo_before = wo.rowsBetween(Window.unboundedPreceding, -1)
-    tot = tot.select(
-        *[F.col(c).alias(f"__p{i}") for i, c in enumerate(part)], F.col("__b").alias("__pb"),
-        F.coalesce(F.sum("__rows").over(wo_before), F.lit(0)).alias("__rows_off"),
-        F.coalesce(F.sum("__keys").over(wo_before), F.lit(0)).alias("__keys_off"),
-        F.sum("__rows").over(Window.partitionBy(*part)).alias("__total"))
-
     # ranks inside each (partition, bucket)
     w = Window.partitionBy(*part, "__b").orderBy("__k")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     local = (kc.withColumn("__rows_lo", F.coalesce(F.sum("__n").over(before), F.lit(0)))
              .withColumn("__keys_lo", F.row_number().over(w) - 1))
-    # partition values may be NULL, hence the NULL-safe match
-    cond = [F.col(c).eqNullSafe(F.col(f"__p{i}")) for i, c in enumerate(part)]
-    kc = (local.join(F.broadcast(tot), cond + [F.col("__b") == F.col("__pb")])
-          .drop(*[f"__p{i}" for i in range(len(part))], "__pb"))
+    if not cuts:
+        # one bucket: no offsets, and the total is the partition's own sum
+        kc = (local.withColumn("__rows_off", F.lit(0)).withColumn("__keys_off", F.lit(0))
+              .withColumn("__total", F.sum("__n").over(Window.partitionBy(*part, "__b"))))
+    else:
+        # per (partition, bucket) totals and their running offsets: a bounded table
+        tot = kc.groupBy(*part, "__b").agg(F.sum("__n").alias("__rows"),
+                                           F.count(F.lit(1)).alias("__keys"))
+        wo = Window.partitionBy(*part).orderBy("__b")
+        wo_before = wo.rowsBetween(Window.unboundedPreceding, -1)
+        tot = tot.select(
+            *[F.col(c).alias(f"__p{i}") for i, c in enumerate(part)],
+            F.col("__b").alias("__pb"),
+            F.coalesce(F.sum("__rows").over(wo_before), F.lit(0)).alias("__rows_off"),
+            F.coalesce(F.sum("__keys").over(wo_before), F.lit(0)).alias("__keys_off"),
+            F.sum("__rows").over(Window.partitionBy(*part)).alias("__total"))
+        # partition values may be NULL, hence the NULL-safe match
+        cond = [F.col(c).eqNullSafe(F.col(f"__p{i}")) for i, c in enumerate(part)]
+        kc = (local.join(F.broadcast(tot), cond + [F.col("__b") == F.col("__pb")])
+              .drop(*[f"__p{i}" for i in range(len(part))], "__pb"))
 
     rank = F.col("__rows_off") + F.col("__rows_lo") + 1
     if kind in ("rank", "row_number"):
@@ -225,13 +230,13 @@ def with_overall_means(df: DataFrame, means: dict[str, tuple[str, int | None]],
     """``ROUND(AVG(col) OVER (), digits)`` for each ``out -> (col, digits)``.
 
     For a domain-bounded input (``bounded=True``) this is the plain window over
-    all rows. Otherwise the global aggregate, one row by construction, is
-    broadcast to every row instead of moving all rows through a
-    single-partition window. ``source`` is a frame with the same rows and
+    all rows. Otherwise the global aggregate, one row by construction, is a
+    scalar subquery attached to every row, instead of moving all rows through
+    a single-partition window. ``source`` is a frame with the same rows and
     averaged columns as ``df`` but a cheaper plan (e.g. before rank joins),
     to aggregate instead of ``df``.
     """
-    from mercadia.functions.expressions import mean
+    from mercadia.functions.expressions import mean, with_scalars
 
     def scale(c: str) -> int:
         dt = df.schema[c].dataType
@@ -243,4 +248,4 @@ def with_overall_means(df: DataFrame, means: dict[str, tuple[str, int | None]],
                                 for o, (c, d) in means.items()])
     src = df if source is None else source
     one = src.agg(*[mean(c, d, scale(c)).alias(o) for o, (c, d) in means.items()])
-    return df.crossJoin(F.broadcast(one))
+    return with_scalars(df, one)

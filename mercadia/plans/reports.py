@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mercadia.functions.expressions import mean, ratio
+from mercadia.functions.expressions import mean, ratio, with_scalars
 
 
 def segment_summary(supplier: DataFrame) -> DataFrame:
@@ -25,7 +25,7 @@ def segment_share(supplier: DataFrame) -> DataFrame:
     """Sellers per segment and their share of all ranked sellers."""
     per = supplier.groupBy("supplier_segment").agg(F.count(F.lit(1)).alias("sellers"))
     total = supplier.agg(F.count(F.lit(1)).alias("__all"))  # one row
-    return (per.crossJoin(F.broadcast(total))
+    return (with_scalars(per, total)
             .select("supplier_segment", "sellers",
                     ratio("sellers", "__all", 4).alias("share_of_sellers"))
             .orderBy(F.desc("sellers")))
