@@ -39,8 +39,20 @@ def final_plan(df) -> str:
     """Run the query in place and return AQE's final physical plan."""
     qe = df._jdf.queryExecution()
     qe.toRdd().count()
-    # the adaptive plan prints its final and its initial plan; keep the final one
-    return qe.executedPlan().toString().split("== Initial Plan ==")[0]
+    # every adaptive plan (the query's and each subquery's) prints its final and
+    # its initial plan; drop each initial-plan block (the deeper-indented lines
+    # under its marker)
+    keep, skip_below = [], None
+    for line in qe.executedPlan().toString().splitlines():
+        col = len(line) - len(line.lstrip(" :+-|"))
+        if skip_below is not None and col >= skip_below:
+            continue
+        skip_below = None
+        if "== Initial Plan ==" in line:
+            skip_below = col
+            continue
+        keep.append(line)
+    return "\n".join(keep)
 
 
 def main() -> None:
