@@ -217,14 +217,6 @@ def bucketed_rank(df: DataFrame, order: OrderSpec, method: str, out: str,
     return join_ranks(df, t, list(partition_by) + [c for c, _ in order])
 
 
-def rank_over(df: DataFrame, order: OrderSpec, method: str, out: str,
-              partition_by: Sequence[str] = (), bounded: bool = False, **kw) -> DataFrame:
-    """Dispatch: ``bounded=True`` for domain-bounded inputs, else bucketed."""
-    if bounded:
-        return window_rank(df, order, method, out, partition_by)
-    return bucketed_rank(df, order, method, out, partition_by, **kw)
-
-
 def with_overall_means(df: DataFrame, means: dict[str, tuple[str, int | None]],
                        bounded: bool = False, source: DataFrame | None = None) -> DataFrame:
     """``ROUND(AVG(col) OVER (), digits)`` for each ``out -> (col, digits)``.

@@ -140,7 +140,9 @@ def read_table(spark: SparkSession, path, table: str) -> DataFrame:
 
 
 def read_translation(spark: SparkSession, path) -> DataFrame:
-    return read_raw(spark, path, "category_translation").drop(POS)
+    raw = read_raw(spark, path, "category_translation")
+    return raw.select(*[F.col(f.name).cast(f.dataType).alias(f.name)
+                        for f in schemas.CATEGORY_TRANSLATION.fields])
 
 
 @dataclass(frozen=True)
