@@ -73,3 +73,16 @@ def test_overall_means(spark):
     r = with_overall_means(df, {"m": ("x", 1), "raw": ("x", None)}).first()
     assert r["m"] == Decimal("1.7") and r["raw"] == Decimal("1.666667")
     assert df.select(F.lit(1)).count() == 3
+
+
+@pytest.mark.skipif(not __import__("os").path.isdir("/root/testdata/sf0.01"),
+                    reason="driver tables not present")
+def test_supplier_mart_same_with_many_buckets(spark):
+    from mercadia.plans import supplier
+    from mercadia.sources import testdata
+    t = testdata.load(spark, "/root/testdata/sf0.01")
+    one = supplier.supplier_performance(t)
+    many = supplier.supplier_performance(t, buckets=6)
+    cols = ["seller_id", "quality_rank", "quality_rank_in_state", "revenue_quartile",
+            "company_avg_review_score", "supplier_segment"]
+    assert same(one, many, cols)
