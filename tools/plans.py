@@ -71,7 +71,7 @@ def main() -> None:
           "At this size almost every side fits the broadcast threshold; on a cluster the "
           "same plans keep their sort-merge joins on `order_id`, `customer_id` and "
           "`product_id` and the shuffles counted here, and only the bounded lookups "
-          "(regions, rank offsets, one-row aggregates) stay broadcast. "
+          "(regions, rank offsets) stay broadcast; whole-table values are scalar subqueries. "
           "Generated by `tools/plans.py`.\n")
     print("| query | static: shuffles / broadcasts / SMJ / BHJ / windows | "
           "final: shuffles / broadcasts / SMJ / BHJ / windows | scans: columns read |")
