@@ -14,7 +14,8 @@ is aggregated in two levels:
 Distinct-order counts (Total / Delayed / Cancelled Orders) are row counts and
 flag sums at order grain, so no distinct-aggregate expansion is needed, and the
 order-grain average lead time falls out of the same pass. Results of the facts
-are joined on the slice with NULL-safe equality (slices are small).
+are joined on the slice with NULL-safe equality (slices are small); without a
+slice each fact gives one row, attached as a scalar subquery.
 
 Empty-context conventions: sums and counts are 0 when the slice has fact rows
 but none qualify; ratios are NULL when their denominator is 0 or missing.
