@@ -39,16 +39,20 @@ def read_tables(spark: SparkSession, base_dir: str, region: DataFrame | None = N
 def refresh(spark: SparkSession, csv_paths: Mapping[str, str | list[str]], translation_path: str,
             out_dir: str, supplier_tiers: SupplierTiers = SupplierTiers(),
             logistics_tiers: LogisticsTiers = LogisticsTiers(),
-            financial_tiers: FinancialTiers = FinancialTiers()) -> dict[str, str]:
-    """Run the whole refresh; returns the written paths by name."""
+            financial_tiers: FinancialTiers = FinancialTiers(),
+            collation: str | None = None) -> dict[str, str]:
+    """Run the whole refresh; returns the written paths by name.
+
+    ``collation`` is passed to the load (see ``csv_ingest.load_marketplace``).
+    """
     out = out_dir.rstrip("/")
     # each gated table is written to base/ and read back before its children
     loaded = csv_ingest.load_marketplace(spark, csv_paths, translation_path,
-                                         stage_dir=f"{out}/base")
+                                         collation=collation, stage_dir=f"{out}/base")
     paths = {f"base/{k}": f"{out}/base/{k}" for k in loaded.tables.as_dict()}
     paths.update({f"rejects/{k}": v for k, v in
                   publish.write_tables(loaded.rejects, f"{out}/rejects").items()})
-    t = read_tables(spark, f"{out}/base")
+    t = read_tables(spark, f"{out}/base", loaded.tables.region_lookup)
     checks = {"row_counts": row_counts(t), "quality_report": quality_report(t),
               "status_distribution": status_distribution(t.orders)}
     paths.update({f"quality/{k}": v for k, v in
