@@ -226,3 +226,15 @@ def test_register_all_for_sql_users(spark):
     assert {r["segment_tier"]: r["n"] for r in tiers}["No Fulfilled Orders"] == 1
     n = spark.sql("SELECT COUNT(*) FROM fact_orders f JOIN dim_date d USING (date_key)").first()[0]
     assert n == 10
+
+
+def test_refresh_job_with_collation(spark, scratch):
+    from mercadia import jobs
+    from mercadia.functions.expressions import SOURCE_COLLATION
+    paths = {k: write(scratch, k, v) for k, v in CSV.items()}
+    tr = write(scratch, "translation", TRANSLATION)
+    out = jobs.refresh(spark, paths, tr, os.path.join(scratch, "out"),
+                       collation=SOURCE_COLLATION)
+    schema = spark.read.parquet(out["base/customers"]).schema
+    assert "UNICODE_CI_AI_RTRIM" in schema["customer_state"].dataType.simpleString()
+    assert spark.read.parquet(out["marts/logistics_regional"]).count() == 1
