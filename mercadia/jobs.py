@@ -67,3 +67,35 @@ def refresh(spark: SparkSession, csv_paths: Mapping[str, str | list[str]], trans
                       supplier=spark.read.parquet(paths["marts/supplier_performance"]))
     paths.update({f"star/{k}": v for k, v in publish.publish_star(star, f"{out}/star").items()})
     return paths
+
+
+def main(argv: list[str] | None = None) -> dict[str, str]:
+    """``python -m mercadia.jobs --customers F --sellers F ... --translation F --out DIR``"""
+    import argparse
+    import json
+
+    from mercadia.functions.expressions import SOURCE_COLLATION
+    from mercadia.session import build_session, checkpoint_dir
+    from mercadia.sources import schemas
+
+    ap = argparse.ArgumentParser(prog="python -m mercadia.jobs",
+                                 description="Full marketplace refresh on Spark.")
+    for table in schemas.LOAD_ORDER:
+        ap.add_argument(f"--{table.replace('_', '-')}", required=True, nargs="+",
+                        help=f"CSV file(s) of {table}")
+    ap.add_argument("--translation", required=True, help="category translation CSV")
+    ap.add_argument("--out", required=True, help="output folder (a shared file system)")
+    ap.add_argument("--collate", action="store_true",
+                    help=f"compare text as {SOURCE_COLLATION}")
+    a = ap.parse_args(argv)
+    spark = build_session()
+    checkpoint_dir(spark)
+    paths = {t: getattr(a, t) for t in schemas.LOAD_ORDER}
+    written = refresh(spark, paths, a.translation, a.out,
+                      collation=SOURCE_COLLATION if a.collate else None)
+    print(json.dumps(written, indent=1))
+    return written
+
+
+if __name__ == "__main__":
+    main()

@@ -238,3 +238,13 @@ def test_refresh_job_with_collation(spark, scratch):
     schema = spark.read.parquet(out["base/customers"]).schema
     assert "UNICODE_CI_AI_RTRIM" in schema["customer_state"].dataType.simpleString()
     assert spark.read.parquet(out["marts/logistics_regional"]).count() == 1
+
+
+def test_refresh_command_line(spark, scratch):
+    from mercadia import jobs
+    paths = {k: write(scratch, k, v) for k, v in CSV.items()}
+    args = [x for k, p in paths.items() for x in (f"--{k.replace('_', '-')}", p)]
+    out = os.path.join(scratch, "cli")
+    written = jobs.main(args + ["--translation", write(scratch, "tr", TRANSLATION),
+                                "--out", out])
+    assert spark.read.parquet(written["star/fact_orders"]).count() == 1
