@@ -26,6 +26,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
+from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +34,9 @@ from pyspark.sql import functions as F
 from mercadia.fixed import GOLD_PARTNER, OPERATIONAL_RISK
 from mercadia.functions.expressions import dec, mean, with_region, with_scalars
 
+if TYPE_CHECKING:
+    from mercadia.plans.star import Star
+
 
 @dataclass(frozen=True)
 class Attribute:
@@ -80,7 +84,7 @@ def _q(num: Column, den: Column) -> Column:
     return dec(num, 2) / F.nullif(den, F.lit(0))
 
 
-def _dimension(star, dim: str, need_region: bool) -> DataFrame:
+def _dimension(star: Star, dim: str, need_region: bool) -> DataFrame:
     if dim == "date":
         return star.dim_date  # days of the data's span: broadcast by its measured size
     if dim in ("customer", "seller"):
@@ -92,7 +96,7 @@ def _dimension(star, dim: str, need_region: bool) -> DataFrame:
     raise ValueError(dim)
 
 
-def _attach(star, rows: DataFrame, fact: str, attrs: Sequence[str]) -> DataFrame:
+def _attach(star: Star, rows: DataFrame, fact: str, attrs: Sequence[str]) -> DataFrame:
     """Join the dimensions that provide ``attrs`` onto fact-keyed rows."""
     by_dim: dict[str, list[Attribute]] = {}
     for a in attrs:
@@ -121,7 +125,7 @@ def _check_reach(fact: str, attrs: Sequence[str]) -> None:
             raise ValueError(f"fact '{fact}' has no relationship to attribute '{a}'")
 
 
-def _orders_measures(star, by: Sequence[str], where: Mapping[str, object]) -> DataFrame:
+def _orders_measures(star: Star, by: Sequence[str], where: Mapping[str, object]) -> DataFrame:
     attrs = list(dict.fromkeys([*by, *where]))
     _check_reach("orders", attrs)
     keys = list(dict.fromkeys(FACT_KEYS["orders"][ATTRIBUTES[a].dim][0] for a in attrs))
@@ -159,7 +163,7 @@ def _orders_measures(star, by: Sequence[str], where: Mapping[str, object]) -> Da
         _q(F.col("cancelled_orders"), n).alias("cancellation_rate_pct"))
 
 
-def _reviews_measures(star, by: Sequence[str], where: Mapping[str, object]) -> DataFrame:
+def _reviews_measures(star: Star, by: Sequence[str], where: Mapping[str, object]) -> DataFrame:
     attrs = list(dict.fromkeys([*by, *where]))
     _check_reach("reviews", attrs)
     keys = list(dict.fromkeys(FACT_KEYS["reviews"][ATTRIBUTES[a].dim][0] for a in attrs))
@@ -179,7 +183,7 @@ def _reviews_measures(star, by: Sequence[str], where: Mapping[str, object]) -> D
                     .alias("avg_response_time_days"))
 
 
-def _seller_measures(star, by: Sequence[str], where: Mapping[str, object]) -> DataFrame:
+def _seller_measures(star: Star, by: Sequence[str], where: Mapping[str, object]) -> DataFrame:
     """Dimension-level counts: fact filters do not reach them."""
     attrs = list(dict.fromkeys([*by, *where]))
     _check_reach("sellers", attrs)
@@ -199,7 +203,7 @@ _BUILDERS = {"orders": _orders_measures, "reviews": _reviews_measures,
              "sellers": _seller_measures}
 
 
-def measures(star, names: Sequence[str], by: Sequence[str] = (),
+def measures(star: Star, names: Sequence[str], by: Sequence[str] = (),
              where: Mapping[str, object] | None = None) -> DataFrame:
     """Evaluate measures ``names`` for every combination of ``by`` attributes.
 
