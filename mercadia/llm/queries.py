@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mercadia.llm import exact_dedup
+from mercadia.llm import exact_dedup, url_rules
 from mercadia.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,3 +40,35 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return exact_dedup.groups(docs, "doc_id", "text").select(
         "doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
+             ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+
+
+@register("op4_url_rules", """
+WITH u AS (
+  SELECT page_id, CASE WHEN strpos(url, '://') > 0
+                       THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest
+  FROM pages),
+p AS (
+  SELECT page_id, regexp_extract(rest, '^[^/?#]*') AS raw,
+         translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                   'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path
+  FROM u),
+r(rule_host, rule_path, verdict) AS (VALUES
+  ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'),
+  ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+fit AS (
+  SELECT p.page_id, rule_host || rule_path AS rule, verdict,
+         row_number() OVER (PARTITION BY p.page_id ORDER BY length(rule_host || rule_path) DESC) AS k
+  FROM p JOIN r ON (host = rule_host OR ends_with(host, '.' || rule_host))
+                AND starts_with(path, rule_path))
+SELECT p.page_id, p.host, p.path, fit.rule, coalesce(fit.verdict, 'allow') AS verdict
+FROM p LEFT JOIN fit ON fit.page_id = p.page_id AND fit.k = 1
+""")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_rules.judge(pages, "url", url_rules.rule_table(spark, URL_RULES)).select(
+        "page_id", "host", "path", "rule", "verdict")
