@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mercadia.llm import exact_dedup, url_rules
+from mercadia.llm import byte_bpe, exact_dedup, url_rules
 from mercadia.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -72,3 +73,16 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return url_rules.judge(pages, "url", url_rules.rule_table(spark, URL_RULES)).select(
         "page_id", "host", "path", "rule", "verdict")
+
+
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+
+
+@register("op6_byte_bpe")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = byte_bpe.round_trip(docs, "text", BYTE_BPE)
+    return out.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
