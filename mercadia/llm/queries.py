@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mercadia.llm import byte_bpe, exact_dedup, url_rules
-from mercadia.llm.common import table
+from mercadia.llm import byte_bpe, exact_dedup, token_files, url_rules
+from mercadia.llm.common import scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -86,3 +86,15 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+
+
+@register("op8_token_files")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    folder = scratch(spark, "token-files")
+    token_files.write(docs, "doc_id", "text", WORD_BPE, folder, end_id=1)
+    found = token_files.read(spark, folder).withColumn("ids_crc32", F.crc32("ids_le")).drop("ids_le")
+    return token_files.index(found).select("doc_id", "start", "n_tokens", "ids_crc32")
