@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mercadia.llm import byte_bpe, exact_dedup, token_files, url_rules
-from mercadia.llm.common import scratch, table
+from mercadia.llm import byte_bpe, exact_dedup, language_id, quality, token_files, url_rules
+from mercadia.llm.common import remainder, scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -98,3 +98,23 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     token_files.write(docs, "doc_id", "text", WORD_BPE, folder, end_id=1)
     found = token_files.read(spark, folder).withColumn("ids_crc32", F.crc32("ids_le")).drop("ids_le")
     return token_files.index(found).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+@register("op10_language_id")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = remainder(F.col("doc_id"), 5) == 0
+    model = language_id.train(docs, "doc_id", "text", "lang", ~held_out)
+    return language_id.predict(docs.select("doc_id", "text"), "text", model, drop_text=True).select(
+        "doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@register("op1_quality")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels")
+    held_out = remainder(F.col("doc_id"), 3) == 1
+    model = quality.train(docs, "doc_id", "text", labels, "doc_id", "quality", ~held_out)
+    return quality.score(docs, "text", model, drop_text=True).select(
+        "doc_id", held_out.alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"))
