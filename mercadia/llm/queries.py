@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mercadia.llm import byte_bpe, exact_dedup, language_id, quality, token_files, url_rules
+from mercadia.llm import byte_bpe, exact_dedup, language_id, quality, token_files, url_rules, warc
 from mercadia.llm.common import remainder, scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -118,3 +118,19 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, "text", model, drop_text=True).select(
         "doc_id", held_out.alias("held_out"), "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@register("op3_arc_to_warc", """
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest
+  FROM pages),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS last FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND page_id < last THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id < last THEN last END AS refers_to
+FROM m
+""")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return warc.through_archives(pages, "page_id", "url", "html").select(
+        F.col("doc_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
