@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mercadia.llm import byte_bpe, exact_dedup, language_id, quality, token_files, url_rules, warc
+from mercadia.llm import byte_bpe, decontaminate, exact_dedup, language_id, quality, token_files, url_rules, warc
 from mercadia.llm.common import remainder, scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -134,3 +134,12 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return warc.through_archives(pages, "page_id", "url", "html").select(
         F.col("doc_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@register("op5_decontaminate")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    items = table(spark, sf_dir, "benchmark").select("item_id", "text")
+    return decontaminate.leaks(docs, "doc_id", "text", items, "item_id", "text").select(
+        F.col("doc").alias("doc_id"), F.col("item").alias("item_id"),
+        "windows", "matched", "coverage", "slots_changed")
