@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mercadia.llm import byte_bpe, decontaminate, exact_dedup, language_id, quality, token_files, url_rules, warc
+from mercadia.llm import byte_bpe, decontaminate, exact_dedup, language_id, ngram_join, quality, token_files, url_rules, warc
 from mercadia.llm.common import remainder, scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -143,3 +143,9 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(docs, "doc_id", "text", items, "item_id", "text").select(
         F.col("doc").alias("doc_id"), F.col("item").alias("item_id"),
         "windows", "matched", "coverage", "slots_changed")
+
+
+@register("op7_ngram_join")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return ngram_join.near_duplicates(docs, "doc_id", "text").select("doc_id", "n_shingles", "component_id")
