@@ -14,8 +14,8 @@ Files are written and read by Spark's text source, byte for byte, so they can be
 on any store that Spark reaches. File ``part-NNNNN`` holds the N-th range of ids.
 
 Defined cases: a null text counts as empty and has the end id alone; a null doc
-id sorts first; rows that repeat an id are all written, ordered by their ids'
-bytes; an empty table gives no block and reads back as an empty table. Only the
+id sorts first; rows that repeat an id are all written, ordered by a hash
+of the text; an empty table gives no block and reads back as an empty table. Only the
 two named columns are read, so other columns may have any name.
 """
 
@@ -24,12 +24,14 @@ from __future__ import annotations
 import os
 import re
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from mercadia.llm.byte_bpe import byte_chars
 from mercadia.llm.common import staged, width
 from mercadia.llm.tokens import PieceIds, slices
 
@@ -38,6 +40,7 @@ SELECTORS = [(1, 60), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8,
              (5, 12), (4, 15), (3, 20), (2, 30), (1, 60), (240, 0)]
 COUNT = np.array([c for c, _ in SELECTORS], np.int64)
 BITS = np.array([b for _, b in SELECTORS], np.int64)
+POWERS = np.uint64(1) << np.arange(64, dtype=np.uint64)
 #: Tried in this order: most ids first.
 BY_COUNT = sorted(range(1, 16), key=lambda s: -SELECTORS[s][0])
 MARK = "<<simple-8b block end>>"
@@ -54,17 +57,21 @@ def pack(values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     choice = np.zeros(size, np.int8)
     step = np.ones(size, np.int64)
     open_ = np.ones(size, bool)
+    need = np.searchsorted(POWERS, values, "right").astype(np.uint8)     # bits of each value
     for s in BY_COUNT:
         many, bits = SELECTORS[s]
-        big = np.where(values >> np.uint64(bits) != 0, at, size)
-        if bits < 20 and len(big) and (big < size).all():
+        low = np.flatnonzero(open_ & (need <= bits))
+        if not len(low):
             continue
-        next_big = np.minimum.accumulate(big[::-1])[::-1] if size else big
-        reach = np.minimum(at + many, ends)
-        fits = open_ & (next_big >= reach)
-        choice[fits] = s
-        step[fits] = (reach - at)[fits]
-        open_ &= ~fits
+        # the first place behind each that is decided or too large for the selector
+        last = np.flatnonzero(np.append(np.diff(low) != 1, True))
+        stop = np.repeat(low[last] + 1, np.diff(last, prepend=-1))
+        reach = np.minimum(low + many, ends[low])
+        fits = stop >= reach
+        low, reach = low[fits], reach[fits]
+        choice[low] = s
+        step[low] = reach - low
+        open_[low] = False
     follow = (at + step).tolist()
     starts, p = [], 0
     while p < size:
@@ -166,9 +173,15 @@ SEPARATORS = re.compile("[\x1c-\x1f]")
 SPACES = re.compile("[ \n\t]+")
 
 
+# Up to here NFC changes nothing and lower case is one rule; no special token starts so.
+PLAIN = re.compile("[^\0-\x1b\x20-\u024f]|<")
+
+
 class WordTokens:
     """Ids of whole texts from the tokenizers library; white space always ends a
-    pre-token, so texts are cut there and each distinct piece is encoded once."""
+    pre-token, so texts are cut there and each distinct piece is encoded once.
+    Lower-case words of plain letters are one pre-token each and go straight to
+    the library's model; all else takes its whole path."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -176,9 +189,37 @@ class WordTokens:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.model = self.tokenizer.model
+        self.to_chars = str.maketrans({b: c for c, b in byte_chars().items()})
+        self.ends = {end: self._word(end) for end in ",."}
         self.cache = PieceIds(self._pieces)
 
+    def _word(self, word: str) -> list[int]:
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(self.to_chars)
+        return [t.id for t in self.model.tokenize(word)]
+
     def _pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found: list[list[int] | None] = [None] * len(pieces)
+        rest = []
+        for k, piece in enumerate(pieces):
+            end = piece[-1]
+            if end == "," or end == ".":
+                word, ids = piece[:-1], self.ends[end]
+            else:
+                word, ids = piece, []
+            if word.isalpha() and word.islower() and (word.isascii() or not PLAIN.search(word)):
+                found[k] = self._word(word) + ids
+            else:
+                rest.append(k)
+        if rest:
+            flat, counts = self._whole([pieces[k] for k in rest])
+            for k, ids in zip(rest, np.split(flat, np.cumsum(counts)[:-1])):
+                found[k] = ids.tolist()
+        counts = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), np.int32, int(counts.sum())), counts
+
+    def _whole(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
         out = self.tokenizer.encode(" ".join(pieces), add_special_tokens=False)
         begin = np.fromiter((a for a, _ in out.offsets), np.int64, len(out.ids))
@@ -190,7 +231,12 @@ class WordTokens:
         pieces: list[str] = []
         sizes = np.zeros(len(texts), np.int64)
         for k, text in enumerate(texts):
-            found = text.split() if not SEPARATORS.search(text) else [p for p in SPACES.split(text) if p]
+            if not PLAIN.search(text):
+                found = text.lower().split()
+            elif SEPARATORS.search(text):
+                found = [p for p in SPACES.split(text) if p]
+            else:
+                found = text.split()
             pieces += found
             sizes[k] = len(found)
         return self.cache.ids(pieces, sizes)
@@ -201,24 +247,6 @@ def load(path: str) -> WordTokens:
     return WordTokens(path)
 
 
-def packed(df: DataFrame, doc_id: str, text: str, path: str, end_id: int) -> DataFrame:
-    """(doc_id, n_tokens, words, escapes): each text's ids and the end id, packed."""
-    def run(batches):
-        tokens = load(path)
-        for batch in batches:
-            for part in slices(batch, 1):
-                flat, counts = tokens.encode([t or "" for t in part.column(1).to_pylist()])
-                ends = np.cumsum(counts)
-                flat = np.insert(flat.astype(np.int64), ends, end_id)
-                words, per_doc, raw, raw_per_doc = pack(flat, counts + 1)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(counts + 1, pa.int64()), binary(words, per_doc),
-                     binary(raw, raw_per_doc)], names=["doc_id", "n_tokens", "words", "escapes"])
-
-    return (df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-            .mapInArrow(run, "doc_id long, n_tokens long, words binary, escapes binary"))
-
-
 def binary(values: np.ndarray, per_row: np.ndarray, size: int = 8) -> pa.Array:
     edges = (np.concatenate([[0], np.cumsum(per_row)]) * size).astype(np.int64)
     data = np.ascontiguousarray(values).view(np.uint8)
@@ -227,10 +255,15 @@ def binary(values: np.ndarray, per_row: np.ndarray, size: int = 8) -> pa.Array:
 
 
 def write(df: DataFrame, doc_id: str, text: str, path: str, folder: str, end_id: int) -> None:
-    """Encode every text and write the files of ``folder`` in ascending id order."""
+    """Encode every text, append ``end_id`` and write the files of ``folder`` in id order.
+
+    The texts are range-partitioned and sorted before they are encoded, so the
+    sample for the ranges reads ids only and every text is encoded once.
+    """
     spark = df.sparkSession
 
     def blocks(batches):
+        tokens = load(path)
         seq = start = held = 0
         rows: list[tuple] = []
 
@@ -242,8 +275,13 @@ def write(df: DataFrame, doc_id: str, text: str, path: str, folder: str, end_id:
             return pa.RecordBatch.from_arrays([pa.array([out], pa.binary())], names=["block"])
 
         for batch in batches:
-            for part in slices(batch, 2):
-                for row in zip(*(part.column(c).to_pylist() for c in range(4))):
+            for part in slices(batch, 1):
+                flat, counts = tokens.encode([t or "" for t in part.column(1).to_pylist()])
+                flat = np.insert(flat.astype(np.int64), np.cumsum(counts), end_id)
+                counts = counts + 1
+                words, per_doc, raw, raw_per_doc = pack(flat, counts)
+                for row in zip(part.column(0).to_pylist(), counts.tolist(), binary(words, per_doc).to_pylist(),
+                               binary(raw, raw_per_doc).to_pylist()):
                     rows.append(row)
                     held += len(row[2]) // 8
                     if held >= BLOCK_WORDS:
@@ -251,8 +289,8 @@ def write(df: DataFrame, doc_id: str, text: str, path: str, folder: str, end_id:
         if rows:
             yield flush()
 
-    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("words").asc(), F.col("words").asc()]
-    (packed(df, doc_id, text, path, end_id)
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc(), F.col("text").asc()]
+    (df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
      .repartitionByRange(width(spark), *order[:2]).sortWithinPartitions(*order)
      .mapInArrow(blocks, "block binary")
      .select(F.col("block").cast("string").alias("value"))

@@ -65,8 +65,7 @@ class PieceIds:
         ends = np.cumsum(counts)
         self.start[self.n:self.n + len(pieces)] = self.used + ends - counts
         self.count[self.n:self.n + len(pieces)] = counts
-        for i, p in enumerate(pieces, self.n):
-            self.index[p] = i
+        self.index.update(zip(pieces, range(self.n, self.n + len(pieces))))
         self.n += len(pieces)
         self.used += len(ids)
 
@@ -77,9 +76,10 @@ class PieceIds:
         at = np.fromiter(map(self.index.get, pieces, repeat(-1)), np.int64, len(pieces))
         missing = np.flatnonzero(at < 0)
         if len(missing):
-            new = list(dict.fromkeys([pieces[i] for i in missing]))
+            unknown = [pieces[i] for i in missing.tolist()]
+            new = list(dict.fromkeys(unknown))
             self._put(new)
-            at[missing] = np.fromiter((self.index[pieces[i]] for i in missing), np.int64, len(missing))
+            at[missing] = np.fromiter(map(self.index.__getitem__, unknown), np.int64, len(missing))
             for p in new:
                 if len(p) > CACHE_CHARS:
                     del self.index[p]
