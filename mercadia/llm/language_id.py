@@ -175,20 +175,20 @@ def train(df: DataFrame, doc_id: str, text: str, lang: str, rows: Column,
 def predict(df: DataFrame, text: str, model: Model, lang_out: str = "lang_pred",
             score_out: str = "score", drop_text: bool = False) -> DataFrame:
     """``df`` with the predicted language and its score (0 to 1)."""
-    rest = [c for c in df.columns if not (drop_text and c == text)]
-    source = df.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{text}`").alias("__li_text"))
-    schema = T.StructType([*[df.schema[c] for c in rest], T.StructField(lang_out, T.StringType(), False),
+    at = df.columns.index(text)
+    rest = [k for k in range(len(df.columns)) if not (drop_text and k == at)]
+    schema = T.StructType([*[df.schema[k] for k in rest], T.StructField(lang_out, T.StringType(), False),
                            T.StructField(score_out, T.DoubleType(), False)])
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, len(rest)):
-                texts = [t or "" for t in part.column(len(rest)).to_pylist()]
+            for part in slices(batch, at):
+                texts = [t or "" for t in part.column(at).to_pylist()]
                 lang, score = model.predict(features(texts))
                 bare = np.array([LETTER.search(t) is None for t in texts], bool)
                 lang = [UND if b else v for b, v in zip(bare, lang)]
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns[:-1], pa.array(lang, pa.string()), pa.array(np.where(bare, 0.0, score))],
-                    names=schema.names)
+                    [*[part.column(k) for k in rest], pa.array(lang, pa.string()),
+                     pa.array(np.where(bare, 0.0, score))], names=schema.names)
 
-    return source.mapInArrow(run, schema)
+    return df.mapInArrow(run, schema)

@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mercadia.llm import byte_bpe, decontaminate, exact_dedup, language_id, ngram_join, quality, token_files, url_rules, warc
+from mercadia.llm import (
+    byte_bpe, decontaminate, exact_dedup, language_id, lm_score, ngram_join, quality, token_files, url_rules, warc)
 from mercadia.llm.common import remainder, scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -149,3 +150,8 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return ngram_join.near_duplicates(docs, "doc_id", "text").select("doc_id", "n_shingles", "component_id")
+
+
+@register("op9_lm_score")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
