@@ -41,6 +41,7 @@ SELECTORS = [(1, 60), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8,
 COUNT = np.array([c for c, _ in SELECTORS], np.int64)
 BITS = np.array([b for _, b in SELECTORS], np.int64)
 POWERS = np.uint64(1) << np.arange(64, dtype=np.uint64)
+SMALL_BITS = np.searchsorted(POWERS, np.arange(1 << 16, dtype=np.uint64), "right").astype(np.uint8)
 #: Tried in this order: most ids first.
 BY_COUNT = sorted(range(1, 16), key=lambda s: -SELECTORS[s][0])
 MARK = "<<simple-8b block end>>"
@@ -57,9 +58,16 @@ def pack(values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     choice = np.zeros(size, np.int8)
     step = np.ones(size, np.int64)
     open_ = np.ones(size, bool)
-    need = np.searchsorted(POWERS, values, "right").astype(np.uint8)     # bits of each value
+    most = int(values.max()) if size else 0
+    need = SMALL_BITS[values] if most < len(SMALL_BITS) else np.searchsorted(POWERS, values, "right").astype(np.uint8)
     for s in BY_COUNT:
         many, bits = SELECTORS[s]
+        if most >> bits == 0:       # every value fits: this selector takes all that is left
+            low = np.flatnonzero(open_)
+            reach = np.minimum(low + many, ends[low])
+            choice[low], step[low] = s, reach - low
+            open_[low] = False
+            break
         low = np.flatnonzero(open_ & (need <= bits))
         if not len(low):
             continue

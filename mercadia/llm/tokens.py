@@ -16,7 +16,7 @@ import pyarrow as pa
 
 #: Bytes of text handled at once in a Python worker; one longer text is alone.
 SLICE_BYTES = 1 << 20
-CACHE_PIECES = 400_000
+CACHE_PIECES = 800_000
 #: Longer pieces are encoded but not kept.
 CACHE_CHARS = 64
 
