@@ -31,9 +31,9 @@ from pyspark.sql import types as T
 from mercadia.llm.tokens import CACHE_CHARS, PieceIds, ragged, slices
 
 #: Pairs whose verdict a worker keeps before it starts over.
-PAIR_TABLE = 500_000
+PAIR_TABLE = 300_000
 #: Words whose ids a worker keeps before it starts over.
-WORD_TABLE = 400_000
+WORD_TABLE = 200_000
 #: Letters below this code point are told apart alike by every Unicode version.
 PLAIN_BELOW = "ɐ"
 

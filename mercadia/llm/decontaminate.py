@@ -36,7 +36,7 @@ from mercadia.llm.tokens import slices
 SIZE = 8
 LEAST = 4
 SHARE = 0.5
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 # Units that count as such behind a number.
 UNITS = frozenset(
     "kg g mg lb lbs oz t ton tons km m cm mm mi mile miles ft foot feet in inch inches yd l ml liter liters "

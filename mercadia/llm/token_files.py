@@ -47,6 +47,7 @@ BY_COUNT = sorted(range(1, 16), key=lambda s: -SELECTORS[s][0])
 MARK = "<<simple-8b block end>>"
 MAGIC = b"S8B1"
 BLOCK_WORDS = 1 << 16
+CACHE_PIECES = 800_000
 
 
 def pack(values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -200,7 +201,7 @@ class WordTokens:
         self.model = self.tokenizer.model
         self.to_chars = str.maketrans({b: c for c, b in byte_chars().items()})
         self.ends = {end: self._word(end) for end in ",."}
-        self.cache = PieceIds(self._pieces)
+        self.cache = PieceIds(self._pieces, CACHE_PIECES)
 
     def _word(self, word: str) -> list[int]:
         if not word.isascii():

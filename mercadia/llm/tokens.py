@@ -16,7 +16,9 @@ import pyarrow as pa
 
 #: Bytes of text handled at once in a Python worker; one longer text is alone.
 SLICE_BYTES = 1 << 20
-CACHE_PIECES = 800_000
+#: Rows handled at once, however short they are.
+SLICE_ROWS = 1024
+CACHE_PIECES = 400_000
 #: Longer pieces are encoded but not kept.
 CACHE_CHARS = 64
 
@@ -29,11 +31,12 @@ def ragged(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
 
 
 def slices(batch: pa.RecordBatch, column: int, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Parts of ``batch`` with about ``limit`` bytes in ``column`` each."""
+    """Parts of ``batch`` with about ``limit`` bytes in ``column`` and ``SLICE_ROWS`` rows at most."""
     import pyarrow.compute as pc
     size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     part = np.cumsum(size.astype(np.int64)) // limit
-    cuts = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(size)]])
+    cuts = np.unique(np.concatenate([np.flatnonzero(np.diff(part)) + 1, np.arange(0, len(size), SLICE_ROWS),
+                                     [len(size)]]))
     for a, b in zip(cuts[:-1], cuts[1:]):
         if b > a:
             yield batch.slice(int(a), int(b - a))
