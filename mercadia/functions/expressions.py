@@ -6,6 +6,8 @@ stays inside whole-stage codegen; nothing here runs Python per row.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,11 +24,11 @@ def with_region(df: DataFrame, state_col: str, lookup: DataFrame,
                 out: str = "region") -> DataFrame:
     """Attach the macro-region of ``state_col``; unmatched or NULL -> 'Unknown'.
 
-    The lookup is one row per state of a country, a bounded table, so it is
-    broadcast and the big side is never shuffled for it.
+    A state listed twice counts once (its smallest region), so no row multiplies; the
+    planner broadcasts the lookup if its size allows it.
     """
-    lk = lookup.select(F.col("state").alias("__rg_state"), F.col("region").alias("__rg_region"))
-    joined = df.join(F.broadcast(lk), F.col(state_col) == F.col("__rg_state"), "left")
+    lk = lookup.groupBy(F.col("state").alias("__rg_state")).agg(F.min("region").alias("__rg_region"))
+    joined = df.join(lk, F.col(state_col) == F.col("__rg_state"), "left")
     return (joined.withColumn(out, F.coalesce(F.col("__rg_region"), F.lit(UNKNOWN_REGION)))
             .drop("__rg_state", "__rg_region"))
 
@@ -72,27 +74,38 @@ def date_key(ts) -> Column:
 
 
 # --- exact arithmetic -------------------------------------------------------
-# Ratios are computed in DECIMAL, so ROUND is exact half-up on the quotient
-# (as in a SQL engine with fixed-point division), never on a binary double.
+# A published ratio is rounded once, half away from zero, straight from the exact
+# quotient: round(n / d, k) = (2 n 10^k + d) div (2 d) / 10^k, all in DECIMAL.
 
 def dec(c, scale: int = 0) -> Column:
-    return col_(c).cast(f"decimal(38,{scale})")
+    return col_(c).cast(f"decimal(26,{scale})")
 
 
 def ratio(num, den, digits: int, num_scale: int = 0) -> Column:
-    """``round(num / nullif(den, 0), digits)`` in fixed point; NULL on a zero denominator."""
-    return F.round(dec(num, num_scale) / F.nullif(col_(den), F.lit(0)), digits)
+    """``round(num / nullif(den, 0), digits)``, rounded once; NULL on a zero denominator.
+
+    ``num_scale`` is the decimal scale of ``num``; ``den`` may have up to six.
+    """
+    n, d = dec(num, num_scale), dec(F.nullif(col_(den), F.lit(0)), 6)
+    twice = F.lit(Decimal(2 * 10 ** digits)).cast("decimal(10,0)")
+    whole = F.call_function("div", F.abs(n) * twice + F.abs(d), F.abs(d) * F.lit(Decimal(2)))
+    value = whole.cast("decimal(19,0)") * F.lit(Decimal(1).scaleb(-digits))
+    return F.when((n < 0) != (d < 0), -value).otherwise(value).cast(f"decimal(26,{digits})")
+
+
+def quotient(num, den) -> Column:
+    """``num / den`` as a double, unrounded; NULL on a zero or missing denominator."""
+    return col_(num).cast("double") / F.nullif(col_(den).cast("double"), F.lit(0.0))
 
 
-def mean(c, digits: int | None = None, scale: int = 0, over=None) -> Column:
-    """Aggregate: exact mean of the non-NULL values (sum / count), optionally
-    rounded; with ``over`` (a window) the same as a window expression."""
+def mean(c, digits: int, scale: int = 0, over=None) -> Column:
+    """Aggregate: mean of the non-NULL values, rounded once; with ``over`` (a window)
+    the same as a window expression."""
     x = col_(c)
     s, n = F.sum(x), F.count(x)
     if over is not None:
         s, n = s.over(over), n.over(over)
-    q = dec(s, scale) / F.nullif(n, F.lit(0))
-    return q if digits is None else F.round(q, digits)
+    return ratio(s, n, digits, scale)
 
 
 # --- whole-table values -------------------------------------------------------------

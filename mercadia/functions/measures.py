@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mercadia.fixed import GOLD_PARTNER, OPERATIONAL_RISK
-from mercadia.functions.expressions import dec, mean, with_region, with_scalars
+from mercadia.functions.expressions import quotient, with_region, with_scalars
 
 if TYPE_CHECKING:
     from mercadia.plans.star import Star
@@ -45,20 +45,18 @@ class Attribute:
     column: str     # column in that dimension
 
 
-ATTRIBUTES: dict[str, Attribute] = {a.name: a for a in [
-    Attribute("year", "date", "year"),
-    Attribute("quarter", "date", "quarter"),
-    Attribute("month", "date", "month"),
-    Attribute("month_name", "date", "month_name"),
-    Attribute("customer_state", "customer", "state"),
-    Attribute("customer_city", "customer", "city"),
-    Attribute("customer_region", "customer", "region"),
-    Attribute("seller_state", "seller", "state"),
-    Attribute("seller_city", "seller", "city"),
-    Attribute("seller_region", "seller", "region"),
-    Attribute("segment_tier", "seller", "segment_tier"),
-    Attribute("category", "product", "category_name_en"),
-]}
+# attribute name -> column, per dimension; the column's own name where it is unambiguous
+COLUMNS = {
+    "date": {c: c for c in ("date_key", "full_date", "year", "quarter", "month", "month_name",
+                            "day_of_month", "day_name", "day_of_week", "is_weekend")},
+    "customer": {"customer_key": "customer_key", "customer_unique_id": "customer_unique_id",
+                 "customer_city": "city", "customer_state": "state", "customer_region": "region"},
+    "seller": {"seller_key": "seller_key", "seller_city": "city", "seller_state": "state",
+               "seller_region": "region", "segment_tier": "segment_tier"},
+    "product": {"product_key": "product_key", "category": "category_name_en"},
+}
+ATTRIBUTES: dict[str, Attribute] = {n: Attribute(n, dim, c) for dim, cols in COLUMNS.items()
+                                    for n, c in cols.items()}
 
 # which dimensions each fact reaches, through which key; 'order' marks a key that
 # is constant within an order
@@ -79,11 +77,6 @@ MEASURE_FACT = {**{m: "orders" for m in FINANCIAL + LOGISTICS},
                 **{m: "reviews" for m in QUALITY}, **{m: "sellers" for m in SELLERS}}
 
 
-def _q(num: Column, den: Column) -> Column:
-    """DIVIDE(num, den): fixed-point quotient, NULL on a zero or missing denominator."""
-    return dec(num, 2) / F.nullif(den, F.lit(0))
-
-
 def _dimension(star: Star, dim: str, need_region: bool) -> DataFrame:
     if dim == "date":
         return star.dim_date  # days of the data's span: broadcast by its measured size
@@ -112,13 +105,38 @@ def _attach(star: Star, rows: DataFrame, fact: str, attrs: Sequence[str]) -> Dat
     return rows
 
 
+def _values(v) -> list:
+    return list(v) if isinstance(v, (list, tuple, set, frozenset, range)) else [v]
+
+
 def _filter(df: DataFrame, where: Mapping[str, object]) -> DataFrame:
     for a, v in where.items():
-        vals = list(v) if isinstance(v, (list, tuple, set, frozenset, range)) else [v]
-        df = df.where(F.col(a).isin(*vals))
+        df = df.where(F.col(a).isin(*_values(v)))
     return df
 
 
+def _restrict(star: Star, rows: DataFrame, fact: str, where: Mapping[str, object]) -> DataFrame:
+    """Fact rows in the filter context: each dimension is filtered first and the fact
+    semi-joined with its keys; a year filter also prunes a fact partitioned by year,
+    and a filter on a key column is applied to the fact itself."""
+    by_dim: dict[str, dict[str, object]] = {}
+    for a, v in where.items():
+        dim, column = ATTRIBUTES[a].dim, ATTRIBUTES[a].column
+        key = FACT_KEYS[fact][dim][0]
+        if column == key:
+            rows = rows.where(F.col(key).isin(*_values(v)))
+        if column == "year" and "year" in rows.columns:
+            rows = rows.where(F.col("year").isin(*_values(v)))
+        by_dim.setdefault(dim, {})[a] = v
+    for dim, wanted in by_dim.items():
+        key = FACT_KEYS[fact][dim][0]
+        d = _dimension(star, dim, any(ATTRIBUTES[a].column == "region" for a in wanted))
+        for a, v in wanted.items():
+            d = d.where(F.col(ATTRIBUTES[a].column).isin(*_values(v)))
+        rows = rows.join(d.select(F.col(key).alias("__wk")), F.col(key) == F.col("__wk"), "left_semi")
+    return rows
+
+
 def _check_reach(fact: str, attrs: Sequence[str]) -> None:
     for a in attrs:
         if ATTRIBUTES[a].dim not in FACT_KEYS[fact]:
@@ -126,65 +144,62 @@ def _check_reach(fact: str, attrs: Sequence[str]) -> None:
 
 
 def _orders_measures(star: Star, by: Sequence[str], where: Mapping[str, object]) -> DataFrame:
-    attrs = list(dict.fromkeys([*by, *where]))
-    _check_reach("orders", attrs)
-    keys = list(dict.fromkeys(FACT_KEYS["orders"][ATTRIBUTES[a].dim][0] for a in attrs))
-    order_level = all(FACT_KEYS["orders"][ATTRIBUTES[a].dim][1] for a in attrs)
-    f = star.fact_orders
+    _check_reach("orders", [*by, *where])
+    keys = list(dict.fromkeys(FACT_KEYS["orders"][ATTRIBUTES[a].dim][0] for a in by))
+    order_level = all(FACT_KEYS["orders"][ATTRIBUTES[a].dim][1] for a in by)
+    f = _restrict(star, star.fact_orders, "orders", where)
+    if not order_level:  # many keys an order: grouping by them would hardly shrink the rows
+        f = _attach(star, f, "orders", by)
+        keys = list(by)
     risky = (F.col("is_delayed") == 1) | (F.col("is_cancelled") == 1)
     g = f.groupBy(*keys, "order_id").agg(
         F.sum("price").alias("rev"), F.sum("freight_value").alias("fr"),
         F.sum(F.when(risky, F.col("price")).otherwise(F.lit(0))).alias("risk"),
         F.max("is_delayed").alias("dly"), F.max("is_cancelled").alias("cnc"),
         F.sum("lead_time_days").alias("lsum"), F.count("lead_time_days").alias("lcnt"))
-    g = _filter(_attach(star, g, "orders", attrs), where)
-    if not order_level:  # several key values of one order may share a slice value
-        g = g.groupBy(*by, "order_id").agg(
-            F.sum("rev").alias("rev"), F.sum("fr").alias("fr"), F.sum("risk").alias("risk"),
-            F.max("dly").alias("dly"), F.max("cnc").alias("cnc"),
-            F.sum("lsum").alias("lsum"), F.sum("lcnt").alias("lcnt"))
-    g = g.withColumn("olead", dec("lsum") / F.nullif(F.col("lcnt"), F.lit(0)))
+    if order_level:
+        g = _attach(star, g, "orders", by)
+    g = g.withColumn("olead", quotient("lsum", "lcnt"))
     a = g.groupBy(*by).agg(
         F.sum("rev").alias("total_revenue"), F.sum("fr").alias("total_freight"),
         F.count(F.lit(1)).alias("total_orders"), F.sum("risk").alias("revenue_at_risk"),
         F.sum("dly").alias("delayed_orders"), F.sum("cnc").alias("cancelled_orders"),
-        mean("olead", scale=6).alias("avg_lead_time_days"))
+        quotient(F.sum("olead"), F.count("olead")).alias("avg_lead_time_days"))
     n = F.col("total_orders")
     return a.select(
         *by, "total_revenue", "total_freight", "total_orders",
-        _q(F.col("total_revenue"), n).alias("avg_ticket"),
+        quotient(F.col("total_revenue"), n).alias("avg_ticket"),
         "revenue_at_risk",
-        _q(F.col("revenue_at_risk"), F.col("total_revenue")).alias("pct_revenue_at_risk"),
-        _q(F.col("total_freight"), F.col("total_revenue")).alias("freight_pct_of_revenue"),
+        quotient(F.col("revenue_at_risk"), F.col("total_revenue")).alias("pct_revenue_at_risk"),
+        quotient(F.col("total_freight"), F.col("total_revenue")).alias("freight_pct_of_revenue"),
         "avg_lead_time_days", "delayed_orders",
-        (F.lit(1) - _q(F.col("delayed_orders"), n)).alias("sla_pct"),
-        _q(F.col("delayed_orders"), n).alias("delay_rate_pct"),
+        (F.lit(1) - quotient(F.col("delayed_orders"), n)).alias("sla_pct"),
+        quotient(F.col("delayed_orders"), n).alias("delay_rate_pct"),
         "cancelled_orders",
-        _q(F.col("cancelled_orders"), n).alias("cancellation_rate_pct"))
+        quotient(F.col("cancelled_orders"), n).alias("cancellation_rate_pct"))
 
 
 def _reviews_measures(star: Star, by: Sequence[str], where: Mapping[str, object]) -> DataFrame:
-    attrs = list(dict.fromkeys([*by, *where]))
-    _check_reach("reviews", attrs)
-    keys = list(dict.fromkeys(FACT_KEYS["reviews"][ATTRIBUTES[a].dim][0] for a in attrs))
+    _check_reach("reviews", [*by, *where])
+    keys = list(dict.fromkeys(FACT_KEYS["reviews"][ATTRIBUTES[a].dim][0] for a in by))
     # partial aggregate per key combination before the dimension joins
-    g = star.fact_reviews.groupBy(*keys).agg(
+    g = _restrict(star, star.fact_reviews, "reviews", where).groupBy(*keys).agg(
         F.sum("review_score").alias("ssum"), F.count("review_score").alias("scnt"),
         F.count(F.lit(1)).alias("n"),
         F.sum("response_time_days").alias("rsum"), F.count("response_time_days").alias("rcnt"))
-    g = _filter(_attach(star, g, "reviews", attrs), where)
+    g = _attach(star, g, "reviews", by)
     a = g.groupBy(*by).agg(F.sum("ssum").alias("ssum"), F.sum("scnt").alias("scnt"),
                            F.sum("n").alias("total_reviews"),
                            F.sum("rsum").alias("rsum"), F.sum("rcnt").alias("rcnt"))
     return a.select(*by,
-                    (dec("ssum") / F.nullif(F.col("scnt"), F.lit(0))).alias("avg_review_score"),
+                    quotient("ssum", "scnt").alias("avg_review_score"),
                     "total_reviews",
-                    (dec("rsum") / F.nullif(F.col("rcnt"), F.lit(0)))
-                    .alias("avg_response_time_days"))
+                    quotient("rsum", "rcnt").alias("avg_response_time_days"))
 
 
 def _seller_measures(star: Star, by: Sequence[str], where: Mapping[str, object]) -> DataFrame:
-    """Dimension-level counts: fact filters do not reach them."""
+    """Dimension-level counts: filters and slices of other dimensions do not reach
+    them, so their values repeat there (see :func:`measures`)."""
     attrs = list(dict.fromkeys([*by, *where]))
     _check_reach("sellers", attrs)
     s = _dimension(star, "seller", any(ATTRIBUTES[a].column == "region" for a in attrs))
@@ -195,7 +210,7 @@ def _seller_measures(star: Star, by: Sequence[str], where: Mapping[str, object])
         F.count_if(F.col("__seg") == GOLD_PARTNER).alias("gold_partners"),
         F.count_if(F.col("__seg") == OPERATIONAL_RISK).alias("operational_risk_sellers"))
     return a.select(*by, "total_sellers", "gold_partners",
-                    _q(F.col("gold_partners"), F.col("total_sellers")).alias("pct_gold_partners"),
+                    quotient(F.col("gold_partners"), F.col("total_sellers")).alias("pct_gold_partners"),
                     "operational_risk_sellers")
 
 
@@ -208,24 +223,47 @@ def measures(star: Star, names: Sequence[str], by: Sequence[str] = (),
     """Evaluate measures ``names`` for every combination of ``by`` attributes.
 
     Facts that a measure needs are aggregated separately and the per-fact
-    results are joined on the slice (NULL-safe, full outer).
+    results are joined on the slice (NULL-safe, full outer). Seller counts are
+    taken over the seller attributes of the slice only and repeat along the others.
     """
     where = dict(where or {})
     unknown = [n for n in names if n not in MEASURE_FACT]
     if unknown:
         raise ValueError(f"unknown measures {unknown}")
+    strange = [a for a in [*by, *where] if a not in ATTRIBUTES]
+    if strange:
+        raise ValueError(f"unknown attributes {strange}; known: {sorted(ATTRIBUTES)}")
     facts = list(dict.fromkeys(MEASURE_FACT[n] for n in names))
-    parts = [_BUILDERS[f](star, list(by), where) for f in facts]
-
-    def combine(left: DataFrame, right: DataFrame) -> DataFrame:
-        if not by:
-            return with_scalars(left, right)  # one row each: a global context
-        r = right.select(*[F.col(b).alias(f"__r_{b}") for b in by],
-                         *[c for c in right.columns if c not in by])
-        cond = [F.col(b).eqNullSafe(F.col(f"__r_{b}")) for b in by]
-        j = left.join(r, cond, "full")
-        return j.select(*[F.coalesce(F.col(b), F.col(f"__r_{b}")).alias(b) for b in by],
-                        *[c for c in j.columns if c not in by and not c.startswith("__r_")])
-
-    out = reduce(combine, parts)
-    return out.select(*by, *names)
+    own = [b for b in by if ATTRIBUTES[b].dim == "seller"]
+    own_where = {a: v for a, v in where.items() if ATTRIBUTES[a].dim == "seller"}
+    parts = [(list(by), _BUILDERS[f](star, list(by), where)) for f in facts if f != "sellers"]
+    if "sellers" in facts:
+        if not parts and len(own) < len(by):
+            parts.append((list(by), _slices(star, by, where)))
+        parts.append((own, _seller_measures(star, own, own_where)))
+
+    def combine(left, right):
+        (lby, ldf), (rby, rdf) = left, right
+        if not rby:
+            return lby, with_scalars(ldf, rdf)  # one row, for every slice
+        r = rdf.select(*[F.col(b).alias(f"__r_{b}") for b in rby],
+                       *[c for c in rdf.columns if c not in rby])
+        cond = [F.col(b).eqNullSafe(F.col(f"__r_{b}")) for b in rby]
+        j = ldf.join(r, cond, "full" if len(rby) == len(lby) else "left")
+        return lby, j.select(*[F.coalesce(F.col(b), F.col(f"__r_{b}")).alias(b) if b in rby else F.col(b)
+                               for b in lby],
+                             *[c for c in j.columns if c not in lby and not c.startswith("__r_")])
+
+    return reduce(combine, parts)[1].select(*by, *names)
+
+
+def _slices(star: Star, by: Sequence[str], where: Mapping[str, object]) -> DataFrame:
+    """The values of ``by`` that their one dimension has."""
+    dims = {ATTRIBUTES[b].dim for b in by}
+    if len(dims) > 1:
+        raise ValueError("seller counts alone can be sliced by one other dimension only")
+    dim = dims.pop()
+    names = list(dict.fromkeys([*by, *[a for a in where if ATTRIBUTES[a].dim == dim]]))
+    d = _dimension(star, dim, any(ATTRIBUTES[a].column == "region" for a in names))
+    d = d.select(*[F.col(ATTRIBUTES[a].column).alias(a) for a in names])
+    return _filter(d, {a: v for a, v in where.items() if a in names}).select(*by).distinct()

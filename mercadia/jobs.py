@@ -75,7 +75,7 @@ def main(argv: list[str] | None = None) -> dict[str, str]:
     import json
 
     from mercadia.functions.expressions import SOURCE_COLLATION
-    from mercadia.session import build_session, checkpoint_dir
+    from mercadia.session import build_session, checkpoint_dir, input_bytes, scale_conf
     from mercadia.sources import schemas
 
     ap = argparse.ArgumentParser(prog="python -m mercadia.jobs",
@@ -87,10 +87,15 @@ def main(argv: list[str] | None = None) -> dict[str, str]:
     ap.add_argument("--out", required=True, help="output folder (a shared file system)")
     ap.add_argument("--collate", action="store_true",
                     help=f"compare text as {SOURCE_COLLATION}")
+    ap.add_argument("--least-partitions", type=int, default=200,
+                    help="shuffle partitions at least (more for larger inputs)")
     a = ap.parse_args(argv)
     spark = build_session()
-    checkpoint_dir(spark)
     paths = {t: getattr(a, t) for t in schemas.LOAD_ORDER}
+    size = input_bytes(spark, [f for files in paths.values() for f in files])
+    for key, value in scale_conf(size, least=a.least_partitions).items():
+        spark.conf.set(key, value)
+    checkpoint_dir(spark)
     written = refresh(spark, paths, a.translation, a.out,
                       collation=SOURCE_COLLATION if a.collate else None)
     print(json.dumps(written, indent=1))

@@ -3,39 +3,33 @@
 ``Window.orderBy`` without ``partitionBy`` moves every row into one task. That
 is harmless for a bounded input (a country's states, a category list) and is
 what :func:`window_rank` does. For inputs that grow with the data (sellers,
-orders) :func:`bucketed_rank` gives the same numbers while the work stays
-spread over the cluster:
+orders) :func:`range_rank` gives the same numbers while the work stays
+spread over the cluster, the same way at every size:
 
 1. collapse the input to its distinct sort keys with a multiplicity
    (map-side partial aggregation, so one very frequent key costs one row);
-2. take cut points from a bounded sample of those keys (one small collect of
-   at most ``SAMPLE_PER_BUCKET * buckets`` rows) and give every key the number
-   of cut points at or below it (a binary search written as a CASE tree), a
-   deterministic function of the key, so a recomputed task after an executor
-   loss lands in the same bucket;
-3. rank inside ``(partition, bucket)`` with an ordinary window;
-4. add per-bucket offsets from a table of at most ``partitions x buckets`` rows,
-   broadcast back;
+2. range-partition these keys (as wide as ``spark.sql.shuffle.partitions``),
+   note each key's partition and write the result to the shared folder, so
+   that it is the same for all later readers;
+3. rank inside each partition with an ordinary window;
+4. add the running totals of the partitions before: one row per partition, and
+   per value of ``partition_by`` in it;
 5. join the ranks back to the rows by key.
 
-Equal keys always share a bucket, so ties rank exactly as in the plain window.
+Equal keys are one row, so ties rank exactly as in the plain window.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-OrderSpec = Sequence[tuple[str, bool]]  # (column, ascending)
+from mercadia.session import materialized
 
-SAMPLE_PER_BUCKET = 32
-MAX_BUCKETS = 256  # keeps the CASE tree of cut points small enough for codegen
-ROWS_PER_BUCKET = 2_000_000
-_SEED = 20240601
+OrderSpec = Sequence[tuple[str, bool]]  # (column, ascending)
 
 
 def _sort_col(c: str, asc: bool) -> Column:
@@ -78,52 +72,14 @@ def _key_struct(df: DataFrame, order: OrderSpec) -> Column:
     return F.struct(*fields)
 
 
-def _struct_literal(values: T.Row, st: T.StructType) -> Column:
-    return F.struct(*[F.lit(v).cast(f.dataType).alias(f.name)
-                      for v, f in zip(values, st.fields)])
-
-
-def _bucket_of(key: Column, cuts: list[Column], lo: int = 0, hi: int | None = None) -> Column:
-    """Number of (sorted) cut points at or below ``key``: a balanced CASE tree,
-    so each row makes log2(len(cuts)) comparisons."""
-    hi = len(cuts) if hi is None else hi
-    if lo >= hi:
-        return F.lit(lo)
-    mid = (lo + hi) // 2
-    return F.when(key < cuts[mid], _bucket_of(key, cuts, lo, mid)) \
-        .otherwise(_bucket_of(key, cuts, mid + 1, hi))
-
-
-def _cut_points(keys: DataFrame, buckets: int | None, rows_per_bucket: int,
-                max_rows: int | None = None) -> list[T.Row]:
-    if buckets is None and max_rows is not None and max_rows <= rows_per_bucket:
-        return []  # a known upper bound fits one bucket: no counting job needed
-    n = keys.count()
-    b = min(MAX_BUCKETS, buckets or max(1, math.ceil(n / rows_per_bucket)))
-    if b <= 1 or n <= 1:
-        return []
-    frac = min(1.0, SAMPLE_PER_BUCKET * b / n)
-    sample = [r["__k"] for r in
-              keys.select("__k").sample(False, frac, seed=_SEED).orderBy("__k").collect()]
-    if not sample:
-        return []
-    cuts = []
-    for i in range(1, b):
-        c = sample[min(len(sample) - 1, (i * len(sample)) // b)]
-        if not cuts or c != cuts[-1]:
-            cuts.append(c)
-    return cuts
-
-
 def rank_table(df: DataFrame, order: OrderSpec, method: str, out: str,
                partition_by: Sequence[str] = (), unique: bool = False,
-               buckets: int | None = None, rows_per_bucket: int = ROWS_PER_BUCKET,
-               max_rows: int | None = None) -> DataFrame:
+               ranges: int | None = None) -> DataFrame:
     """The rank of every distinct ``partition_by + order`` key, as a table.
 
     Returns ``(*partition_by, *order columns, out)``, one row per distinct key;
     with ``unique=True`` (the key identifies a row) it returns the rows of
-    ``df`` with ``out`` added. See :func:`bucketed_rank` for the parameters.
+    ``df`` with ``out`` added. See :func:`range_rank` for the parameters.
     """
     kind, n_tiles = _method(method)
     part = list(partition_by)
@@ -133,36 +89,30 @@ def rank_table(df: DataFrame, order: OrderSpec, method: str, out: str,
     else:
         kc = df.groupBy(*part, *keys).agg(F.count(F.lit(1)).alias("__n"))
     kc = kc.withColumn("__k", _key_struct(kc, order))
+    width = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kc = materialized(kc.repartitionByRange(width, *part, "__k")
+                      .withColumn("__b", F.spark_partition_id()), "rank")
 
-    cuts = _cut_points(kc, buckets, rows_per_bucket, max_rows)
-    st = kc.schema["__k"].dataType
-    kc = kc.withColumn("__b", _bucket_of(F.col("__k"), [_struct_literal(c, st) for c in cuts]))
-
-    # ranks inside each (partition, bucket)
+    # ranks inside each (partition value, range)
     w = Window.partitionBy(*part, "__b").orderBy("__k")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     local = (kc.withColumn("__rows_lo", F.coalesce(F.sum("__n").over(before), F.lit(0)))
              .withColumn("__keys_lo", F.row_number().over(w) - 1))
-    if not cuts:
-        # one bucket: no offsets, and the total is the partition's own sum
-        kc = (local.withColumn("__rows_off", F.lit(0)).withColumn("__keys_off", F.lit(0))
-              .withColumn("__total", F.sum("__n").over(Window.partitionBy(*part, "__b"))))
-    else:
-        # per (partition, bucket) totals and their running offsets: a bounded table
-        tot = kc.groupBy(*part, "__b").agg(F.sum("__n").alias("__rows"),
-                                           F.count(F.lit(1)).alias("__keys"))
-        wo = Window.partitionBy(*part).orderBy("__b")
-        wo_before = wo.rowsBetween(Window.unboundedPreceding, -1)
-        tot = tot.select(
-            *[F.col(c).alias(f"__p{i}") for i, c in enumerate(part)],
-            F.col("__b").alias("__pb"),
-            F.coalesce(F.sum("__rows").over(wo_before), F.lit(0)).alias("__rows_off"),
-            F.coalesce(F.sum("__keys").over(wo_before), F.lit(0)).alias("__keys_off"),
-            F.sum("__rows").over(Window.partitionBy(*part)).alias("__total"))
-        # partition values may be NULL, hence the NULL-safe match
-        cond = [F.col(c).eqNullSafe(F.col(f"__p{i}")) for i, c in enumerate(part)]
-        kc = (local.join(F.broadcast(tot), cond + [F.col("__b") == F.col("__pb")])
-              .drop(*[f"__p{i}" for i in range(len(part))], "__pb"))
+    # totals of each (partition value, range) and their running sums
+    tot = kc.groupBy(*part, "__b").agg(F.sum("__n").alias("__rows"),
+                                       F.count(F.lit(1)).alias("__keys"))
+    wo_before = Window.partitionBy(*part).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    tot = tot.select(
+        *[F.col(c).alias(f"__p{i}") for i, c in enumerate(part)],
+        F.col("__b").alias("__pb"),
+        F.coalesce(F.sum("__rows").over(wo_before), F.lit(0)).alias("__rows_off"),
+        F.coalesce(F.sum("__keys").over(wo_before), F.lit(0)).alias("__keys_off"),
+        F.sum("__rows").over(Window.partitionBy(*part)).alias("__total"))
+    # partition values may be NULL, hence the NULL-safe match; the planner broadcasts
+    # the totals when they are small
+    cond = [F.col(c).eqNullSafe(F.col(f"__p{i}")) for i, c in enumerate(part)]
+    kc = (local.join(tot, cond + [F.col("__b") == F.col("__pb")])
+          .drop(*[f"__p{i}" for i in range(len(part))], "__pb"))
 
     rank = F.col("__rows_off") + F.col("__rows_lo") + 1
     if kind in ("rank", "row_number"):
@@ -194,30 +144,23 @@ def join_ranks(df: DataFrame, table: DataFrame, on: Sequence[str]) -> DataFrame:
     return df.join(t, cond, "inner").drop(*[f"__j{i}" for i in range(len(on))])
 
 
-def bucketed_rank(df: DataFrame, order: OrderSpec, method: str, out: str,
-                  partition_by: Sequence[str] = (), unique: bool = False,
-                  buckets: int | None = None,
-                  rows_per_bucket: int = ROWS_PER_BUCKET,
-                  max_rows: int | None = None) -> DataFrame:
+def range_rank(df: DataFrame, order: OrderSpec, method: str, out: str,
+               partition_by: Sequence[str] = (), unique: bool = False,
+               ranges: int | None = None) -> DataFrame:
     """Exact rank / dense_rank / row_number / percent_rank / ntile:N over big inputs.
 
     ``unique=True`` promises that ``partition_by + order`` columns identify a
     row (needed for row_number and ntile to be deterministic); then the
-    distinct-key step and the join back are skipped. ``partition_by`` columns
-    should have a bounded domain (the offset table has one row per
-    partition and bucket). The call runs two small jobs (a count and a
-    sample) to fix the cut points; feed it a checkpointed input when the
-    upstream plan is expensive. ``max_rows``, an upper bound on the input rows
-    the caller already knows, skips the count when it fits one bucket.
+    distinct-key step and the join back are skipped. ``ranges`` overrides the
+    number of range partitions. The call writes the ranged keys (one job).
     """
-    t = rank_table(df, order, method, out, partition_by, unique, buckets, rows_per_bucket,
-                   max_rows)
+    t = rank_table(df, order, method, out, partition_by, unique, ranges)
     if unique:
         return t
     return join_ranks(df, t, list(partition_by) + [c for c, _ in order])
 
 
-def with_overall_means(df: DataFrame, means: dict[str, tuple[str, int | None]],
+def with_overall_means(df: DataFrame, means: dict[str, tuple[str, int]],
                        bounded: bool = False, source: DataFrame | None = None) -> DataFrame:
     """``ROUND(AVG(col) OVER (), digits)`` for each ``out -> (col, digits)``.
 

@@ -53,10 +53,12 @@ def health_tier_summary(health: DataFrame) -> DataFrame:
 
 
 def dim_row_counts(star) -> DataFrame:
-    names = ["dim_date", "dim_customer", "dim_seller", "dim_product", "dim_geography"]
+    # dim_seller has a row for every seller, whatever its segment
+    frames = {"dim_date": star.dim_date, "dim_customer": star.dim_customer, "dim_seller": star.sellers,
+              "dim_product": star.dim_product, "dim_geography": star.dim_geography}
     return reduce(DataFrame.unionAll, [
-        getattr(star, n).agg(F.count(F.lit(1)).alias("row_count"))
-        .select(F.lit(n).alias("table_name"), "row_count") for n in names])
+        df.agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(n).alias("table_name"), "row_count")
+        for n, df in frames.items()])
 
 
 def seller_segment_counts(star) -> DataFrame:
@@ -68,10 +70,9 @@ def fact_row_counts(star) -> DataFrame:
         .select(F.lit("fact_orders_rows").alias("metric"), "value")
     fr = star.fact_reviews.agg(F.count(F.lit(1)).alias("rows"),
                                F.count_if(F.col("seller_key").isNull()).alias("nulls"))
-    return reduce(DataFrame.unionAll, [
-        fo,
-        fr.select(F.lit("fact_reviews_rows").alias("metric"), F.col("rows").alias("value")),
-        fr.select(F.lit("fact_reviews_null_seller").alias("metric"), F.col("nulls").alias("value"))])
+    return fo.unionAll(fr.select(F.stack(
+        F.lit(2), F.lit("fact_reviews_rows"), "rows", F.lit("fact_reviews_null_seller"), "nulls")
+        .alias("metric", "value")))
 
 
 def overall_delay_rate(star) -> DataFrame:

@@ -9,6 +9,7 @@ small (days of a span, states of a country), which AQE sees at run time.
 
 from __future__ import annotations
 
+from copy import copy
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,7 +22,7 @@ from mercadia.fixed import (DAY_NAME_PATTERN, MONTH_NAME_PATTERN, NO_FULFILLED_O
                             STATUS_CANCELED, UNKNOWN_CATEGORY)
 from mercadia.plans.supplier import supplier_segments
 from mercadia.plans.thresholds import SupplierTiers
-from mercadia.session import checkpoint_dir
+from mercadia.session import materialized
 
 
 
@@ -137,17 +138,17 @@ def fact_reviews(t: Tables) -> DataFrame:
 # --- the bundle -------------------------------------------------------------------
 
 class Star:
-    """The published star schema. Members are built on first access, so a
-    measure that needs only ``fact_orders`` never plans the supplier mart."""
+    """The star schema over base tables. Members are built on first access and
+    nothing runs then; a measure that needs only ``fact_orders`` never plans the
+    supplier mart. :meth:`stored` writes chosen members and gives a star that
+    reads them; :func:`read_star` gives the published star."""
 
     NAMES = ("dim_date", "dim_customer", "dim_seller", "dim_product", "dim_geography",
              "fact_orders", "fact_reviews")
 
     def __init__(self, t: Tables, dates: DataFrame | None = None,
-                 tiers: SupplierTiers = SupplierTiers(), supplier: DataFrame | None = None,
-                 materialize: bool = True):
+                 tiers: SupplierTiers = SupplierTiers(), supplier: DataFrame | None = None):
         self._t, self._dates, self._tiers, self._supplier = t, dates, tiers, supplier
-        self._materialize = materialize
 
     @cached_property
     def dim_date(self) -> DataFrame:
@@ -159,14 +160,7 @@ class Star:
 
     @cached_property
     def dim_seller(self) -> DataFrame:
-        # read by every seller-sliced measure of all three facts: materialise it
-        # once in the shared checkpoint folder instead of recomputing the
-        # seller metrics from the item rows for each reader
-        d = dim_seller(self._t, self._supplier, self._tiers)
-        if self._materialize:
-            checkpoint_dir(d.sparkSession)
-            d = d.checkpoint(eager=True)
-        return d
+        return dim_seller(self._t, self._supplier, self._tiers)
 
     @cached_property
     def dim_product(self) -> DataFrame:
@@ -188,11 +182,44 @@ class Star:
     def region_lookup(self) -> DataFrame:
         return self._t.region_lookup
 
+    @property
+    def sellers(self) -> DataFrame:
+        """One row per seller of ``dim_seller``, without its segment."""
+        return self._t.sellers.select(F.col("seller_id").alias("seller_key"))
+
     def as_dict(self) -> dict[str, DataFrame]:
         return {n: getattr(self, n) for n in self.NAMES}
 
+    def stored(self, *names: str) -> Star:
+        """The same star with the named members written once to the shared folder."""
+        out = copy(self)
+        for n in names:
+            out.__dict__[n] = materialized(getattr(self, n), n)
+        return out
+
+
+class PublishedStar(Star):
+    """The star that ``publish.publish_star`` wrote to a folder; ``fact_orders`` is
+    partitioned by ``year``."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        for n in self.NAMES:
+            self.__dict__[n] = spark.read.parquet(f"{folder.rstrip('/')}/{n}")
+
+    @property
+    def region_lookup(self) -> DataFrame:
+        return self.dim_geography.select(F.col("state_key").alias("state"), "region")
+
+    @property
+    def sellers(self) -> DataFrame:
+        return self.dim_seller.select("seller_key")
+
+
+def read_star(spark: SparkSession, folder: str) -> Star:
+    return PublishedStar(spark, folder)
+
 
 def build_star(t: Tables, dates: DataFrame | None = None,
                tiers: SupplierTiers = SupplierTiers(),
-               supplier: DataFrame | None = None, materialize: bool = True) -> Star:
-    return Star(t, dates, tiers, supplier, materialize)
+               supplier: DataFrame | None = None) -> Star:
+    return Star(t, dates, tiers, supplier)

@@ -13,7 +13,7 @@ Plan shape. Revenue, SLA and reviews all derive from one shared
   order's reviews), computed as ``sum(k*s) / sum(k*c)`` instead of
   materialising the item x review fan-out.
 
-Sellers grow with the data, so the global ranks use the bucketed ranking.
+Sellers grow with the data, so the global ranks use range partitioning.
 The seller-level metrics are checkpointed once (to the shared
 ``spark.checkpoint.dir``) because three ranks and two benchmarks read them.
 """
@@ -30,7 +30,7 @@ from mercadia.functions.expressions import on_time_flag, ratio
 from mercadia.model import Tables
 from mercadia.operators.ranking import join_ranks, rank_table, with_overall_means
 from mercadia.plans.thresholds import SupplierTiers
-from mercadia.session import checkpoint_dir
+from mercadia.session import materialized
 
 # The published view excludes these statuses from the SLA. Note the spelling:
 # the data says 'canceled', so cancelled orders are *not* excluded by default.
@@ -88,14 +88,23 @@ def seller_metrics(t: Tables, excluded: Sequence[str] = DEFAULT_EXCLUDED) -> Dat
 
 
 def seller_revenue(t: Tables) -> DataFrame:
-    return seller_metrics(t).select("seller_id", "total_items_sold", "total_orders",
-                                    "total_revenue", "total_freight", "avg_item_price")
+    """Revenue per seller, from the item rows alone."""
+    per_order = t.items.groupBy("seller_id", "order_id").agg(
+        F.count(F.lit(1)).alias("k"), F.sum("price").alias("p"), F.sum("freight_value").alias("f"))
+    return per_order.groupBy("seller_id").agg(
+        F.sum("k").alias("total_items_sold"), F.count(F.lit(1)).alias("total_orders"),
+        F.sum("p").alias("total_revenue"), F.sum("f").alias("total_freight")).select(
+        "*", ratio("total_revenue", "total_items_sold", 6, num_scale=2).alias("avg_item_price"))
 
 
 def seller_reviews(t: Tables) -> DataFrame:
     """Sellers with at least one review on their orders, item-weighted."""
-    return (seller_metrics(t).where(F.col("total_reviews") > 0)
-            .select("seller_id", "avg_review_score", "total_reviews"))
+    k = t.items.groupBy("seller_id", "order_id").agg(F.count(F.lit(1)).alias("k"))
+    m = (k.join(review_order_grain(t.reviews), "order_id").groupBy("seller_id")
+         .agg(F.sum(F.col("k") * F.col("score_sum")).alias("s"),
+              F.sum(F.col("k") * F.col("n_reviews")).alias("total_reviews")))
+    return (m.where(F.col("total_reviews") > 0)
+            .select("seller_id", ratio("s", "total_reviews", 4).alias("avg_review_score"), "total_reviews"))
 
 
 def seller_sla(t: Tables, excluded: Sequence[str] = DEFAULT_EXCLUDED) -> DataFrame:
@@ -146,31 +155,24 @@ def supplier_segments(t: Tables, tiers: SupplierTiers = SupplierTiers(),
 
 def supplier_performance(t: Tables, tiers: SupplierTiers = SupplierTiers(),
                          excluded: Sequence[str] = DEFAULT_EXCLUDED,
-                         materialize: bool = True, buckets: int | None = None) -> DataFrame:
+                         ranges: int | None = None) -> DataFrame:
     """The supplier-performance mart: one row per seller with item rows.
 
     Adds the global quality rank (dense, score then SLA, both descending), the
     same rank inside the seller's state, the revenue quartile, the company
-    benchmarks and the segment. ``materialize`` checkpoints the seller rows
-    first (they are read by every rank); ``buckets`` forces the number of
-    rank buckets (tests).
+    benchmarks and the segment. The seller rows, which every rank reads, are
+    written to the shared folder first; ``ranges`` overrides the ranks' width.
     """
-    sm = ranked_sellers(t, excluded)
-    n = None
-    if materialize:
-        checkpoint_dir(sm.sparkSession)
-        sm = sm.checkpoint(eager=True)
-        n = sm.count()  # reads the checkpoint; bounds every rank input below
+    sm = materialized(ranked_sellers(t, excluded), "sellers")
     base = sm
     quality = [("avg_review_score", False), ("on_time_rate", False)]
-    kw = dict(buckets=buckets, max_rows=n)
     # each rank is computed from the materialized metrics alone, then joined once
-    overall = rank_table(sm, quality, "dense_rank", "quality_rank", **kw)
+    overall = rank_table(sm, quality, "dense_rank", "quality_rank", ranges=ranges)
     in_state = rank_table(sm, quality, "dense_rank", "quality_rank_in_state",
-                          partition_by=["seller_state"], **kw)
+                          partition_by=["seller_state"], ranges=ranges)
     # NTILE ties are arbitrary in SQL; seller_id makes them deterministic
     sm = rank_table(sm, [("total_revenue", False), ("seller_id", True)], "ntile:4",
-                    "revenue_quartile", unique=True, **kw)
+                    "revenue_quartile", unique=True, ranges=ranges)
     keys = ["avg_review_score", "on_time_rate"]
     sm = join_ranks(join_ranks(sm, overall, keys), in_state, ["seller_state"] + keys)
     # the rank joins keep every seller row, so the benchmarks come from the base

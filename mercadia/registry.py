@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from mercadia import fixed
 from mercadia.functions import expressions, measures
-from mercadia.operators import gates, quality
+from mercadia.operators import gates, quality, ranking
 from mercadia.plans import financial, logistics, reports, star, supplier
 from mercadia.plans.thresholds import FinancialTiers, SupplierTiers
 from mercadia.sources import schemas, testdata
@@ -158,6 +158,21 @@ def _supplier_performance_tuned(spark, sf_dir):
     return supplier.supplier_performance(tables(spark, sf_dir), TUNED_SUPPLIER)
 
 
+def _order_revenue(spark, sf_dir):
+    return logistics.order_freight(tables(spark, sf_dir).items).select("order_id", "order_revenue")
+
+
+@register("order_revenue_rank")
+def _order_revenue_rank(spark, sf_dir):
+    return ranking.range_rank(_order_revenue(spark, sf_dir), [("order_revenue", False)], "rank", "revenue_rank")
+
+
+@register("order_revenue_quartile")
+def _order_revenue_quartile(spark, sf_dir):
+    return ranking.range_rank(_order_revenue(spark, sf_dir), [("order_revenue", False), ("order_id", True)],
+                              "ntile:4", "revenue_quartile", unique=True)
+
+
 register("supplier_quality_rank")(_cols(_supplier_performance, "seller_id", "avg_review_score",
                                         "on_time_rate", "quality_rank"))
 register("supplier_rank_in_state")(_cols(_supplier_performance, "seller_id", "seller_state",
@@ -245,6 +260,18 @@ for _name in star.Star.NAMES:
     register(_name)((lambda n: lambda spark, sf_dir: getattr(_star(spark, sf_dir), n))(_name))
 
 
+@register("dim_date_published")
+def _dim_date_published(spark, sf_dir):
+    """The published calendar (2016 to 2018) with the purchases of each day; the
+    driver's orders are 24 years older, so they are moved there."""
+    o = tables(spark, sf_dir).orders
+    per_day = (o.select(star.date_key(F.add_months(F.to_date("order_purchase_timestamp"), 24 * 12))
+                        .alias("date_key"))
+               .groupBy("date_key").agg(F.count(F.lit(1)).alias("purchases")))
+    return (star.dim_date(spark).join(per_day, "date_key", "left")
+            .withColumn("purchases", F.coalesce("purchases", F.lit(0))))
+
+
 @register("order_min_seller")
 def _order_min_seller(spark, sf_dir):
     return star.order_min_seller(tables(spark, sf_dir).items)
@@ -257,8 +284,13 @@ def _union_states(spark, sf_dir):
 
 # --- measures ---------------------------------------------------------------------------
 
-def _measures(names, by=()):
-    return lambda spark, sf_dir: measures.measures(_star(spark, sf_dir), names, by)
+def _measures(names, by=(), where=None):
+    return lambda spark, sf_dir: measures.measures(_star(spark, sf_dir), names, by, where)
+
+
+def _seller_measures(names, by):
+    # the seller dimension is read by every fact: write it once
+    return lambda spark, sf_dir: measures.measures(_star(spark, sf_dir).stored("dim_seller"), names, by)
 
 
 M = measures
@@ -269,7 +301,13 @@ register("measures_sellers")(_measures(M.SELLERS))
 register("measures_by_year")(_measures(M.FINANCIAL + M.LOGISTICS + M.QUALITY, ["year"]))
 register("measures_by_region")(_measures(M.FINANCIAL + M.LOGISTICS, ["customer_region"]))
 register("measures_by_category")(_measures(M.FINANCIAL + M.LOGISTICS, ["category"]))
-register("measures_by_seller_segment")(_measures(
+register("measures_by_date")(_measures(M.FINANCIAL, ["full_date"]))
+register("measures_by_weekend")(_measures(M.FINANCIAL + M.LOGISTICS, ["is_weekend"]))
+register("measures_sellers_by_year")(_seller_measures(["total_revenue"] + M.SELLERS, ["year"]))
+register("measures_where_category")(_measures(
+    M.FINANCIAL, ["year"], {"category": ["category_11", "category_22"]}))
+register("measures_where_year")(_measures(M.FINANCIAL + M.LOGISTICS, ["customer_region"], {"year": 1996}))
+register("measures_by_seller_segment")(_seller_measures(
     M.FINANCIAL + M.LOGISTICS + M.QUALITY + M.SELLERS, ["segment_tier"]))
 
 # --- load gates ---------------------------------------------------------------------
@@ -295,14 +333,14 @@ def _gate_pk_rejects(spark, sf_dir):
     return _pk(spark, sf_dir)[1]
 
 
-def _orders_with_gaps(spark, sf_dir):
-    """Parent fixture: every tenth order removed, so their lines become orphans."""
-    return testdata.read(spark, sf_dir, "orders").where(F.col("o_orderkey") % 10 != 0)
+def _shifted(df, key):
+    """Child fixture: every tenth key negated, so those rows have no parent."""
+    return df.withColumn(key, F.when(F.col(key) % 10 == 0, -F.col(key)).otherwise(F.col(key)))
 
 
 def _fk(spark, sf_dir):
-    return gates.fk_gate(testdata.read(spark, sf_dir, "lineitem"),
-                         _orders_with_gaps(spark, sf_dir), [("l_orderkey", "o_orderkey")])
+    return gates.fk_gate(_shifted(testdata.read(spark, sf_dir, "lineitem"), "l_orderkey"),
+                         testdata.read(spark, sf_dir, "orders"), [("l_orderkey", "o_orderkey")])
 
 
 @register("gate_fk_keep")
@@ -317,20 +355,58 @@ def _gate_fk_rejects(spark, sf_dir):
 
 @register("gate_domain_rejects")
 def _gate_domain_rejects(spark, sf_dir):
+    # every rule of every item column is broken by some row
     it = tables(spark, sf_dir).items
     k = F.col("order_id")
-    bad = it.select(
-        "order_id", "order_item_id",
-        F.when(k % 103 == 0, F.lpad(F.col("seller_id").cast("string"), 33, "0"))
-        .otherwise(F.col("seller_id").cast("string")).alias("seller_id"),
-        F.when(k % 101 == 0, F.lit(None)).otherwise(F.col("price")).cast("decimal(10,2)")
-        .alias("price"),
-        "freight_value")
-    rules = gates.domain_rules(
-        [f for f in schemas.ORDER_ITEMS.fields if f.name in bad.columns],
-        {"seller_id": schemas.MAX_LENGTH["order_items"]["seller_id"]})
+
+    def broken(c, every, how, kind):
+        return F.when(k % every == 0, how).otherwise(F.col(c)).cast(kind).alias(c)
+
+    def text(c, null, long_):
+        wide = F.lpad(F.col(c).cast("string"), 33, "0")
+        return (F.when(k % null == 0, F.lit(None)).when(k % long_ == 0, wide)
+                .otherwise(F.col(c).cast("string")).alias(c))
+
+    money = [F.when(k % n == 0, F.lit(None)).when(k % big == 0, F.col(c).cast("decimal(38,2)") + 10 ** 8)
+             .otherwise(F.col(c)).cast("decimal(38,2)").alias(c)
+             for c, n, big in (("price", 101, 107), ("freight_value", 109, 113))]
+    bad = it.select(k.alias("line_order"), F.col("order_item_id").alias("line_no"),
+                    text("order_id", 127, 131), broken("order_item_id", 137, F.lit(None), "int"),
+                    text("product_id", 139, 149), text("seller_id", 151, 103),
+                    "shipping_limit_date", *money)
+    rules = gates.domain_rules(schemas.ORDER_ITEMS.fields, schemas.MAX_LENGTH["order_items"])
+    # the range rule compares with the declared decimal(10,2)
     _, rejected = gates.domain_gate(bad, rules)
-    return rejected.select("order_id", "order_item_id", gates.REASON)
+    return rejected.select("line_order", "line_no", gates.REASON)
+
+
+@register("gate_pk_exact_copies")
+def _gate_pk_exact_copies(spark, sf_dir):
+    return _pk_copies(spark, sf_dir)[0]
+
+
+@register("gate_pk_exact_copies_rejects")
+def _gate_pk_exact_copies_rejects(spark, sf_dir):
+    return _pk_copies(spark, sf_dir)[1]
+
+
+def _pk_copies(spark, sf_dir):
+    """Every seventh order's lines occur twice more, equal in every column."""
+    lines = testdata.read(spark, sf_dir, "lineitem")
+    twin = lines.where(F.col("l_orderkey") % 7 == 0)
+    return gates.pk_gate(lines.unionByName(twin).unionByName(twin), LINE_KEY, LINE_ORDER)
+
+
+@register("gate_fk_then_pk")
+def _gate_fk_then_pk(spark, sf_dir):
+    """Every fifth order's lines also occur with an unknown supplier and sort first:
+    the foreign key removes these before the primary key picks a winner."""
+    lines = testdata.read(spark, sf_dir, "lineitem")
+    orphan = (lines.where(F.col("l_orderkey") % 5 == 0)
+              .withColumn("l_suppkey", -F.col("l_suppkey")).withColumn("l_partkey", -F.col("l_partkey")))
+    valid, _ = gates.fk_gate(lines.unionByName(orphan), testdata.read(spark, sf_dir, "supplier"),
+                             [("l_suppkey", "s_suppkey")])
+    return gates.pk_gate(valid, LINE_KEY, LINE_ORDER)[0]
 
 
 @register("enrich_category")
@@ -370,9 +446,8 @@ def _dq_invalid_scores(spark, sf_dir):
 
 @register("dq_orphan_items")
 def _dq_orphan_items(spark, sf_dir):
-    it = tables(spark, sf_dir).items
-    parents = _orders_with_gaps(spark, sf_dir).select(F.col("o_orderkey").alias("order_id"))
-    return quality.orphan_order_items(it, parents)
+    t = tables(spark, sf_dir)
+    return quality.orphan_order_items(_shifted(t.items, "order_id"), t.orders)
 
 
 @register("dq_status_distribution")

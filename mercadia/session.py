@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings that matter at scale: AQE re-plans joins from runtime sizes (broadcast
 # only when the measured side is under the threshold), coalesces small shuffle
@@ -28,17 +29,16 @@ DEFAULT_CONF = {
 
 
 def scale_conf(input_bytes: int, partition_bytes: int = 256 << 20,
-               input_per_shuffle_partition: int = 1 << 30,
-               max_shuffle_partitions: int = 100_000) -> dict[str, str]:
+               input_per_shuffle_partition: int = 1 << 30, least: int = 200) -> dict[str, str]:
     """Settings sized for an input of ``input_bytes`` (compressed, on disk).
 
     File splits and the advisory shuffle partition size are
     ``partition_bytes``. Shuffles carry pruned, partially aggregated rows, far
     less than the input, so the initial shuffle width is one partition per
-    ``input_per_shuffle_partition`` of input, capped (the driver tracks every
-    map output per reducer); AQE then coalesces partitions that come out small.
+    ``input_per_shuffle_partition`` of input, ``least`` at the least; AQE then
+    coalesces partitions that come out small.
     """
-    parts = min(max_shuffle_partitions, max(200, -(-input_bytes // input_per_shuffle_partition)))
+    parts = max(least, -(-input_bytes // input_per_shuffle_partition))
     return {
         "spark.sql.shuffle.partitions": str(parts),
         "spark.sql.files.maxPartitionBytes": str(partition_bytes),
@@ -47,6 +47,18 @@ def scale_conf(input_bytes: int, partition_bytes: int = 256 << 20,
     }
 
 
+def input_bytes(spark: SparkSession, paths: list[str]) -> int:
+    """Bytes below ``paths`` as the cluster's file systems report them."""
+    jvm = spark._jvm
+    total = 0
+    for path in paths:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+        for status in fs.globStatus(p) or []:
+            total += fs.getContentSummary(status.getPath()).getLength()
+    return total
+
+
 def build_session(master: str | None = None, app: str = "mercadia",
                   shuffle_partitions: int | None = None,
                   extra: dict[str, str] | None = None) -> SparkSession:
@@ -67,15 +79,24 @@ def build_session(master: str | None = None, app: str = "mercadia",
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this must be set by the deployment (a shared file system);
-    only when it is unset, as in local tests, is a scratch folder chosen here.
+    On a cluster this must be set by the deployment (a shared file system) and a
+    missing setting is an error; only a local master, as in tests, gets a scratch
+    folder chosen here.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir is not set: name a folder that all executors share")
         path = tempfile.mkdtemp(prefix="mercadia-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", path)
-    try:
-        spark.sparkContext.setCheckpointDir(path)
-    except Exception:  # noqa: BLE001 - Spark Connect: the server reads the setting itself
-        pass
     return path
+
+
+def materialized(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to a fresh folder below :func:`checkpoint_dir` and read it back:
+    computed once, and a lost executor costs its tasks, not the plan before."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -2,8 +2,9 @@
 
 Format: comma separated, double-quote enclosure with doubled quotes inside,
 LF rows, one header line, UTF-8 (a leading byte-order mark is dropped).
-Quoted fields may span lines, which needs ``multiLine``: a multi-line file is
-read by one task, so large inputs should arrive as many files.
+Only the tables in ``schemas.MULTI_LINE`` have quoted fields that span lines; their
+files are read by one task each, all others are split. A line with too many or
+too few fields is rejected as ``row:malformed``.
 
 Empty fields stay empty strings except in the columns listed in
 ``schemas.BLANK_IS_NULL`` (numbers and dates), where they become NULL. A CSV
@@ -12,10 +13,13 @@ Numbers and dates are parsed with ``try_cast`` into wide types, keeping the
 source text, so the domain gate can tell a blank required value (``:null``)
 from text that does not parse (``:invalid``) and from a number outside the
 declared type (``:out_of_range``); rejected rows carry the source text in
-``__raw``. Accepted rows are cast to the declared schema.
+``__raw``. Accepted rows are cast to the declared schema; rejected rows too, where
+their values fit, and hold NULL where they do not.
 
-The first row of a duplicated key wins: rows are ordered by file name, then by
-position inside the file (``__pos``), which is deterministic on recomputation.
+Gates run in the order of an insert with foreign keys on: domain, foreign keys,
+primary key; a row that breaks an earlier gate cannot shadow a later valid one.
+The first row of a duplicated key wins: rows are ordered by file name, split offset
+and position in the split (``__pos``), which is deterministic on recomputation.
 """
 
 from __future__ import annotations
@@ -29,24 +33,26 @@ from pyspark.sql import types as T
 
 from mercadia.functions.expressions import collate_strings, region_lookup
 from mercadia.model import Tables
-from mercadia.operators.gates import REASON, domain_gate, fk_gate, pk_gate
+from mercadia.operators.gates import REASON, domain_reasons, fk_tag, pk_gate
 from mercadia.sources import schemas
 from mercadia.sources.enrich import enrich_category
 
 POS = "__pos"
+CORRUPT = "__corrupt"  # the whole line, where it has too many or too few fields
 
 
 def read_raw(spark: SparkSession, path: str | list[str], table: str) -> DataFrame:
     """All-text read in the raw column order, with a deterministic file position."""
     cols = schemas.RAW_COLUMNS[table]
-    schema = T.StructType([T.StructField(c, T.StringType(), True) for c in cols])
+    schema = T.StructType([T.StructField(c, T.StringType(), True) for c in [*cols, CORRUPT]])
     df = (spark.read.schema(schema)
-          .option("header", True).option("multiLine", True)
+          .option("header", True).option("multiLine", table in schemas.MULTI_LINE)
           .option("quote", '"').option("escape", '"').option("encoding", "UTF-8")
           .option("emptyValue", "")
-          .option("mode", "PERMISSIVE")
+          .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
           .csv(path))
-    return df.withColumn(POS, F.struct(F.input_file_name().alias("file"),
+    return df.withColumn(POS, F.struct(F.col("_metadata.file_path").alias("file"),
+                                       F.col("_metadata.file_block_start").alias("split"),
                                        F.monotonically_increasing_id().alias("row")))
 
 
@@ -87,19 +93,18 @@ def parse(raw: DataFrame, table: str) -> DataFrame:
         out.append(c.alias(f.name))
     raws = [F.col(f.name).alias(f.name) for f in _converted(raw, table)]
     extra = [F.struct(*raws).alias(RAW)] if raws else []  # all-text tables keep no copy
-    return raw.select(*out, *extra, POS)
+    return raw.select(*out, *extra, CORRUPT, POS)
 
 
 def declared(df: DataFrame, table: str) -> DataFrame:
-    """Cast parsed columns to the declared types (out-of-range values become
-    NULL; gate them first)."""
+    """Cast parsed columns to the declared types; values outside them become NULL."""
     cols = []
     for f in schemas.SCHEMAS[table].fields:
         if f.name not in df.columns:
             continue
         # text keeps its type (and any collation given to it)
         cols.append(F.col(f.name) if isinstance(f.dataType, T.StringType)
-                    else F.col(f.name).cast(f.dataType).alias(f.name))
+                    else F.col(f.name).try_cast(f.dataType).alias(f.name))
     keep = [c for c in df.columns if c not in schemas.SCHEMAS[table].fieldNames()]
     return df.select(*cols, *keep)
 
@@ -107,7 +112,7 @@ def declared(df: DataFrame, table: str) -> DataFrame:
 def parse_rules(table: str, raw_columns: list[str]) -> dict[str, Column]:
     """Domain rules of a parsed table: blank where a value is required,
     unparseable text, values outside the declared type, text too long."""
-    rules: dict[str, Column] = {}
+    rules: dict[str, Column] = {"row:malformed": F.col(CORRUPT).isNotNull()}
     converted = {f.name for f in schemas.SCHEMAS[table].fields
                  if f.name in raw_columns and not isinstance(f.dataType, T.StringType)}
     for f in schemas.SCHEMAS[table].fields:
@@ -132,7 +137,7 @@ def parse_rules(table: str, raw_columns: list[str]) -> dict[str, Column]:
 
 def typed(raw: DataFrame, table: str) -> DataFrame:
     """Convert raw text to the declared schema without gating."""
-    return declared(parse(raw, table), table).drop(RAW)
+    return declared(parse(raw, table), table).drop(RAW, CORRUPT)
 
 
 def read_table(spark: SparkSession, path, table: str) -> DataFrame:
@@ -151,27 +156,32 @@ class LoadResult:
     rejects: dict[str, DataFrame]  # table -> rejected rows with ``reject_reason``
 
 
-def _with_reason_cols(df: DataFrame) -> DataFrame:
-    return df if REASON in df.columns else df.withColumn(REASON, F.lit(None).cast("string"))
-
-
 def load_marketplace(spark: SparkSession, paths: Mapping[str, str | list[str]],
                      translation_path: str | None = None,
                      region: DataFrame | None = None,
                      collation: str | None = None,
                      stage_dir: str | None = None) -> LoadResult:
-    """Read, gate (domain -> primary key -> foreign keys against the gated
-    parents) and enrich the seven tables, parents first.
+    """Read, gate (domain -> foreign keys against the gated parents -> primary
+    key) and enrich the seven tables, parents first.
 
     ``collation`` (e.g. ``expressions.SOURCE_COLLATION``) makes every text
     column, and the lookups, compare case- and accent-insensitively; keys that
     differ only in case then count as duplicates, as in the source database.
 
-    ``stage_dir`` (a shared folder) writes each accepted table there, replacing
-    what was there, and reads it back before children are gated against it:
-    a parent is then computed once instead of inside every child's plan, and
-    the children's lineage starts at Parquet files.
+    Every row gets one reason column (domain, then one left join per parent), so
+    accepted rows and rejects are two readings of one tagged table. With
+    ``stage_dir`` (a shared folder) the tagged table is written to
+    ``stage_dir/_tagged`` first - each CSV is parsed once - and each accepted
+    table to ``stage_dir``, replacing what was there; children are gated against
+    what was written.
     """
+    def stage(df: DataFrame, path: str) -> DataFrame:
+        if not stage_dir:
+            return df
+        path = f"{stage_dir.rstrip('/')}/{path}"
+        df.write.mode("overwrite").parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
     def coll(df: DataFrame) -> DataFrame:
         return collate_strings(df, collation) if collation else df
 
@@ -180,28 +190,24 @@ def load_marketplace(spark: SparkSession, paths: Mapping[str, str | list[str]],
     for table in schemas.LOAD_ORDER:
         raw = read_raw(spark, paths[table], table)
         parsed = coll(parse(raw, table))
-        valid, bad_domain = domain_gate(parsed, parse_rules(table, raw.columns))
-        valid, bad_domain = declared(valid, table), declared(bad_domain, table)
-        df = valid
-        keys = schemas.PRIMARY_KEYS[table]
-        accepted, dup = pk_gate(valid, keys, [POS], row_id=POS)
-        rej = [bad_domain, dup]
-        for child_col, parent, parent_col in schemas.FOREIGN_KEYS.get(table, []):
-            accepted, orphan = fk_gate(accepted, gated[parent], [(child_col, parent_col)])
-            rej.append(orphan)
+        tagged = declared(parsed.withColumn(REASON, domain_reasons(parse_rules(table, raw.columns))),
+                          table)
+        reasons = [F.nullif(F.col(REASON), F.lit(""))]
+        for k, (child_col, parent, parent_col) in enumerate(schemas.FOREIGN_KEYS.get(table, [])):
+            tagged = fk_tag(tagged, gated[parent], [(child_col, parent_col)], f"__fk_reason{k}")
+            reasons.append(F.col(f"__fk_reason{k}"))
+        tagged = tagged.withColumn(REASON, F.coalesce(*reasons)).drop(
+            *[c for c in tagged.columns if c.startswith("__fk_reason")])
+        tagged = stage(tagged, f"_tagged/{table}")
+        accepted, dup = pk_gate(tagged.where(F.col(REASON).isNull()).drop(REASON),
+                                schemas.PRIMARY_KEYS[table], [POS], row_id=POS)
+        rejects[table] = (tagged.where(F.col(REASON).isNotNull())
+                          .unionByName(dup.select(*tagged.columns)))
         if table == "products" and translation_path:
             accepted = enrich_category(accepted,
                                        coll(read_translation(spark, translation_path)))
-        accepted = accepted.drop(RAW)
-        if stage_dir:
-            path = f"{stage_dir.rstrip('/')}/{table}"
-            accepted.drop(POS).write.mode("overwrite").parquet(path)
-            accepted = spark.read.parquet(path)
-        gated[table] = accepted
-        cols = df.columns + [REASON]
-        rejects[table] = rej[0].select(*cols)
-        for r in rej[1:]:
-            rejects[table] = rejects[table].unionByName(_with_reason_cols(r).select(*cols))
+        accepted = accepted.drop(RAW, CORRUPT)
+        gated[table] = stage(accepted.drop(POS), table) if stage_dir else accepted
     out = {k: v.drop(POS) if POS in v.columns else v for k, v in gated.items()}
     return LoadResult(
         tables=Tables(customers=out["customers"], sellers=out["sellers"],

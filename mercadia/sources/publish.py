@@ -28,8 +28,8 @@ def register_all(t, star=None, supplier_tiers=None, logistics_tiers=None,
                  financial_tiers=None) -> list[str]:
     """Publish the three marts, the five dimensions and the two facts as temp
     views, so SQL users query them by name (``spark.sql("SELECT ... FROM
-    supplier_performance")``). Views are lazy: nothing runs until queried,
-    except the supplier mart's checkpoint."""
+    supplier_performance")``). Views are lazy, except that the
+    supplier mart writes its seller rows and ranked keys first."""
     from mercadia.plans.financial import financial_health
     from mercadia.plans.logistics import logistics_regional
     from mercadia.plans.star import build_star
@@ -65,7 +65,10 @@ def publish_star(star, out_dir: str) -> dict[str, str]:
             w = df.coalesce(1)
         writer = w.write.mode("overwrite")
         if name == "fact_orders":
-            w = df.withColumn("year", (F.col("date_key") / 10000).cast("int"))
+            # a year's rows go to a few tasks, more of them the wider the session is
+            spread = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 16)
+            w = (df.withColumn("year", (F.col("date_key") / 10000).cast("int"))
+                 .repartition("year", F.pmod(F.xxhash64("order_id"), F.lit(spread))))
             writer = w.write.mode("overwrite").partitionBy("year")
         writer.parquet(path)
         paths[name] = path

@@ -78,7 +78,6 @@ MAX_LENGTH = {
     "order_payments": {"order_id": 32, "payment_type": 20},
     "order_reviews": {"review_id": 32, "order_id": 32, "review_comment_title": 255},
 }
-# --- end of fixed values
 
 # Raw CSV column order, including columns that are read and then dropped.
 RAW_COLUMNS = {
@@ -100,6 +99,10 @@ RAW_COLUMNS = {
                       "review_answer_timestamp"],
     "category_translation": ["product_category_name", "product_category_name_english"],
 }
+# --- end of fixed values
+
+# Tables whose quoted fields may hold line breaks (free review text).
+MULTI_LINE = {"order_reviews"}
 
 # Columns where an empty field means NULL; other text keeps an empty string.
 BLANK_IS_NULL = {

@@ -3,10 +3,10 @@
 from mercadia.session import scale_conf
 
 
-def test_scale_conf_sizes_and_caps_shuffle_width():
+def test_scale_conf_sizes_shuffle_width():
     assert scale_conf(10 ** 6)["spark.sql.shuffle.partitions"] == "200"
     assert scale_conf(10 * 2 ** 40)["spark.sql.shuffle.partitions"] == "10240"
-    assert scale_conf(100 * 2 ** 40)["spark.sql.shuffle.partitions"] == "100000"
+    assert scale_conf(100 * 2 ** 40)["spark.sql.shuffle.partitions"] == "102400"
     c = scale_conf(2 ** 40)
     assert c["spark.sql.files.maxPartitionBytes"] == str(256 << 20)
     assert c["spark.sql.adaptive.advisoryPartitionSizeInBytes"] == str(256 << 20)
