@@ -27,7 +27,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mercadia.llm.common import staged
@@ -71,9 +71,16 @@ def vocabulary(df: DataFrame, text: str) -> list[bytes]:
         if found:
             yield flush()
 
-    top = (df.select(F.col(f"`{text}`").alias("text")).mapInArrow(count, "word binary, n long")
-           .groupBy("word").agg(F.sum("n").alias("n"))
-           .orderBy(F.col("n").desc(), "word").limit(WORDS - GROUP))
+    counts = staged(df.select(F.col(f"`{text}`").alias("text")).mapInArrow(count, "word binary, n long")
+                    .groupBy("word").agg(F.sum("n").alias("n")), "lm-counts")
+    # the count that the last word of the vocabulary has, from the number of words by
+    # count; so only these words, and not the best of every task, are sorted together
+    size = WORDS - GROUP
+    above = (counts.groupBy("n").agg(F.count(F.lit(1)).alias("words"))
+             .withColumn("words", F.sum("words").over(Window.orderBy(F.col("n").desc()))))
+    least = above.where(F.col("words") >= size).agg(F.max("n")).scalar()
+    top = (counts.where(F.col("n") >= F.coalesce(least, F.lit(0)))
+           .orderBy(F.col("n").desc(), "word").limit(size))
     return [bytes(r.word) for r in top.collect()]
 
 
