@@ -66,8 +66,8 @@ def main() -> None:
     print(f"On `{sf}`, local[8], 16 shuffle partitions. *Static* counts come from "
           "`explain(\"formatted\")`; *final* counts from AQE's plan after running the "
           "query, where small sides have become broadcasts and reused stages are "
-          "counted once. Queries marked \"checkpoint only\" read materialised seller "
-          "rows (the item-level work ran once, in the checkpoint). "
+          "counted once. Queries marked \"written rows only\" read materialised seller "
+          "rows (the item-level work ran once, before they were written). "
           "At this size almost every side fits the broadcast threshold; on a cluster the "
           "same plans keep their sort-merge joins on `order_id`, `customer_id` and "
           "`product_id` and the shuffles counted here, and only the bounded lookups "
@@ -83,7 +83,7 @@ def main() -> None:
         final = counts(final_plan(df))
         scans = re.findall(r"Location: InMemoryFileIndex \[file:[^\]]*/(\w+)\.parquet\].*?"
                            r"ReadSchema: struct<([^>]*)>", text, re.S)
-        cols = "; ".join(f"{t}({len(c.split(','))})" for t, c in scans) or "checkpoint only"
+        cols = "; ".join(f"{t}({len(c.split(','))})" for t, c in scans) or "written rows only"
         print(f"| `{name}` | {' / '.join(map(str, static))} | {' / '.join(map(str, final))} "
               f"| {cols} |")
     spark.stop()
