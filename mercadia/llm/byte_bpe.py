@@ -33,9 +33,9 @@ from mercadia.llm.tokens import CACHE_CHARS, PieceIds, ragged, slices
 #: Pairs whose verdict a worker keeps before it starts over.
 PAIR_TABLE = 300_000
 #: Words whose ids a worker keeps before it starts over.
-WORD_TABLE = 200_000
-#: Letters below this code point are told apart alike by every Unicode version.
-PLAIN_BELOW = "ɐ"
+WORD_TABLE = 300_000
+#: One pre-token of letters, and a full stop or comma; all letters of these blocks.
+PLAIN_WORD = re.compile("( [A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([.,]?)")
 
 
 def byte_chars() -> dict[str, int]:
@@ -73,16 +73,16 @@ class ByteBpe:
         for t, i in whole.items():
             self.automaton.add_word(t, (i, len(t)))
         self.automaton.make_automaton()
-        self.length = {i: len(t) for t, i in whole.items()}
-        self.shorter: dict[int, int] = {}
+        size = 1 + max([*vocab.values(), *self.special.values()])
+        self.length, self.shorter = [0] * size, [-1] * size     # by id
         for t, i in whole.items():
             cut = len(t) - 1
             while cut and t[:cut] not in whole:
                 cut -= 1
             self.shorter[i] = whole[t[:cut]] if cut else -1
+            self.length[i] = len(t)
         self.pairs: dict[tuple[int, int], bool] = {}
         self.words: dict[str, list[int]] = {}
-        size = 1 + max([*vocab.values(), *self.special.values()])
         blobs = [b""] * size
         for t, i in self.id_of.items():
             blobs[i] = t.encode("latin-1")
@@ -148,9 +148,9 @@ class ByteBpe:
     def word(self, text: str) -> list[int]:
         """Ids of one word given as latin-1 characters, one per byte."""
         known = self.id_of.get(text)
-        if known is not None and known in self.length:
+        if known is not None and self.length[known]:
             return [known]
-        size, length, shorter = len(text), self.length, self.shorter
+        size, length, shorter, verdict = len(text), self.length, self.shorter, self.pairs.get
         longest = [-1] * size
         for end, (token, n) in self.automaton.iter(text):
             longest[end - n + 1] = token    # ends come in order: the last is the longest
@@ -167,7 +167,12 @@ class ByteBpe:
                 token = shorter[last]
                 continue
             to = at + length[token]
-            if to not in dead and (not out or self.compatible(out[-1], token)):
+            fits = to not in dead
+            if fits and out:
+                fits = verdict((out[-1], token))
+                if fits is None:
+                    fits = self.compatible(out[-1], token)
+            if fits:
                 out.append(token)
                 at = to
                 if at == size:
@@ -177,11 +182,12 @@ class ByteBpe:
                 token = shorter[token]
 
     def _words(self, piece: str) -> list[str]:
-        if piece[:1] == " " and piece.isprintable() and max(piece) < PLAIN_BELOW:
-            if piece[1:].isalpha():
-                return [piece.encode().decode("latin-1")]
-            if piece[-1] in ".," and piece[1:-1].isalpha():
-                return [piece[:-1].encode().decode("latin-1"), piece[-1]]
+        plain = PLAIN_WORD.fullmatch(piece)
+        if plain:
+            word, end = plain.groups()
+            if not word.isascii():
+                word = word.encode().decode("latin-1")
+            return [word, end] if end else [word]
         return ["".join(map(chr, map(self._byte, w))) for w, _ in self.pre.pre_tokenize_str(piece)]
 
     _byte = staticmethod(byte_chars().__getitem__)
