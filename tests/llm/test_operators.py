@@ -294,6 +294,20 @@ def test_prefixes_keep_similar_pairs():
         assert len(np.intersect1d(x[:prefix[0]], y[:prefix[1]])) >= match.min()
 
 
+def test_lists_led_by_either_side_are_counted_together(spark):
+    """Two families whose shared lists are led alternately: 10 by one and 10 by the other, 12 needed."""
+    a, b = range(1, 13), range(101, 113)
+    lists = [(t, [1, 101, *(a if t % 2 else b)[2:]]) for t in range(20)]
+    lists += [(20 + t, [2, 102, *(a if t % 2 else b)[2:]]) for t in range(11)]
+    postings = spark.createDataFrame(sorted({(t, x, 12, 40) for t, xs in lists for x in xs}),
+                                     "token long, node long, matches long, n long")
+    comps = spark.createDataFrame([(x, x // 100) for x in [*a, *b]], "node long, comp long")
+    met: dict = {}
+    for r in ngram_join.open_blocks(postings, comps).collect():
+        met.setdefault((r.block, r.slot), ([], []))[r.role].append(r.node)
+    assert {tuple(sorted((x, y))) for xs, ys in met.values() for x in xs for y in ys} == {(1, 101)}
+
+
 # -- 5 decontamination ------------------------------------------------------------------
 
 ITEMS = [(1, "A train leaves Paris at 9 with 120 km to go, and it needs 3 hours; how fast must it run on its way?"),
