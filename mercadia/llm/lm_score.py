@@ -7,12 +7,16 @@ applies tanh, and predicts the word in two steps (group, then word in its group)
 so a prediction costs two softmaxes over 64 and not one over all words.
 
 The vocabulary comes from the counts of all words of all documents; other words
-share the 64 entries of the first group by a hash of their ending. Training is
+share the 64 entries of the first group by a hash of their ending, and such a word
+adds, beside its entry's log-probability, that of the word within the entry: its
+count among the counts of all words of the entry and one unseen word. Tasks know the
+``LISTED`` most frequent of these words; the others are joined with the counts by
+64-bit hash. Training is
 numpy inside Spark tasks: in every round each task starts from the same weights
 and takes gradient steps on masked positions of its own documents (another eighth
 of all positions each round), and the tasks' weights are averaged by the number of
 positions they saw. What is counted, shuffled and averaged grows with the input;
-only the vocabulary and one set of weights, both of fixed size, reach the driver.
+only the most frequent words and one set of weights, both of fixed size, reach the driver.
 
 Defined cases: a null text counts as empty; an empty text has no token, score 0.0
 and a null mean; with an empty vocabulary all words are in the first group; rows
@@ -40,6 +44,10 @@ WIDTH = 24
 SIDE = 2
 OFFSETS = [k for k in range(-SIDE, SIDE + 1) if k]
 ROUNDS, MASK = 2, 8
+#: Words beyond the vocabulary whose counts every task holds.
+LISTED = 1 << 16
+#: Joined log-probabilities are added as whole numbers, in any order.
+UNIT = 1e9
 BATCH, RATE = 8192, 0.15
 FLUSH_WORDS = 400_000
 CACHE_WORDS = 400_000
@@ -51,8 +59,8 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").lower().split()
 
 
-def vocabulary(df: DataFrame, text: str) -> list[bytes]:
-    """The most frequent words of all texts, most frequent first."""
+def word_counts(df: DataFrame, text: str) -> DataFrame:
+    """(word, n) of all words of all texts."""
     def count(batches):
         found: Counter = Counter()
 
@@ -71,52 +79,134 @@ def vocabulary(df: DataFrame, text: str) -> list[bytes]:
         if found:
             yield flush()
 
-    counts = staged(df.select(F.col(f"`{text}`").alias("text")).mapInArrow(count, "word binary, n long")
-                    .groupBy("word").agg(F.sum("n").alias("n")), "lm-counts")
-    # the count that the last word of the vocabulary has, from the number of words by
-    # count; so only these words, and not the best of every task, are sorted together
-    size = WORDS - GROUP
+    return staged(df.select(F.col(f"`{text}`").alias("text")).mapInArrow(count, "word binary, n long")
+                  .groupBy("word").agg(F.sum("n").alias("n")), "lm-counts")
+
+
+def frequent(counts: DataFrame, size: int) -> list[tuple[bytes, int]]:
+    """The most frequent words and their counts, most frequent first."""
+    # the count that the last of these words has, from the number of words by count; so
+    # only these words, and not the best of every task, are sorted together
     above = (counts.groupBy("n").agg(F.count(F.lit(1)).alias("words"))
              .withColumn("words", F.sum("words").over(Window.orderBy(F.col("n").desc()))))
     least = above.where(F.col("words") >= size).agg(F.max("n")).scalar()
     top = (counts.where(F.col("n") >= F.coalesce(least, F.lit(0)))
            .orderBy(F.col("n").desc(), "word").limit(size))
-    return [bytes(r.word) for r in top.collect()]
+    return [(bytes(r.word), r.n) for r in top.collect()]
+
+
+def entry(word: bytes) -> int:
+    """The entry of the first group that a word outside the vocabulary shares."""
+    return (word[-1] * 31 + (word[-2] if len(word) > 1 else 0) * 7 + min(len(word), 12)) % GROUP
+
+
+def word_hash(word: bytes) -> int:
+    """A 64-bit hash, signed, whose last bits are the word's entry."""
+    from xxhash import xxh3_64_intdigest
+    h = xxh3_64_intdigest(word) // GROUP * GROUP + entry(word)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def other_words(counts: DataFrame, vocab: list[bytes]) -> DataFrame:
+    """(hash, n) of the words outside the vocabulary."""
+    def run(batches):
+        inside = set(vocab)
+        for batch in batches:
+            words, n = (c.to_pylist() for c in batch.columns)
+            keep = [k for k, w in enumerate(words) if w not in inside]
+            yield pa.RecordBatch.from_arrays([pa.array([word_hash(words[k]) for k in keep], pa.int64()),
+                                              pa.array([n[k] for k in keep], pa.int64())], names=["hash", "n"])
+
+    return counts.select("word", "n").mapInArrow(run, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
+
+
+def entry_totals(others: DataFrame) -> np.ndarray:
+    """Counts of all words of every entry, and one for an unseen word."""
+    out = np.ones(GROUP)
+    for r in others.groupBy(F.pmod("hash", F.lit(GROUP)).alias("k")).agg(F.sum("n").alias("n")).collect():
+        out[r.k] += r.n
+    return out
 
 
 class Ids:
-    def __init__(self, words: list[bytes]):
-        self.fixed = {w: GROUP + k for k, w in enumerate(words)}
+    """A word's id, log-probability within its entry (0 in the vocabulary), and its hash when
+    that log-probability is still to be joined (0 otherwise)."""
+
+    def __init__(self, top: list[tuple[bytes, int]], totals: np.ndarray):
+        size = WORDS - GROUP
+        self.fixed = {w: k for k, (w, _) in enumerate(top)}
+        others = np.array([entry(w) for w, _ in top[size:]], np.int64)
+        n = np.array([n for _, n in top[size:]], float)
+        self.start = (np.concatenate([GROUP + np.arange(min(size, len(top))), others]).astype(np.int32),
+                      np.concatenate([np.zeros(min(size, len(top))), np.log(n) - np.log(totals[others])]),
+                      np.zeros(len(top), np.int64))
+        self.reset()
+
+    def reset(self):
         self.known = dict(self.fixed)
+        self.ids, self.inner, self.hash = self.start
 
-    def __call__(self, words: list[bytes]) -> np.ndarray:
+    def __call__(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if len(self.known) > CACHE_WORDS:
-            self.known = dict(self.fixed)
-        known = self.known
-        out = np.fromiter(map(known.get, words, repeat(-1)), np.int32, len(words))
-        for k in np.flatnonzero(out < 0).tolist():
-            w = words[k]
-            out[k] = known[w] = (w[-1] * 31 + (w[-2] if len(w) > 1 else 0) * 7 + min(len(w), 12)) % GROUP
-        return out
+            self.reset()
+        at = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            new = list(dict.fromkeys([words[k] for k in missing.tolist()]))
+            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
+            self.ids = np.concatenate([self.ids, np.array([entry(w) for w in new], np.int32)])
+            self.inner = np.concatenate([self.inner, np.zeros(len(new))])
+            self.hash = np.concatenate([self.hash, np.array([word_hash(w) for w in new], np.int64)])
+            at[missing] = np.fromiter((self.known[words[k]] for k in missing.tolist()), np.int64, len(missing))
+        return self.ids[at], self.inner[at], self.hash[at]
+
+
+def token_ids(df: DataFrame, doc_id: str, text: str, top: list[tuple[bytes, int]], totals: np.ndarray) -> DataFrame:
+    """(row, doc_id, ids, inner, rare): word ids as 16-bit numbers, the sum of the known
+    log-probabilities within entries, and the hashes of words whose own are to be joined."""
+    source = df.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{doc_id}`").alias("doc_id"),
+                       F.col(f"`{text}`").alias("text"))
+    kind = source.schema["doc_id"].dataType.simpleString()
 
+    def run(batches):
+        ids = Ids(top, totals)
+        for batch in batches:
+            for part in slices(batch, 2):
+                split = [words_of(t) for t in part.column(2).to_pylist()]
+                flat, inner, hashes = ids([w for s in split for w in s])
+                flat = flat.astype("<u2")
+                sizes = np.fromiter(map(len, split), np.int64, len(split))
+                doc = np.repeat(np.arange(len(split)), sizes)
+                cuts = np.concatenate([[0], np.cumsum(sizes)])
+                rare = np.flatnonzero(hashes)
+                edge = np.searchsorted(rare, cuts)
+                hashes = hashes[rare]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1),
+                     pa.array([flat[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])], pa.binary()),
+                     pa.array(np.bincount(doc, inner, len(split))),
+                     pa.array([hashes[a:b].tobytes() if b > a else None for a, b in zip(edge[:-1], edge[1:])],
+                              pa.binary())], names=["row", "doc_id", "ids", "inner", "rare"])
+
+    return source.mapInArrow(run, f"row long, doc_id {kind}, ids binary, inner double, rare binary")
 
-def token_ids(df: DataFrame, doc_id: str, text: str, vocab: list[bytes]) -> DataFrame:
-    """(doc_id, ids): word ids as 16-bit numbers."""
-    source = df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    kind = source.schema["doc_id"].dataType.simpleString()
 
+def joined(ids: DataFrame, others: DataFrame, totals: np.ndarray) -> DataFrame:
+    """(row, rare_sum): the log-probabilities within entries of each row's ``rare`` words."""
     def run(batches):
-        ids = Ids(vocab)
         for batch in batches:
             for part in slices(batch, 1):
-                split = [words_of(t) for t in part.column(1).to_pylist()]
-                flat = ids([w for s in split for w in s]).astype("<u2")
-                cuts = np.cumsum([0, *map(len, split)])
+                data = part.column(1).to_pylist()
+                counts = np.fromiter((len(d) // 8 for d in data), np.int64, len(data))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([flat[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])],
-                                              pa.binary())], names=["doc_id", "ids"])
+                    [pa.array(np.repeat(part.column(0).to_numpy(), counts)),
+                     pa.array(np.frombuffer(b"".join(data), np.int64))], names=["row", "hash"])
 
-    return source.mapInArrow(run, f"doc_id {kind}, ids binary")
+    of_entry = F.array(*[F.lit(float(x)) for x in np.log(totals)])
+    chance = F.log(F.coalesce("n", F.lit(1))) - F.element_at(of_entry, (F.pmod("hash", F.lit(GROUP)) + 1).cast("int"))
+    return (ids.where("rare is not null").select("row", "rare").mapInArrow(run, "row long, hash long")
+            .join(others, "hash", "left").select("row", F.round(chance * UNIT).cast("long").alias("c"))
+            .groupBy("row").agg(F.sum("c").alias("rare_sum")))
 
 
 class Network:
@@ -297,22 +387,30 @@ def scores(ids: DataFrame, weights: np.ndarray) -> DataFrame:
     def run(batches):
         net = Network(weights)
         for batch in batches:
-            for part in slices(batch, 1, 1 << 17):
-                flat, counts = batch_ids(part.column(1))
+            for part in slices(batch, 2, 1 << 17):
+                flat, counts = batch_ids(part.column(2))
                 total = np.zeros(len(flat))
                 near = neighbours(flat, counts, np.arange(len(flat)))
                 for a in range(0, len(flat), 1 << 16):
                     total[a:a + (1 << 16)] = net.log_chance(near[a:a + (1 << 16)], flat[a:a + (1 << 16)])
                 doc = np.repeat(np.arange(len(counts)), counts)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(counts), pa.array(np.bincount(doc, total, len(counts)))],
-                    names=["doc_id", "n_tokens", "log_likelihood"])
+                    [part.column(0), part.column(1), pa.array(counts),
+                     pa.array(np.bincount(doc, total, len(counts)) + part.column(3).to_numpy())],
+                    names=["row", "doc_id", "n_tokens", "log_likelihood"])
 
-    return ids.mapInArrow(run, f"doc_id {kind}, n_tokens long, log_likelihood double").withColumn(
-        "mean_log_likelihood", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")))
+    return ids.select("row", "doc_id", "ids", "inner").mapInArrow(
+        run, f"row long, doc_id {kind}, n_tokens long, log_likelihood double")
 
 
 def score(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(doc_id, n_tokens, log_likelihood, mean_log_likelihood) of every row."""
-    ids = staged(token_ids(df, doc_id, text, vocabulary(df, text)), "lm-ids")
-    return scores(ids, train(ids))
+    counts = word_counts(df, text)
+    top = frequent(counts, WORDS - GROUP + LISTED)
+    others = staged(other_words(counts, [w for w, _ in top[:WORDS - GROUP]]), "lm-others")
+    totals = entry_totals(others)
+    ids = staged(token_ids(df, doc_id, text, top, totals), "lm-ids")
+    found = (scores(ids, train(ids)).join(joined(ids, others, totals), "row", "left")
+             .withColumn("log_likelihood", F.col("log_likelihood") + F.coalesce("rare_sum", F.lit(0)) / UNIT))
+    return found.select("doc_id", "n_tokens", "log_likelihood", F.when(
+        F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")).alias("mean_log_likelihood"))

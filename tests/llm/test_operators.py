@@ -405,6 +405,21 @@ def test_lm_scores(spark, odd, none):
     assert lm_score.score(none, "doc_id", "text").count() == 0
 
 
+def test_lm_words_outside_the_vocabulary_count_as_words(spark, monkeypatch):
+    """A rarer word of the same entry costs its share of the entry, listed in tasks or joined."""
+    common = [b"w%dx" % k for k in range(lm_score.WORDS - lm_score.GROUP)]
+    twin = next((a, b) for a in range(100, 999) for b in range(a + 1, 999)
+                if lm_score.entry(b"q%dz" % a) == lm_score.entry(b"q%dz" % b))
+    a, b = ("q%dz" % k for k in twin)
+    lines = [" ".join(w.decode() for w in common)] * 60
+    rows = [*enumerate(lines, 10), (1, a), (2, b), *((100 + k, a) for k in range(39))]
+    df = spark.createDataFrame(rows, DOCS).coalesce(2)
+    for listed in (1 << 16, 1, 0):
+        monkeypatch.setattr(lm_score, "LISTED", listed)
+        got = {r.doc_id: r.log_likelihood for r in lm_score.score(df, "doc_id", "text").collect()}
+        assert abs(got[1] - got[2] - np.log(40)) < 1e-6
+
+
 def test_lm_gradient_is_the_slope():
     rng = np.random.default_rng(1)
     net = lm_score.Network(lm_score.Network.start())
