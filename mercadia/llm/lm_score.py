@@ -13,9 +13,9 @@ count among the counts of all words of the entry and one unseen word. Tasks know
 ``LISTED`` most frequent of these words; the others are joined with the counts by
 64-bit hash. Training is
 numpy inside Spark tasks: in every round each task starts from the same weights
-and takes gradient steps on masked positions of its own documents (another eighth
-of all positions each round), and the tasks' weights are averaged by the number of
-positions they saw. What is counted, shuffled and averaged grows with the input;
+and takes gradient steps on masked positions of its own documents, one of ``MASK``
+masks after the other, and the tasks' weights are averaged by the number of positions
+they saw. The ``ROUNDS`` share the masks, so every position is a target once. What is counted, shuffled and averaged grows with the input;
 only the most frequent words and one set of weights, both of fixed size, reach the driver.
 
 Defined cases: a null text counts as empty; an empty text has no token, score 0.0
@@ -323,6 +323,13 @@ def train(ids: DataFrame) -> np.ndarray:
     return weights
 
 
+def mask_of(counts: np.ndarray) -> np.ndarray:
+    """Every position's mask, from its place in its document and the document's length, so
+    the same in every round however rows are dealt into batches."""
+    place = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(counts, counts)
+    return (place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(MASK)
+
+
 def steps(weights: np.ndarray, turn: int):
     """A task's gradient steps (Adagrad) over the masked positions of its documents."""
     def run(batches):
@@ -332,20 +339,21 @@ def steps(weights: np.ndarray, turn: int):
         for batch in batches:
             for part in slices(batch, 0):
                 flat, counts = batch_ids(part.column(0))
-                place = np.arange(len(flat), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(61)
-                masked = np.flatnonzero(place == turn % MASK)
-                near = neighbours(flat, counts, masked)
-                for a in range(0, len(masked), BATCH):
-                    target = flat[masked[a:a + BATCH]]
-                    for name, g in net.gradient(near[a:a + BATCH], target).items():
-                        if name == "embed":
-                            rows, g = g
-                            grown[name][rows] += g * g
-                            net.w[name][rows] -= RATE * g / np.sqrt(grown[name][rows])
-                        else:
-                            grown[name] += g * g
-                            net.w[name] -= RATE * g / np.sqrt(grown[name])
-                seen += len(masked)
+                place = mask_of(counts)
+                for mask in range(turn, MASK, ROUNDS):
+                    masked = np.flatnonzero(place == mask)
+                    near = neighbours(flat, counts, masked)
+                    for a in range(0, len(masked), BATCH):
+                        target = flat[masked[a:a + BATCH]]
+                        for name, g in net.gradient(near[a:a + BATCH], target).items():
+                            if name == "embed":
+                                rows, g = g
+                                grown[name][rows] += g * g
+                                net.w[name][rows] -= RATE * g / np.sqrt(grown[name][rows])
+                            else:
+                                grown[name] += g * g
+                                net.w[name] -= RATE * g / np.sqrt(grown[name])
+                    seen += len(masked)
         if seen:
             flat_w, part_no = net.flat(), TaskContext.get().partitionId()
             cuts = range(0, len(flat_w), PIECE)

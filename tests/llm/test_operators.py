@@ -420,6 +420,23 @@ def test_lm_words_outside_the_vocabulary_count_as_words(spark, monkeypatch):
         assert abs(got[1] - got[2] - np.log(40)) < 1e-6
 
 
+def test_lm_every_position_is_a_target_once(spark, monkeypatch):
+    """Targets of all rounds together: every position of every document, also when rows are dealt anew."""
+    import pyarrow as pa
+    from pyspark import TaskContext
+    monkeypatch.setattr(TaskContext, "get", classmethod(lambda cls: type("T", (), {"partitionId": lambda self: 0})()))
+    met: list = []
+    monkeypatch.setattr(lm_score.Network, "gradient", lambda self, near, target: met.extend(target.tolist()) or {})
+    sizes = [1, 2, 5, 40, 700, 3, 0, 33]
+    first = np.cumsum([0, *sizes])
+    data = [np.arange(a, a + k, dtype="<u2").tobytes() for a, k in zip(first, sizes)]
+    for turn in range(lm_score.ROUNDS):
+        cut = 3 + turn
+        batches = [pa.record_batch([pa.array(d, pa.binary())], names=["ids"]) for d in (data[:cut], data[cut:])]
+        list(lm_score.steps(lm_score.Network.start(), turn)(iter(batches)))
+    assert sorted(met) == list(range(sum(sizes)))
+
+
 def test_lm_gradient_is_the_slope():
     rng = np.random.default_rng(1)
     net = lm_score.Network(lm_score.Network.start())
