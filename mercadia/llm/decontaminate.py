@@ -11,9 +11,12 @@ question still aligns; an unrelated text of the same form does not. A document
 is contaminated by an item when consistent alignments cover at least ``share`` of
 the item's windows.
 
-Windows need as many plain words as placeholders; an item shorter than ``size``
-words is one window of its own length, and items without a usable window or
-shorter than ``LEAST`` words are never found. Null and empty texts have no window;
+Template windows need as many plain words as placeholders and ``LEAST`` words.
+Beside them the plain words of every window are hashed and joined, so verbatim
+copies are found whatever a window holds; a document is also contaminated when
+windows of both kinds cover ``share`` of all the item's positions. An item shorter
+than ``size`` words is one window of its own length; one of less than ``ANYWHERE``
+words is found where it is a document's whole text. Null and empty texts have no window;
 null ids are kept as null; rows that repeat are judged each; empty tables give
 an empty result. Only the named columns are read.
 """
@@ -35,6 +38,8 @@ from mercadia.llm.tokens import slices
 
 SIZE = 8
 LEAST = 4
+#: Shorter items stand in unrelated texts by chance.
+ANYWHERE = 3
 SHARE = 0.5
 CACHE_WORDS = 200_000
 # Units that count as such behind a number.
@@ -100,7 +105,7 @@ def kind(word: str) -> int:
 
 
 def templates(words: Words, texts: list[str]):
-    """Kept words of all texts: text number, template hash, slot kind (0: none), raw words."""
+    """Kept words of all texts: text number, template hash, plain hash, slot kind (0: none), raw words."""
     split = [t.split() for t in texts]
     raw = [w for s in split for w in s]
     doc = np.repeat(np.arange(len(texts)), [len(s) for s in split])
@@ -114,44 +119,60 @@ def templates(words: Words, texts: list[str]):
     after[1:] = (kinds[:-1] == NUMBER) & (doc[1:] == doc[:-1])
     kinds[(kinds == UNIT) & ~after] = LITERAL
     kinds[(kinds == NAME) & opens] = LITERAL
-    code = np.where(kinds == LITERAL, words.hash[at[kept]], PLACEHOLDER[kinds])
-    return doc, code, kinds, [raw, kept]
+    plain = words.hash[at[kept]]
+    return doc, np.where(kinds == LITERAL, plain, PLACEHOLDER[kinds]), plain, kinds, [raw, kept]
+
+
+def window_hashes(code: np.ndarray, size: int) -> np.ndarray:
+    n = len(code) - size + 1
+    h = np.full(n, size, np.uint64)
+    for k in range(size):
+        h = (h ^ code[k:k + n]) * MIX
+        h ^= h >> np.uint64(29)
+    return h
 
 
 def windows(words: Words, texts: list[str], sizes: list[int] | None, mask: np.ndarray | None):
-    """Rows (text, size, hash, position, slot values); with ``sizes`` None a text's size is
-    ``SIZE`` or its length, if shorter; with ``mask`` only windows whose bit is set."""
-    doc, code, kinds, (raw, kept) = templates(words, texts)
+    """Rows (text, size, hash, position, slot values, usable as template); with ``sizes`` None a
+    text's size is ``SIZE`` or its length, if shorter; with ``mask`` only windows whose bit is set.
+
+    Every window has a row of its plain words, without slot values; a usable one with slots
+    has a row of its template too. Without slots the two hashes are the same."""
+    doc, code, plain, kinds, (raw, kept) = templates(words, texts)
     length = np.bincount(doc, minlength=len(texts))
     first = np.cumsum(length) - length
     slots = np.concatenate([[0], np.cumsum(kinds != LITERAL)])
     out = []
     for size in sizes if sizes is not None else sorted(set(np.minimum(length, SIZE).tolist())):
-        if size < LEAST or len(code) < size:
+        if size < 1 or len(code) < size:
             continue
         n = len(code) - size + 1
-        h = np.full(n, size, np.uint64)
-        for k in range(size):
-            h = (h ^ code[k:k + n]) * MIX
-            h ^= h >> np.uint64(29)
-        good = (doc[:n] == doc[size - 1:]) & (2 * (slots[size:] - slots[:n]) <= size)
+        good = doc[:n] == doc[size - 1:]
+        if size < ANYWHERE:
+            good &= length[doc[:n]] == size
         if sizes is None:
             good &= np.minimum(length, SIZE)[doc[:n]] == size
-        if mask is not None:
-            good &= bits.holds(mask, h)
-        for p in np.flatnonzero(good).tolist():
-            values = [EDGES.sub("", raw[kept[q]]).translate(UPPER)
-                      for q in range(p, p + size) if kinds[q] != LITERAL] if slots[p + size] > slots[p] else []
-            out.append((int(doc[p]), size, int(h[p].astype(np.int64)), p - int(first[doc[p]]), values))
+        held = slots[size:] - slots[:n]
+        usable = (2 * held <= size) & (size >= LEAST)
+        for codes, some in ((plain, good), (code, good & usable & (held > 0))):
+            h = window_hashes(codes, size)
+            if mask is not None:
+                some = some & bits.holds(mask, h)
+            for p in np.flatnonzero(some).tolist():
+                values = [] if codes is plain else [
+                    EDGES.sub("", raw[kept[q]]).translate(UPPER) for q in range(p, p + size) if kinds[q] != LITERAL]
+                out.append((int(doc[p]), size, int(h[p].astype(np.int64)), p - int(first[doc[p]]), values,
+                            bool(usable[p])))
     return out
 
 
 def window_rows(df: DataFrame, ident: str, text: str, name: str, sizes=None, mask=None) -> DataFrame:
-    """One row per window: ``row`` id, ident, size, hash, position and slot values."""
+    """The rows of ``windows``: ``row`` id, ident, size, hash, position, slot values, usable."""
     schema = T.StructType([
         T.StructField(f"{name}_row", T.LongType()), T.StructField(name, df.schema[ident].dataType),
         T.StructField("size", T.IntegerType()), T.StructField("hash", T.LongType()),
-        T.StructField(f"{name}_at", T.LongType()), T.StructField(f"{name}_slots", T.ArrayType(T.StringType()))])
+        T.StructField(f"{name}_at", T.LongType()), T.StructField(f"{name}_slots", T.ArrayType(T.StringType())),
+        T.StructField(f"{name}_usable", T.BooleanType())])
 
     def run(batches):
         words = Words()
@@ -160,12 +181,12 @@ def window_rows(df: DataFrame, ident: str, text: str, name: str, sizes=None, mas
                 found = windows(words, [t or "" for t in part.column(2).to_pylist()], sizes, mask)
                 if not found:
                     continue
-                at, size, h, pos, values = zip(*found)
+                at, size, h, pos, values, usable = zip(*found)
                 take = pa.array(at, pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0).take(take), part.column(1).take(take), pa.array(size, pa.int32()),
                      pa.array(h, pa.int64()), pa.array(pos, pa.int64()),
-                     pa.array(values, pa.list_(pa.string()))], names=schema.names)
+                     pa.array(values, pa.list_(pa.string())), pa.array(usable, pa.bool_())], names=schema.names)
 
     source = df.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{ident}`").alias("ident"),
                        F.col(f"`{text}`").alias("text"))
@@ -180,7 +201,9 @@ def leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: st
     sizes = [r.size for r in known.select("size").distinct().collect()]    # at most SIZE values
     mask = bits.build(known, F.col("hash"))
     found = window_rows(docs, doc_id, text, "doc", sizes, mask)
-    total = known.groupBy("item_row").agg(F.count(F.lit(1)).alias("windows"))
+    total = known.groupBy("item_row").agg(
+        F.countDistinct("item_at").alias("all"),
+        F.collect_set(F.when(F.col("item_usable"), F.col("item_at"))).alias("usable"))
     pairs = found.join(known, ["size", "hash"])
     aligned = (pairs.groupBy("doc_row", "doc", "item_row", "item", (F.col("doc_at") - F.col("item_at")).alias("shift"))
                .agg(F.collect_set("item_at").alias("places"),
@@ -191,9 +214,16 @@ def leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: st
                .groupBy("doc_row", "doc", "item_row", "item")
                .agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"),
                     F.max(F.exists("slots", lambda s: s["a"] != s["b"])).alias("slots_changed")))
+    # of the usable windows or of all positions, whichever are covered better
+    of_all = F.struct((F.size("places") / F.col("all")).alias("coverage"), F.col("all").alias("windows"),
+                      F.size("places").cast("long").alias("matched"))
+    of_usable = F.size(F.array_intersect("places", "usable"))
+    of_usable = F.when(F.size("usable") > 0, F.struct(
+        (of_usable / F.size("usable")).alias("coverage"), F.size("usable").cast("long").alias("windows"),
+        of_usable.cast("long").alias("matched")))
     return (covered.join(total, "item_row")
-            .withColumn("matched", F.size("places").cast("long"))
-            .withColumn("coverage", F.col("matched") / F.col("windows"))
+            .withColumn("best", F.greatest(of_all, of_usable))
+            .select("doc_row", "doc", "item", "best.*", "slots_changed")
             .where(F.col("coverage") >= share)
             .select("doc_row", "doc", "item", "windows", "matched", "coverage", "slots_changed"))
 

@@ -338,6 +338,19 @@ def test_slots_must_map_consistently(spark):
     assert [r.doc for r in found] == [1]
 
 
+def leaked(spark, items, docs):
+    """(doc, item) of all leaks, by place in the lists."""
+    items, docs = (spark.createDataFrame(list(enumerate(x)), DOCS).coalesce(1) for x in (items, docs))
+    found = decontaminate.leaks(docs, "doc_id", "text", items, "doc_id", "text").collect()
+    return sorted((r.doc, r.item) for r in found)
+
+
+def test_short_items_and_items_of_values_are_found_verbatim(spark):
+    items = ["Compute 12 + 7 * 3", "Who wrote Faust?", "In 1815 1816 1817 Alice Bob Carol met Dave Erin 1818 1819", "Yes no"]
+    docs = [f"Some text stands before it. {t} And more text." for t in items] + ["yes, no", "Compute 12 + 8 * 3"]
+    assert leaked(spark, items, docs) == [(0, 0), (1, 1), (2, 2), (4, 3)]
+
+
 def test_bits_hold_what_was_put_in(spark):
     df = spark.range(5000).select(F.xxhash64("id").alias("h"))
     mask = bits.build(df, F.col("h"))
