@@ -4,9 +4,10 @@ Texts are cut at white space, words lose punctuation at their ends and A-Z case.
 Numbers, units behind a number and capitalised words inside a sentence (names)
 become typed placeholders. Windows of ``size`` template words are hashed; windows
 of documents that may be in the benchmark (a fixed-size bit set says which
-cannot) are hash-joined with the benchmark's windows. Along one alignment of a
-document and an item, the placeholders' values must map consistently: equal
-values in the item stand against equal values in the document. A re-parameterised
+cannot) are hash-joined with the benchmark's windows. Windows with
+the same values always count. Along one alignment of a document and an item, the
+values of the others must map consistently: equal values in the item stand against
+equal values in the document. A re-parameterised
 question still aligns; an unrelated text of the same form does not. A document
 is contaminated by an item when consistent alignments cover at least ``share`` of
 the item's windows.
@@ -205,12 +206,14 @@ def leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: st
         F.countDistinct("item_at").alias("all"),
         F.collect_set(F.when(F.col("item_usable"), F.col("item_at"))).alias("usable"))
     pairs = found.join(known, ["size", "hash"])
-    aligned = (pairs.groupBy("doc_row", "doc", "item_row", "item", (F.col("doc_at") - F.col("item_at")).alias("shift"))
+    differs = F.col("item_slots") != F.col("doc_slots")
+    aligned = (pairs.groupBy("doc_row", "doc", "item_row", "item", (F.col("doc_at") - F.col("item_at")).alias("shift"),
+                             differs.alias("differs"))
                .agg(F.collect_set("item_at").alias("places"),
                     F.array_distinct(F.flatten(F.collect_set(F.arrays_zip(
                         F.col("item_slots").alias("a"), F.col("doc_slots").alias("b"))))).alias("slots")))
     one_value = F.size(F.array_distinct(F.transform("slots", lambda s: s["a"]))) == F.size("slots")
-    covered = (aligned.where(one_value)
+    covered = (aligned.where(~F.col("differs") | one_value)
                .groupBy("doc_row", "doc", "item_row", "item")
                .agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"),
                     F.max(F.exists("slots", lambda s: s["a"] != s["b"])).alias("slots_changed")))

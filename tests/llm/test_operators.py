@@ -351,6 +351,11 @@ def test_short_items_and_items_of_values_are_found_verbatim(spark):
     assert leaked(spark, items, docs) == [(0, 0), (1, 1), (2, 2), (4, 3)]
 
 
+def test_one_edited_value_leaves_the_equal_windows(spark):
+    item = "the box holds 12 red pens and lid number four " + " ".join(f"word{chr(97 + k)}" for k in range(30)) + " so 12 pens in all"
+    assert leaked(spark, [item], [item.replace("so 12", "so 13")]) == [(0, 0)]
+
+
 def test_bits_hold_what_was_put_in(spark):
     df = spark.range(5000).select(F.xxhash64("id").alias("h"))
     mask = bits.build(df, F.col("h"))
