@@ -4,7 +4,9 @@ Texts are cut at white space, words lose punctuation at their ends and A-Z case.
 Numbers, units behind a number and capitalised words inside a sentence (names)
 become typed placeholders. Windows of ``size`` template words are hashed; windows
 of documents that may be in the benchmark (a fixed-size bit set says which
-cannot) are hash-joined with the benchmark's windows. Windows with
+cannot) are hash-joined with the benchmark's windows. An item's
+capitalised first word is a plain word and, in a second window, a name, as it may
+stand behind any text. Windows with
 the same values always count. Along one alignment of a document and an item, the
 values of the others must map consistently: equal values in the item stand against
 equal values in the document. A re-parameterised
@@ -105,15 +107,18 @@ def kind(word: str) -> int:
     return LITERAL
 
 
-def templates(words: Words, texts: list[str]):
-    """Kept words of all texts: text number, template hash, plain hash, slot kind (0: none), raw words."""
+def templates(words: Words, texts: list[str], behind: bool = False):
+    """Kept words of all texts: text number, template hash, plain hash, slot kind (0: none),
+    raw words; ``behind``: texts do not open a sentence."""
     split = [t.split() for t in texts]
     raw = [w for s in split for w in s]
     doc = np.repeat(np.arange(len(texts)), [len(s) for s in split])
     at = words.look(raw)
     kinds, ends = words.kind[at], words.ends[at]
     opens = np.ones(len(raw), bool)
-    opens[1:] = ends[:-1] | (doc[1:] != doc[:-1])
+    new = doc[1:] != doc[:-1]
+    opens[1:] = ends[:-1] & ~new if behind else ends[:-1] | new
+    opens[:1] &= not behind
     kept = np.flatnonzero(kinds != EMPTY)
     doc, kinds, opens = doc[kept], kinds[kept].copy(), opens[kept]
     after = np.zeros(len(kept), bool)
@@ -133,17 +138,19 @@ def window_hashes(code: np.ndarray, size: int) -> np.ndarray:
     return h
 
 
-def windows(words: Words, texts: list[str], sizes: list[int] | None, mask: np.ndarray | None):
+def windows(words: Words, texts: list[str], sizes: list[int] | None, mask: np.ndarray | None, behind: bool = False):
     """Rows (text, size, hash, position, slot values, usable as template); with ``sizes`` None a
     text's size is ``SIZE`` or its length, if shorter; with ``mask`` only windows whose bit is set.
 
     Every window has a row of its plain words, without slot values; a usable one with slots
-    has a row of its template too. Without slots the two hashes are the same."""
-    doc, code, plain, kinds, (raw, kept) = templates(words, texts)
+    has a row of its template too. Without slots the two hashes are the same. With ``sizes``
+    None, first windows have another row in which the text stands behind others (``behind``
+    gives only these)."""
+    doc, code, plain, kinds, (raw, kept) = templates(words, texts, behind)
     length = np.bincount(doc, minlength=len(texts))
     first = np.cumsum(length) - length
     slots = np.concatenate([[0], np.cumsum(kinds != LITERAL)])
-    out = []
+    out = windows(words, texts, None, mask, True) if sizes is None and not behind else []
     for size in sizes if sizes is not None else sorted(set(np.minimum(length, SIZE).tolist())):
         if size < 1 or len(code) < size:
             continue
@@ -153,6 +160,8 @@ def windows(words: Words, texts: list[str], sizes: list[int] | None, mask: np.nd
             good &= length[doc[:n]] == size
         if sizes is None:
             good &= np.minimum(length, SIZE)[doc[:n]] == size
+        if behind:
+            good &= (np.arange(n) == first[doc[:n]]) & (kinds[:n] == NAME)
         held = slots[size:] - slots[:n]
         usable = (2 * held <= size) & (size >= LEAST)
         for codes, some in ((plain, good), (code, good & usable & (held > 0))):
@@ -163,7 +172,7 @@ def windows(words: Words, texts: list[str], sizes: list[int] | None, mask: np.nd
                 values = [] if codes is plain else [
                     EDGES.sub("", raw[kept[q]]).translate(UPPER) for q in range(p, p + size) if kinds[q] != LITERAL]
                 out.append((int(doc[p]), size, int(h[p].astype(np.int64)), p - int(first[doc[p]]), values,
-                            bool(usable[p])))
+                            bool(usable[p]) and not behind))
     return out
 
 

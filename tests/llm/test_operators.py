@@ -356,6 +356,12 @@ def test_one_edited_value_leaves_the_equal_windows(spark):
     assert leaked(spark, [item], [item.replace("so 12", "so 13")]) == [(0, 0)]
 
 
+def test_items_behind_other_text(spark):
+    items = ["Count the apples that 12 boys took", "Where does old Mister Anton Keller live now"]
+    docs = ["Title line\nCount the apples that 15 boys took", items[1].lower(), "- " + items[0], "title " + items[1]]
+    assert leaked(spark, items, docs) == [(0, 0), (1, 1), (2, 0), (3, 1)]
+
+
 def test_bits_hold_what_was_put_in(spark):
     df = spark.range(5000).select(F.xxhash64("id").alias("h"))
     mask = bits.build(df, F.col("h"))
