@@ -39,6 +39,25 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def aside(df: DataFrame, made: list[str], keep: list[str] = ()) -> DataFrame:
+    """``df`` with every column that bears a name of ``made`` renamed by trailing
+    underscores, except those of ``keep`` (the columns an operator is told to use).
+
+    Names compare without case, as Spark resolves them, so an operator may add the
+    columns ``made`` to any table.
+    """
+    taken = {m.lower() for m in made}
+    used = taken | {c.lower() for c in df.columns}
+    out = []
+    for c in df.columns:
+        new = c
+        while c not in keep and c.lower() in taken and new.lower() in used:
+            new += "_"
+        used.add(new.lower())
+        out.append(new)
+    return df.toDF(*out)
+
+
 def keep_chars(text: Column, drop: str = BLANKS) -> Column:
     """``text`` without the characters of ``drop``; null counts as empty."""
     out = F.coalesce(text, F.lit(""))
