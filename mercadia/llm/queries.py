@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mercadia.llm import (
-    byte_bpe, decontaminate, exact_dedup, language_id, lm_score, ngram_join, quality, token_files, url_rules, warc)
+    byte_bpe, decontaminate, exact_dedup, hard_negatives, language_id, lm_score, ngram_join, pii, quality, spelling,
+    token_files, url_rules, warc)
 from mercadia.llm.common import remainder, scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -155,3 +156,50 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op9_lm_score")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
+
+
+@register("op11_pii")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find(docs, "text").drop("text")
+    return found.select(
+        "doc_id", *[pii.number(F.col("spans"), k).alias(f"n_{k}") for k in pii.BASE],
+        F.sha2(pii.listed(F.col("spans"), pii.BASE), 256).alias("base_sha256"),
+        pii.listed(F.col("spans")).alias("spans"))
+
+
+@register("op12_spelling")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    words = spelling.word_counts(docs, "doc_id", "text", least_length=6, least_n=5, drop_every=199)
+    return spelling.variants(words)
+
+
+@register("op13_hard_negatives", """
+WITH u AS (
+  SELECT vec_id,
+         CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND vec_id IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same,
+         list_inner_product(a.v, b.v)::BIGINT AS score
+  FROM u a JOIN u b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+p AS (
+  SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5),
+n AS (
+  SELECT p.*, s.other AS negative_id, s.score AS negative_score,
+         row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.other) AS rank
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same
+               AND 30 * positive_score <= 100 * s.score AND 100 * s.score <= 90 * positive_score)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score
+FROM n WHERE rank <= 10
+""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.withColumn("label", moved), "vec_id", "embedding", "label",
+                               lambda i: i % 100 == 0)
