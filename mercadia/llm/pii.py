@@ -225,7 +225,7 @@ def find(df: DataFrame, text: str, out: str = "spans") -> DataFrame:
         for whole in batches:
             for batch in slices(whole, at):
                 rows = [[dict(zip(("kind", "start", "end"), s)) for s in spans(t, hits)] if t else []
-                        for t in map(pa.Scalar.as_py, batch.column(at))]
+                        for t in batch.column(at).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, target)],
                                                  [*batch.schema.names, "out"])
 
