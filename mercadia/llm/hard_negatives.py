@@ -190,8 +190,8 @@ def _products(a: np.ndarray, x: np.ndarray) -> np.ndarray:
     return a[:, :d].astype(np.int64) @ x[:, :d].astype(np.int64).T
 
 
-def walk(chunk: dict, block: dict, k: int, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ask, score and id of the rows of ``block`` that may be among an ask's ``k`` best.
+def walk(chunk: dict, block: dict, k: int, same: bool) -> np.ndarray:
+    """Ask, score and id (rows of the result) of the rows of ``block`` that may be among an ask's ``k`` best.
 
     An ask is a member (``asks``), a window of scores (``low`` to ``high``) and a ``floor``: the
     k-th best score known already. ``same``: rows of the member's label, else of other labels.
@@ -224,27 +224,43 @@ def walk(chunk: dict, block: dict, k: int, same: bool) -> tuple[np.ndarray, np.n
         s = score[of]
         ask, row = np.nonzero(fits[of] & (s >= least[live][:, None]) & (s <= high[live][:, None]))
         found.append(np.stack([live[ask], s[ask, row], x_ids[rows[row]]]))
-        hits = np.concatenate(found, axis=1)
-        hits = hits[:, np.lexsort((hits[2], -hits[1], hits[0]))]
-        first = np.searchsorted(hits[0], hits[0])
-        place = np.arange(hits.shape[1]) - first
-        hits = hits[:, place < k]
-        kth = place[place < k] == k - 1
-        np.maximum.at(least, hits[0, kth], hits[1, kth])
-        found = [hits]
-    return tuple(np.concatenate(found, axis=1))
+        found = [best_of(np.concatenate(found, axis=1), k, least)]
+    return found[0] if len(found) == 1 else best_of(np.concatenate(found, axis=1), k, least)
+
+
+def best_of(hits: np.ndarray, k: int, least: np.ndarray) -> np.ndarray:
+    """The ``k`` best of each ask among ``hits`` (ask, score, id); raises ``least`` to the k-th scores."""
+    hits = hits[:, np.lexsort((hits[2], -hits[1], hits[0]))]
+    place = np.arange(hits.shape[1]) - np.searchsorted(hits[0], hits[0])
+    hits, place = hits[:, place < k], place[place < k]
+    np.maximum.at(least, hits[0, place == k - 1], hits[1, place == k - 1])
+    return hits
+
+
+#: Chunks whose hits a task holds, so that later blocks meet higher floors and add to one list.
+HELD = 32
 
 
 def _walker(k: int, same: bool):
+    def handed(chunk: int, hits: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.full(hits.shape[1], chunk)), pa.array(hits[0].astype(np.int32)), pa.array(hits[1]),
+             pa.array(hits[2])], ["chunk", "ask", "score", "id"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
             for n in range(batch.num_rows):
                 row = batch.slice(n, 1).to_pylist()[0]
                 block = {c[2:]: v for c, v in row.items() if c.startswith("b_")}
-                ask, score, ids = walk(row, block, k, same)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(ask), row["chunk"])), pa.array(ask.astype(np.int32)), pa.array(score),
-                     pa.array(ids)], ["chunk", "ask", "score", "id"])
+                known, floor = held.pop(row["chunk"], (np.zeros((3, 0), np.int64), np.array(row["floor"], np.int64)))
+                hits = walk(row | {"floor": floor}, block, k, same)
+                held[row["chunk"]] = best_of(np.concatenate([known, hits], axis=1), k, floor), floor
+                if len(held) > HELD:
+                    first = next(iter(held))
+                    yield handed(first, held.pop(first)[0])
+        for chunk, (hits, _) in held.items():
+            yield handed(chunk, hits)
     return run
 
 
