@@ -10,6 +10,9 @@ thresholds, the state -> macro-region map, and the calendar name formats.
 # order statuses used by the rules
 STATUS_DELIVERED = "delivered"
 STATUS_CANCELED = "canceled"
+# all statuses of an order, as published
+ORDER_STATUSES = ("delivered", "shipped", "canceled", "unavailable", "invoiced", "processing",
+                  "created", "approved")
 # statuses the supplier SLA leaves out, spelled as published ('cancelled' with
 # two l's, which the data does not use)
 SLA_EXCLUDED_STATUSES = ("cancelled", "unavailable")

@@ -1,14 +1,13 @@
 """CSV ingest: text in the declared raw column order -> typed, gated tables.
 
-Format: comma separated, double-quote enclosure with doubled quotes inside,
-LF rows, one header line, UTF-8 (a leading byte-order mark is dropped).
-Only the tables in ``schemas.MULTI_LINE`` have quoted fields that span lines; their
-files are read by one task each, all others are split. A line with too many or
+Format: comma separated, double-quote enclosure, doubled quotes or a backslash before
+quotes inside, ``\\N`` for NULL, LF rows, one header line, UTF-8 (a leading byte-order mark is
+dropped); see ``records`` for the dialect. Files are split, those of
+the tables in ``schemas.MULTI_LINE`` too, whose quoted fields span lines. A line with too many or
 too few fields is rejected as ``row:malformed``.
 
 Empty fields stay empty strings except in the columns listed in
-``schemas.BLANK_IS_NULL`` (numbers and dates), where they become NULL. A CSV
-field cannot express NULL for the other text columns.
+``schemas.BLANK_IS_NULL`` (numbers and dates), where they become NULL.
 Numbers and dates are parsed with ``try_cast`` into wide types, keeping the
 source text, so the domain gate can tell a blank required value (``:null``)
 from text that does not parse (``:invalid``) and from a number outside the
@@ -25,35 +24,34 @@ and position in the split (``__pos``), which is deterministic on recomputation.
 from __future__ import annotations
 
 from collections.abc import Mapping
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mercadia.functions.expressions import collate_strings, region_lookup
 from mercadia.model import Tables
+from mercadia.operators import quality
 from mercadia.operators.gates import REASON, domain_reasons, fk_tag, pk_gate
-from mercadia.sources import schemas
+from mercadia.sources import buckets, records, schemas
 from mercadia.sources.enrich import enrich_category
+from mercadia.sources.records import POS
 
-POS = "__pos"
 CORRUPT = "__corrupt"  # the whole line, where it has too many or too few fields
 
 
-def read_raw(spark: SparkSession, path: str | list[str], table: str) -> DataFrame:
-    """All-text read in the raw column order, with a deterministic file position."""
+def read_raw(spark: SparkSession, path: str | list[str], table: str, escapes: bool = True) -> DataFrame:
+    """All-text read in the raw column order, with a deterministic file position.
+
+    ``escapes=False``: a backslash is an ordinary character, and no field is NULL.
+    """
     cols = schemas.RAW_COLUMNS[table]
-    schema = T.StructType([T.StructField(c, T.StringType(), True) for c in [*cols, CORRUPT]])
-    df = (spark.read.schema(schema)
-          .option("header", True).option("multiLine", table in schemas.MULTI_LINE)
-          .option("quote", '"').option("escape", '"').option("encoding", "UTF-8")
-          .option("emptyValue", "")
-          .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
-          .csv(path))
-    return df.withColumn(POS, F.struct(F.col("_metadata.file_path").alias("file"),
-                                       F.col("_metadata.file_block_start").alias("split"),
-                                       F.monotonically_increasing_id().alias("row")))
+    read = records.multi_line_records if table in schemas.MULTI_LINE else records.lines
+    rows = read(spark, path, escapes)
+    right = F.coalesce(F.size(records.VALUES) == len(cols), F.lit(False))
+    return rows.select(*[F.get(records.VALUES, F.lit(k)).alias(c) for k, c in enumerate(cols)],
+                       F.when(~right, F.col(records.RECORD)).alias(CORRUPT), POS)
 
 
 RAW = "__raw"  # struct with the source text of every converted column
@@ -86,8 +84,8 @@ def parse(raw: DataFrame, table: str) -> DataFrame:
         if f.name in blank_null:
             c = F.nullif(F.trim(c), F.lit(""))
         elif isinstance(f.dataType, T.StringType):
-            # the CSV reader yields NULL for an empty unquoted field; text stays text
-            c = F.coalesce(c, F.lit(""))
+            # a malformed row has no further reason for the fields it lacks
+            c = F.when(F.col(CORRUPT).isNotNull(), F.coalesce(c, F.lit(""))).otherwise(c)
         if not isinstance(f.dataType, T.StringType):
             c = c.try_cast(_wide(f.dataType))
         out.append(c.alias(f.name))
@@ -146,7 +144,7 @@ def read_table(spark: SparkSession, path, table: str) -> DataFrame:
 
 def read_translation(spark: SparkSession, path) -> DataFrame:
     raw = read_raw(spark, path, "category_translation")
-    return raw.select(*[F.col(f.name).cast(f.dataType).alias(f.name)
+    return raw.select(*[F.nullif(F.col(f.name), F.lit("")).cast(f.dataType).alias(f.name)
                         for f in schemas.CATEGORY_TRANSLATION.fields])
 
 
@@ -154,6 +152,13 @@ def read_translation(spark: SparkSession, path) -> DataFrame:
 class LoadResult:
     tables: Tables
     rejects: dict[str, DataFrame]  # table -> rejected rows with ``reject_reason``
+    layouts: dict[str, dict] = field(default_factory=dict)      # written table -> its buckets
+    observed: dict[str, dict] = field(default_factory=dict)     # written table -> counts taken while it was written
+
+
+#: Written tables that are joined on the order: bucketed by it where it is spread evenly.
+BUCKETED = {"orders": "order_id", "order_items": "order_id", "order_reviews": "order_id"}
+TAGGED = "_tagged"
 
 
 def load_marketplace(spark: SparkSession, paths: Mapping[str, str | list[str]],
@@ -172,9 +177,15 @@ def load_marketplace(spark: SparkSession, paths: Mapping[str, str | list[str]],
     accepted rows and rejects are two readings of one tagged table. With
     ``stage_dir`` (a shared folder) the tagged table is written to
     ``stage_dir/_tagged`` first - each CSV is parsed once - and each accepted
-    table to ``stage_dir``, replacing what was there; children are gated against
-    what was written.
+    table to ``stage_dir``, replacing what was there, bucketed where ``BUCKETED`` says so and
+    the buckets are even; children are gated against
+    what was written. The data-quality counts of an accepted table are observed on its
+    way to the files (see ``quality.observed``).
     """
+    layouts: dict[str, dict] = {}
+    counts: dict[str, dict] = {}
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
     def stage(df: DataFrame, path: str) -> DataFrame:
         if not stage_dir:
             return df
@@ -182,6 +193,20 @@ def load_marketplace(spark: SparkSession, paths: Mapping[str, str | list[str]],
         df.write.mode("overwrite").parquet(path)
         return spark.read.schema(df.schema).parquet(path)
 
+    def stage_accepted(df: DataFrame, tagged: DataFrame, table: str) -> DataFrame:
+        path = f"{stage_dir.rstrip('/')}/{table}"
+        column = BUCKETED.get(table)
+        spread = column and not collation and buckets.even(tagged, column, width)
+        seen = Observation()
+        # observed behind the last shuffle, where a lost executor makes no row count twice
+        df = (buckets.dealt(df, column, width) if spread else df).observe(seen, *quality.observed(table))
+        if spread:
+            layouts[table] = buckets.write(df, path, column, width)
+        else:
+            df.write.mode("overwrite").parquet(path)
+        counts[table] = seen.get
+        return spark.read.schema(df.schema).parquet(path)
+
     def coll(df: DataFrame) -> DataFrame:
         return collate_strings(df, collation) if collation else df
 
@@ -198,7 +223,7 @@ def load_marketplace(spark: SparkSession, paths: Mapping[str, str | list[str]],
             reasons.append(F.col(f"__fk_reason{k}"))
         tagged = tagged.withColumn(REASON, F.coalesce(*reasons)).drop(
             *[c for c in tagged.columns if c.startswith("__fk_reason")])
-        tagged = stage(tagged, f"_tagged/{table}")
+        tagged = stage(tagged, f"{TAGGED}/{table}")
         accepted, dup = pk_gate(tagged.where(F.col(REASON).isNull()).drop(REASON),
                                 schemas.PRIMARY_KEYS[table], [POS], row_id=POS)
         rejects[table] = (tagged.where(F.col(REASON).isNotNull())
@@ -207,7 +232,7 @@ def load_marketplace(spark: SparkSession, paths: Mapping[str, str | list[str]],
             accepted = enrich_category(accepted,
                                        coll(read_translation(spark, translation_path)))
         accepted = accepted.drop(RAW, CORRUPT)
-        gated[table] = stage(accepted.drop(POS), table) if stage_dir else accepted
+        gated[table] = stage_accepted(accepted.drop(POS), tagged, table) if stage_dir else accepted
     out = {k: v.drop(POS) if POS in v.columns else v for k, v in gated.items()}
     return LoadResult(
         tables=Tables(customers=out["customers"], sellers=out["sellers"],
@@ -215,4 +240,4 @@ def load_marketplace(spark: SparkSession, paths: Mapping[str, str | list[str]],
                       items=out["order_items"], payments=out["order_payments"],
                       reviews=out["order_reviews"],
                       region_lookup=coll(region if region is not None else region_lookup(spark))),
-        rejects=rejects)
+        rejects=rejects, layouts=layouts, observed=counts)
