@@ -1,35 +1,45 @@
 """The full refresh as one batch job: ingest, gate, check, build, publish.
 
 1. read the seven CSV sources, gate them parents first and enrich categories;
-   each accepted table is overwritten as Parquet and read back before its
-   children are gated against it (an idempotent reload: running twice leaves
-   the same rows); the rejects are written next to it;
+   each accepted table is written as Parquet, orders, items and reviews bucketed by
+   order, and read back before its children are gated against it; the rejects are written next to it, and
+   the data-quality counts are observed on the way;
 2. read the written base tables back, so every later stage starts from files
    in the shared output folder rather than from the CSV lineage (a lost
-   executor recomputes from Parquet, not from a multi-line CSV parse);
-3. write the data-quality report, the three marts and the star schema.
+   executor recomputes from Parquet, not from a CSV parse);
+3. write the data-quality report, the three marts and the star schema;
+4. publish: all of this went to a folder of its own, and a manifest written last makes it the current
+   version (see ``versions``). Running twice gives the same rows, and a refresh that fails
+   leaves the version before it in place.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
 from mercadia.functions.expressions import region_lookup
 from mercadia.model import Tables
-from mercadia.operators.quality import quality_report, row_counts, status_distribution
+from mercadia.operators.quality import observed_reports
 from mercadia.plans.financial import financial_health
 from mercadia.plans.logistics import logistics_regional
 from mercadia.plans.star import build_star
 from mercadia.plans.supplier import supplier_performance
 from mercadia.plans.thresholds import FinancialTiers, LogisticsTiers, SupplierTiers
-from mercadia.sources import csv_ingest, publish
+from mercadia.sources import buckets, csv_ingest, publish, versions
 
 
 def read_tables(spark: SparkSession, base_dir: str, region: DataFrame | None = None) -> Tables:
-    def rd(name: str) -> DataFrame:
-        return spark.read.parquet(f"{base_dir.rstrip('/')}/{name}")
+    """The base tables of the version published in ``base_dir`` (a refresh's output folder, or its
+    ``base``), or of a plain folder with a Parquet folder for each."""
+    published = versions.of_group(spark, base_dir, "base")
+    if published is None:
+        return _tables(lambda name: spark.read.parquet(f"{base_dir.rstrip('/')}/{name}"), spark, region)
+    return _tables(lambda name: published.read(spark, f"base/{name}"), spark, region)
+
+
+def _tables(rd: Callable[[str], DataFrame], spark: SparkSession, region: DataFrame | None) -> Tables:
     return Tables(customers=rd("customers"), sellers=rd("sellers"), products=rd("products"),
                   orders=rd("orders"), items=rd("order_items"), payments=rd("order_payments"),
                   reviews=rd("order_reviews"),
@@ -41,20 +51,26 @@ def refresh(spark: SparkSession, csv_paths: Mapping[str, str | list[str]], trans
             logistics_tiers: LogisticsTiers = LogisticsTiers(),
             financial_tiers: FinancialTiers = FinancialTiers(),
             collation: str | None = None) -> dict[str, str]:
-    """Run the whole refresh; returns the written paths by name.
+    """Run the whole refresh; returns the paths of the published version by name.
 
     ``collation`` is passed to the load (see ``csv_ingest.load_marketplace``).
     """
-    out = out_dir.rstrip("/")
+    version = versions.Version(spark, out_dir)
+    out = version.folder
     # each gated table is written to base/ and read back before its children
     loaded = csv_ingest.load_marketplace(spark, csv_paths, translation_path,
                                          collation=collation, stage_dir=f"{out}/base")
     paths = {f"base/{k}": f"{out}/base/{k}" for k in loaded.tables.as_dict()}
     paths.update({f"rejects/{k}": v for k, v in
                   publish.write_tables(loaded.rejects, f"{out}/rejects").items()})
-    t = read_tables(spark, f"{out}/base", loaded.tables.region_lookup)
-    checks = {"row_counts": row_counts(t), "quality_report": quality_report(t),
-              "status_distribution": status_distribution(t.orders)}
+    versions.remove(spark, f"{out}/base/{csv_ingest.TAGGED}")
+
+    def base(name: str) -> DataFrame:
+        path, layout = paths[f"base/{name}"], loaded.layouts.get(name)
+        return buckets.read(spark, path, layout) if layout else spark.read.parquet(path)
+
+    t = _tables(base, spark, loaded.tables.region_lookup)
+    checks = observed_reports(spark, loaded.observed, lambda: t.orders, bool(collation))
     paths.update({f"quality/{k}": v for k, v in
                   publish.write_tables(checks, f"{out}/quality").items()})
     supplier = supplier_performance(t, supplier_tiers)
@@ -66,7 +82,7 @@ def refresh(spark: SparkSession, csv_paths: Mapping[str, str | list[str]], trans
     star = build_star(t, tiers=supplier_tiers,
                       supplier=spark.read.parquet(paths["marts/supplier_performance"]))
     paths.update({f"star/{k}": v for k, v in publish.publish_star(star, f"{out}/star").items()})
-    return paths
+    return version.publish(paths, {f"base/{k}": v for k, v in loaded.layouts.items()}).paths()
 
 
 def main(argv: list[str] | None = None) -> dict[str, str]:

@@ -1,8 +1,8 @@
 """Sinks: named views for SQL users and Parquet hand-off of tables and star.
 
 Writes use ``overwrite`` so a reload is idempotent (running it twice leaves
-the same rows). ``fact_orders`` is partitioned by purchase year so readers that
-slice by year prune whole folders; the calendar and geography dimensions are
+the same rows). The facts are partitioned by year and month of their date, so readers that
+slice by any attribute of the calendar prune whole folders; the calendar and geography dimensions are
 bounded, so they are written as a single file each; every other output keeps
 the parallelism of its plan.
 """
@@ -14,6 +14,10 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mercadia.functions.expressions import YEAR_MONTH, year_month
+
+#: Facts, and the key that spreads a month's rows.
+FACTS = {"fact_orders": "order_id", "fact_reviews": "review_id"}
 BOUNDED_DIMENSIONS = ("dim_date", "dim_geography")
 
 
@@ -64,12 +68,13 @@ def publish_star(star, out_dir: str) -> dict[str, str]:
         if name in BOUNDED_DIMENSIONS:
             w = df.coalesce(1)
         writer = w.write.mode("overwrite")
-        if name == "fact_orders":
-            # a year's rows go to a few tasks, more of them the wider the session is
-            spread = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 16)
+        if name in FACTS:
+            # a month's rows go to a few tasks, more of them the wider the session is
+            spread = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 64)
             w = (df.withColumn("year", (F.col("date_key") / 10000).cast("int"))
-                 .repartition("year", F.pmod(F.xxhash64("order_id"), F.lit(spread))))
-            writer = w.write.mode("overwrite").partitionBy("year")
+                 .withColumn(YEAR_MONTH, year_month("date_key"))
+                 .repartition(YEAR_MONTH, F.pmod(F.xxhash64(FACTS[name]), F.lit(spread))))
+            writer = w.write.mode("overwrite").partitionBy("year", YEAR_MONTH)
         writer.parquet(path)
         paths[name] = path
     return paths

@@ -156,7 +156,10 @@ def test_refresh_job(spark, scratch):
     out = os.path.join(scratch, "out")
     written = jobs.refresh(spark, paths, tr, out)
     again = jobs.refresh(spark, paths, tr, out)   # idempotent reload
-    assert written == again
+    assert written.keys() == again.keys()
+    for name in written:
+        one, two = (spark.read.parquet(p[name]) for p in (written, again))
+        assert one.schema == two.schema and one.exceptAll(two).isEmpty() and two.exceptAll(one).isEmpty(), name
     assert spark.read.parquet(written["base/order_items"]).count() == 1
     assert spark.read.parquet(written["rejects/order_items"]).count() == 3
     assert spark.read.parquet(written["marts/supplier_performance"]).count() == 1
