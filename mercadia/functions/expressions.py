@@ -73,6 +73,15 @@ def date_key(ts) -> Column:
     return F.year(c) * 10000 + F.month(c) * 100 + F.dayofmonth(c)
 
 
+#: Partition column of a published fact: year and month of its date key.
+YEAR_MONTH = "year_month"
+
+
+def year_month(key) -> Column:
+    """YYYYMM of a YYYYMMDD key."""
+    return F.floor(col_(key) / 100).cast("int")
+
+
 # --- exact arithmetic -------------------------------------------------------
 # A published ratio is rounded once, half away from zero, straight from the exact
 # quotient: round(n / d, k) = (2 n 10^k + d) div (2 d) / 10^k, all in DECIMAL.

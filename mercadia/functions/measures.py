@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mercadia.fixed import GOLD_PARTNER, OPERATIONAL_RISK
-from mercadia.functions.expressions import quotient, with_region, with_scalars
+from mercadia.functions.expressions import YEAR_MONTH, quotient, with_region, with_scalars, year_month
 
 if TYPE_CHECKING:
     from mercadia.plans.star import Star
@@ -117,8 +117,9 @@ def _filter(df: DataFrame, where: Mapping[str, object]) -> DataFrame:
 
 def _restrict(star: Star, rows: DataFrame, fact: str, where: Mapping[str, object]) -> DataFrame:
     """Fact rows in the filter context: each dimension is filtered first and the fact
-    semi-joined with its keys; a year filter also prunes a fact partitioned by year,
-    and a filter on a key column is applied to the fact itself."""
+    semi-joined with its keys. A filter on a key column, and on the year of a fact partitioned by year,
+    is applied to the fact itself; any other filter of the calendar reaches the
+    months of a fact partitioned by month through the join (dynamic partition pruning)."""
     by_dim: dict[str, dict[str, object]] = {}
     for a, v in where.items():
         dim, column = ATTRIBUTES[a].dim, ATTRIBUTES[a].column
@@ -133,7 +134,11 @@ def _restrict(star: Star, rows: DataFrame, fact: str, where: Mapping[str, object
         d = _dimension(star, dim, any(ATTRIBUTES[a].column == "region" for a in wanted))
         for a, v in wanted.items():
             d = d.where(F.col(ATTRIBUTES[a].column).isin(*_values(v)))
-        rows = rows.join(d.select(F.col(key).alias("__wk")), F.col(key) == F.col("__wk"), "left_semi")
+        on, wanted_keys = F.col(key) == F.col("__wk"), [F.col(key).alias("__wk")]
+        if dim == "date" and YEAR_MONTH in rows.columns:
+            on &= F.col(YEAR_MONTH) == F.col("__wm")
+            wanted_keys.append(year_month(key).alias("__wm"))
+        rows = rows.join(d.select(*wanted_keys), on, "left_semi")
     return rows
 
 
@@ -258,12 +263,15 @@ def measures(star: Star, names: Sequence[str], by: Sequence[str] = (),
 
 
 def _slices(star: Star, by: Sequence[str], where: Mapping[str, object]) -> DataFrame:
-    """The values of ``by`` that their one dimension has."""
-    dims = {ATTRIBUTES[b].dim for b in by}
+    """The values of ``by``: those of their dimension or, of several, those that occur together in
+    the orders; only filters of these dimensions apply."""
+    dims = list(dict.fromkeys(ATTRIBUTES[b].dim for b in by))
+    near = {a: v for a, v in where.items() if ATTRIBUTES[a].dim in dims}
     if len(dims) > 1:
-        raise ValueError("seller counts alone can be sliced by one other dimension only")
-    dim = dims.pop()
-    names = list(dict.fromkeys([*by, *[a for a in where if ATTRIBUTES[a].dim == dim]]))
-    d = _dimension(star, dim, any(ATTRIBUTES[a].column == "region" for a in names))
+        keys = [FACT_KEYS["orders"][d][0] for d in dims]
+        met = _restrict(star, star.fact_orders, "orders", near).select(*keys).distinct()
+        return _attach(star, met, "orders", by).select(*by).distinct()
+    names = list(dict.fromkeys([*by, *near]))
+    d = _dimension(star, dims[0], any(ATTRIBUTES[a].column == "region" for a in names))
     d = d.select(*[F.col(ATTRIBUTES[a].column).alias(a) for a in names])
-    return _filter(d, {a: v for a, v in where.items() if a in names}).select(*by).distinct()
+    return _filter(d, near).select(*by).distinct()

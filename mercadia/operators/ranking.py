@@ -144,6 +144,37 @@ def join_ranks(df: DataFrame, table: DataFrame, on: Sequence[str]) -> DataFrame:
     return df.join(t, cond, "inner").drop(*[f"__j{i}" for i in range(len(on))])
 
 
+def dense_ranks_by_lead(df: DataFrame, lead: str, then: str, within: str, out: str, out_within: str) -> DataFrame:
+    """Dense ranks by ``lead`` and ``then``, both descending, over all rows (``out``) and inside each
+    value of ``within`` (``out_within``): one row for each distinct ``(within, lead, then)``.
+
+    For a ``lead`` whose number of values the domain bounds (a mean score of so many digits). A
+    key's rank is the number of keys with a higher lead, plus its rank among those of its own lead.
+    Both ranks inside a lead come from one shuffle of the distinct keys by lead; the running
+    totals are taken over leads, a bounded list. Nothing is range-partitioned, collected or written.
+    """
+    keys = df.select(within, lead, then).distinct()
+    falls = F.col(then).desc_nulls_last()
+    keys = (keys.withColumn("__all", F.dense_rank().over(Window.partitionBy(lead).orderBy(falls)))
+            .withColumn("__in", F.dense_rank().over(Window.partitionBy(lead, within).orderBy(falls))))
+
+    def before(counted: str, groups: list[str], name: str) -> DataFrame:
+        upto = (Window.partitionBy(*groups).orderBy(F.col(lead).desc_nulls_last())
+                .rowsBetween(Window.unboundedPreceding, -1))
+        totals = keys.groupBy(*groups, lead).agg(F.max(counted).alias("__n"))
+        return totals.select(*[F.col(g).alias(f"__g{k}") for k, g in enumerate(groups)], F.col(lead).alias("__lead"),
+                             F.coalesce(F.sum("__n").over(upto), F.lit(0)).alias(name))
+
+    def joined(rows: DataFrame, totals: DataFrame, groups: list[str]) -> DataFrame:
+        on = [F.col(lead).eqNullSafe(F.col("__lead"))] + [
+            F.col(g).eqNullSafe(F.col(f"__g{k}")) for k, g in enumerate(groups)]
+        return rows.join(totals, on).drop("__lead", *[f"__g{k}" for k in range(len(groups))])
+
+    ranked = joined(joined(keys, before("__all", [], "__all0"), []), before("__in", [within], "__in0"), [within])
+    return ranked.select(within, lead, then, (F.col("__all") + F.col("__all0")).cast("bigint").alias(out),
+                         (F.col("__in") + F.col("__in0")).cast("bigint").alias(out_within))
+
+
 def range_rank(df: DataFrame, order: OrderSpec, method: str, out: str,
                partition_by: Sequence[str] = (), unique: bool = False,
                ranges: int | None = None) -> DataFrame:

@@ -199,12 +199,15 @@ class Star:
 
 
 class PublishedStar(Star):
-    """The star that ``publish.publish_star`` wrote to a folder; ``fact_orders`` is
-    partitioned by ``year``."""
+    """The star that ``publish.publish_star`` wrote to a folder, or the one of a refresh's current
+    version; the facts are partitioned by ``year`` and ``year_month``."""
 
     def __init__(self, spark: SparkSession, folder: str):
+        from mercadia.sources import versions
+        published = versions.of_group(spark, folder, "star")
         for n in self.NAMES:
-            self.__dict__[n] = spark.read.parquet(f"{folder.rstrip('/')}/{n}")
+            self.__dict__[n] = (published.read(spark, f"star/{n}") if published
+                                else spark.read.parquet(f"{folder.rstrip('/')}/{n}"))
 
     @property
     def region_lookup(self) -> DataFrame:

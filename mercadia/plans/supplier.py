@@ -13,9 +13,10 @@ Plan shape. Revenue, SLA and reviews all derive from one shared
   order's reviews), computed as ``sum(k*s) / sum(k*c)`` instead of
   materialising the item x review fan-out.
 
-Sellers grow with the data, so the global ranks use range partitioning.
+Sellers grow with the data, so the revenue quartile uses range partitioning; the quality
+ranks need only distinct scores and rates, whose number the domain bounds.
 The seller-level metrics are checkpointed once (to the shared
-``spark.checkpoint.dir``) because three ranks and two benchmarks read them.
+``spark.checkpoint.dir``) because the ranks and two benchmarks read them.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from mercadia.fixed import SLA_EXCLUDED_STATUSES
 from mercadia.functions.expressions import on_time_flag, ratio
 from mercadia.model import Tables
-from mercadia.operators.ranking import join_ranks, rank_table, with_overall_means
+from mercadia.operators.ranking import dense_ranks_by_lead, join_ranks, rank_table, with_overall_means
 from mercadia.plans.thresholds import SupplierTiers
 from mercadia.session import materialized
 
@@ -160,21 +161,19 @@ def supplier_performance(t: Tables, tiers: SupplierTiers = SupplierTiers(),
 
     Adds the global quality rank (dense, score then SLA, both descending), the
     same rank inside the seller's state, the revenue quartile, the company
-    benchmarks and the segment. The seller rows, which every rank reads, are
-    written to the shared folder first; ``ranges`` overrides the ranks' width.
+    benchmarks and the segment. Both quality ranks come from one table of distinct keys. The
+    seller rows, which every rank reads, are written to the shared folder first, and
+    then range-partitioned for the quartile; ``ranges`` overrides its width.
     """
     sm = materialized(ranked_sellers(t, excluded), "sellers")
     base = sm
-    quality = [("avg_review_score", False), ("on_time_rate", False)]
-    # each rank is computed from the materialized metrics alone, then joined once
-    overall = rank_table(sm, quality, "dense_rank", "quality_rank", ranges=ranges)
-    in_state = rank_table(sm, quality, "dense_rank", "quality_rank_in_state",
-                          partition_by=["seller_state"], ranges=ranges)
+    # a score has four digits, and so a bounded number of values
+    ranks = dense_ranks_by_lead(sm, "avg_review_score", "on_time_rate", "seller_state",
+                                "quality_rank", "quality_rank_in_state")
     # NTILE ties are arbitrary in SQL; seller_id makes them deterministic
     sm = rank_table(sm, [("total_revenue", False), ("seller_id", True)], "ntile:4",
                     "revenue_quartile", unique=True, ranges=ranges)
-    keys = ["avg_review_score", "on_time_rate"]
-    sm = join_ranks(join_ranks(sm, overall, keys), in_state, ["seller_state"] + keys)
+    sm = join_ranks(sm, ranks, ["seller_state", "avg_review_score", "on_time_rate"])
     # the rank joins keep every seller row, so the benchmarks come from the base
     sm = with_overall_means(sm, {"company_avg_review_score": ("avg_review_score", 2),
                                  "company_avg_on_time_rate": ("on_time_rate", 4)},
