@@ -12,11 +12,15 @@ adds, beside its entry's log-probability, that of the word within the entry: its
 count among the counts of all words of the entry and one unseen word. Tasks know the
 ``LISTED`` most frequent of these words; the others are joined with the counts by
 64-bit hash. Training is
-numpy inside Spark tasks: in every round each task starts from the same weights
-and takes gradient steps on masked positions of its own documents, one of ``MASK``
-masks after the other, and the tasks' weights are averaged by the number of positions
-they saw. The ``ROUNDS`` share the masks, so every position is a target once. What is counted, shuffled and averaged grows with the input;
-only the most frequent words and one set of weights, both of fixed size, reach the driver.
+numpy inside Spark tasks: the first weights give every word its frequency; documents are dealt
+over shards by hashes of their ids and words; in every round each shard starts from the same weights
+and takes gradient steps on masked positions of its documents, one of ``MASK``
+masks after the other, and the shards' weights are averaged, each embedding and each group's members
+by the positions that used them, so that a word which few shards have moves as far as any other. The ``ROUNDS``
+share the masks, so every position is a target once. Number and content of the shards come from
+the documents alone: files, tasks and executors do not change the scores. What is counted,
+shuffled and averaged grows with the input; only the most frequent words and one set of weights,
+both of fixed size, reach the driver.
 
 Defined cases: a null text counts as empty; an empty text has no token, score 0.0
 and a null mean; with an empty vocabulary all words are in the first group; rows
@@ -26,7 +30,9 @@ are read.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
+from dataclasses import dataclass
 from itertools import repeat
 
 import numpy as np
@@ -45,12 +51,15 @@ SIDE = 2
 OFFSETS = [k for k in range(-SIDE, SIDE + 1) if k]
 ROUNDS, MASK = 2, 8
 #: Words beyond the vocabulary whose counts every task holds.
-LISTED = 1 << 16
+LISTED = 1 << 18
 #: Joined log-probabilities are added as whole numbers, in any order.
 UNIT = 1e9
-BATCH, RATE = 8192, 0.15
+BATCH, RATE, START = 6144, 0.15, 1e-6
+SCORED = 1 << 13
+#: Tokens of a shard.
+SHARD = 1 << 22
 FLUSH_WORDS = 400_000
-CACHE_WORDS = 400_000
+CACHE_WORDS = 600_000
 #: Weight sets averaged in one task at a time, in pieces of PIECE numbers.
 FAN_IN, PIECE = 256, 8192
 
@@ -95,16 +104,24 @@ def frequent(counts: DataFrame, size: int) -> list[tuple[bytes, int]]:
     return [(bytes(r.word), r.n) for r in top.collect()]
 
 
+def entries(words: list[bytes]) -> np.ndarray:
+    """The entry of the first group that each word outside the vocabulary shares."""
+    letters = np.frombuffer(b"\0" + b"".join(words), np.uint8).astype(np.int32)
+    sizes = np.fromiter(map(len, words), np.int32, len(words))
+    last = np.cumsum(sizes)         # a byte stands before the first word
+    before = np.where(sizes > 1, letters[last - 1], 0)
+    return (letters[last] * 31 + before * 7 + np.minimum(sizes, 12)) % GROUP
+
+
 def entry(word: bytes) -> int:
-    """The entry of the first group that a word outside the vocabulary shares."""
-    return (word[-1] * 31 + (word[-2] if len(word) > 1 else 0) * 7 + min(len(word), 12)) % GROUP
+    return int(entries([word])[0])
 
 
-def word_hash(word: bytes) -> int:
-    """A 64-bit hash, signed, whose last bits are the word's entry."""
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """64-bit hashes, signed, whose last bits are the words' entries."""
     from xxhash import xxh3_64_intdigest
-    h = xxh3_64_intdigest(word) // GROUP * GROUP + entry(word)
-    return h - (1 << 64) if h >> 63 else h
+    h = np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words))
+    return (h // np.uint64(GROUP) * np.uint64(GROUP) + entries(words).astype(np.uint64)).view(np.int64)
 
 
 def other_words(counts: DataFrame, vocab: list[bytes]) -> DataFrame:
@@ -114,7 +131,7 @@ def other_words(counts: DataFrame, vocab: list[bytes]) -> DataFrame:
         for batch in batches:
             words, n = (c.to_pylist() for c in batch.columns)
             keep = [k for k, w in enumerate(words) if w not in inside]
-            yield pa.RecordBatch.from_arrays([pa.array([word_hash(words[k]) for k in keep], pa.int64()),
+            yield pa.RecordBatch.from_arrays([pa.array(word_hashes([words[k] for k in keep])),
                                               pa.array([n[k] for k in keep], pa.int64())], names=["hash", "n"])
 
     return counts.select("word", "n").mapInArrow(run, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
@@ -135,7 +152,7 @@ class Ids:
     def __init__(self, top: list[tuple[bytes, int]], totals: np.ndarray):
         size = WORDS - GROUP
         self.fixed = {w: k for k, (w, _) in enumerate(top)}
-        others = np.array([entry(w) for w, _ in top[size:]], np.int64)
+        others = entries([w for w, _ in top[size:]])
         n = np.array([n for _, n in top[size:]], float)
         self.start = (np.concatenate([GROUP + np.arange(min(size, len(top))), others]).astype(np.int32),
                       np.concatenate([np.zeros(min(size, len(top))), np.log(n) - np.log(totals[others])]),
@@ -154,9 +171,9 @@ class Ids:
         if len(missing):
             new = list(dict.fromkeys([words[k] for k in missing.tolist()]))
             self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
-            self.ids = np.concatenate([self.ids, np.array([entry(w) for w in new], np.int32)])
+            self.ids = np.concatenate([self.ids, entries(new)])
             self.inner = np.concatenate([self.inner, np.zeros(len(new))])
-            self.hash = np.concatenate([self.hash, np.array([word_hash(w) for w in new], np.int64)])
+            self.hash = np.concatenate([self.hash, word_hashes(new)])
             at[missing] = np.fromiter((self.known[words[k]] for k in missing.tolist()), np.int64, len(missing))
         return self.ids[at], self.inner[at], self.hash[at]
 
@@ -222,13 +239,20 @@ class Network:
             at += size
 
     @classmethod
-    def start(cls) -> np.ndarray:
+    def start(cls, n: np.ndarray | None = None) -> np.ndarray:
+        """First weights; with the counts ``n`` of all ids they give every id its frequency."""
         rng = np.random.default_rng(7)
+        n = np.ones(WORDS) if n is None else np.maximum(n, 1.0)
+        groups = n.reshape(GROUP, GROUP)
         parts = []
         for name, shape in cls.SHAPES.items():
             if name == "place":
                 parts.append(np.ones(shape))
-            elif name.endswith("bias"):
+            elif name == "group_bias":
+                parts.append(np.log(groups.sum(axis=1) / n.sum()))
+            elif name == "member_bias":
+                parts.append(np.log(groups / groups.sum(axis=1, keepdims=True)))
+            elif name == "bias":
                 parts.append(np.zeros(shape))
             else:
                 parts.append(rng.normal(0, 0.1, shape))
@@ -238,88 +262,134 @@ class Network:
         return np.concatenate([self.w[n].ravel() for n in self.SHAPES])
 
     def hidden(self, near: np.ndarray) -> np.ndarray:
-        total = self.w["bias"] + np.zeros((len(near), WIDTH), np.float32)
-        for k in range(len(OFFSETS)):
-            total += self.w["embed"][near[:, k]] * self.w["place"][k]
-        return np.tanh(total)
+        """Rows of the window's sum behind tanh; ``tables`` holds one product table per offset."""
+        total = self.tables[0][near[0]]
+        for k in range(1, len(OFFSETS)):
+            total += self.tables[k][near[k]]
+        return np.tanh(total, out=total)
+
+    def fix(self) -> Network:
+        """Prepares :meth:`log_chance`; the weights must not change afterwards."""
+        self.tables = [self.w["embed"] * p for p in self.w["place"]]
+        self.tables[0] = self.tables[0] + self.w["bias"]
+        return self
+
+    def two_steps(self, h: np.ndarray, cuts: np.ndarray, present: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Logits of the group, and of the word in its group, for rows sorted by group."""
+        outer = h @ self.w["group"]
+        outer += self.w["group_bias"]
+        inner = np.empty((len(h), GROUP), np.float32)
+        for g, a, b in zip(present.tolist(), cuts[:-1].tolist(), cuts[1:].tolist()):
+            np.matmul(h[a:b], self.w["member"][g], out=inner[a:b])
+            inner[a:b] += self.w["member_bias"][g]
+        return outer, inner
 
     def log_chance(self, near: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """Log-probability of each target between its neighbours."""
-        h = self.hidden(near)
-        group, member = target // GROUP, target % GROUP
-        out = picked(h @ self.w["group"] + self.w["group_bias"], group)[0]
-        for g, rows in by_group(group):
-            out[rows] += picked(h[rows] @ self.w["member"][g] + self.w["member_bias"][g], member[rows])[0]
+        """Log-probability of each target between its neighbours (a row of ``near`` each offset)."""
+        order, group, member, cuts, present = by_group(target)
+        found = np.zeros(len(target))
+        for logits, at in zip(self.two_steps(self.hidden(near[:, order]), cuts, present), (group, member)):
+            found += lowered(logits)[np.arange(len(at)), at]
+            found -= np.log(exponentials(logits))
+        out = np.empty_like(found)
+        out[order] = found
         return out
 
     def gradient(self, near: np.ndarray, target: np.ndarray) -> dict:
-        """Gradient of the mean negative log-probability; ``embed`` as (rows, values)."""
+        """Gradient of the mean negative log-probability."""
         scale = np.float32(1 / len(target))
-        h = self.hidden(near)
-        group, member = target // GROUP, target % GROUP
-        out = {n: np.zeros(self.SHAPES[n], np.float32) for n in ("member", "member_bias", "place")}
-        p = picked(h @ self.w["group"] + self.w["group_bias"], group)[1]
-        p[np.arange(len(p)), group] -= 1
-        p *= scale
-        out["group"], out["group_bias"] = h.T @ p, p.sum(axis=0)
+        order, group, member, cuts, present = by_group(target)
+        near = near[:, order]
+        parts = [self.w["embed"][ids] for ids in near]
+        h = parts[0] * self.w["place"][0]
+        for part, place in zip(parts[1:], self.w["place"][1:]):
+            h += part * place
+        h += self.w["bias"]
+        np.tanh(h, out=h)
+        row = np.arange(len(h))
+        p, q = self.two_steps(h, cuts, present)
+        for chance, at in ((p, group), (q, member)):
+            chance *= (scale / exponentials(lowered(chance)))[:, None]
+            chance[row, at] -= scale
+        out = {n: np.zeros(self.SHAPES[n], np.float32) for n in ("member", "member_bias", "place", "embed")}
+        ones = np.ones(len(h), np.float32)
+        out["group"], out["group_bias"] = h.T @ p, ones @ p
         dh = p @ self.w["group"].T
-        for g, rows in by_group(group):
-            q = picked(h[rows] @ self.w["member"][g] + self.w["member_bias"][g], member[rows])[1]
-            q[np.arange(len(rows)), member[rows]] -= 1
-            q *= scale
-            out["member"][g], out["member_bias"][g] = h[rows].T @ q, q.sum(axis=0)
-            dh[rows] += q @ self.w["member"][g].T
+        for g, a, b in zip(present.tolist(), cuts[:-1].tolist(), cuts[1:].tolist()):
+            out["member"][g], out["member_bias"][g] = h[a:b].T @ q[a:b], ones[:b - a] @ q[a:b]
+            dh[a:b] += q[a:b] @ self.w["member"][g].T
         dh *= 1 - h * h
-        out["bias"] = dh.sum(axis=0)
-        pieces = []
-        for k in range(len(OFFSETS)):
-            out["place"][k] = (dh * self.w["embed"][near[:, k]]).sum(axis=0)
-            pieces.append(dh * self.w["place"][k])
-        ids = near.T.ravel()
-        order = np.argsort(ids, kind="stable")
-        first = np.flatnonzero(np.append(True, np.diff(ids[order]) != 0))
-        out["embed"] = (ids[order][first], np.add.reduceat(np.concatenate(pieces)[order], first, axis=0))
+        out["bias"] = ones @ dh
+        back = np.ascontiguousarray(dh.T, np.float64)
+        pieces = np.empty((WIDTH, near.size))
+        for k, part in enumerate(parts):
+            out["place"][k] = np.einsum("ij,ij->j", dh, part)
+            np.multiply(back, self.w["place"][k][:, None], out=pieces[:, k * len(dh):(k + 1) * len(dh)])
+        ids = near.ravel().astype(np.int64)
+        for c in range(WIDTH):
+            out["embed"][:, c] = np.bincount(ids, pieces[c], WORDS + 1)
         return out
 
 
-def picked(logits: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Log-softmax at the given columns, and the softmax."""
-    logits -= logits.max(axis=1, keepdims=True)
-    e = np.exp(logits)
-    total = e.sum(axis=1, keepdims=True)
-    return logits[np.arange(len(at)), at] - np.log(total[:, 0]), e / total
+ONES = np.ones(GROUP, np.float32)
 
 
-def by_group(group: np.ndarray):
-    order = np.argsort(group, kind="stable")
-    ids, first = np.unique(group[order], return_index=True)
-    for g, rows in zip(ids.tolist(), np.split(order, first[1:])):
-        yield g, rows
+def lowered(logits: np.ndarray) -> np.ndarray:
+    """The rows, less their largest value where an exponential could leave the range of floats."""
+    if logits.size and max(logits.max(), -logits.min()) > 60:
+        logits -= logits.max(axis=1, keepdims=True)
+    return logits
 
 
-def neighbours(flat: np.ndarray, counts: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Ids around the places ``at``; PAD beyond a document's ends."""
-    doc = np.repeat(np.arange(len(counts)), counts)
-    out = np.full((len(at), len(OFFSETS)), PAD, np.int64)
-    for k, o in enumerate(OFFSETS):
-        to = at + o
-        inside = (to >= 0) & (to < len(flat))
-        inside[inside] = doc[to[inside]] == doc[at[inside]]
-        out[inside, k] = flat[to[inside]]
-    return out
+def exponentials(logits: np.ndarray) -> np.ndarray:
+    """Exponentiates the rows in place and gives their sums."""
+    return np.exp(logits, out=logits) @ ONES
+
+
+def by_group(target: np.ndarray):
+    """Order of the targets by group; group and member in that order; where groups begin and end; groups."""
+    group = (target // GROUP).astype(np.uint8)
+    order = np.argsort(group, kind="stable")        # few bits: a radix sort
+    group = group[order]
+    first = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+    return order, group, target[order] % GROUP, np.append(first, len(group)), group[first]
+
+
+def padded(flat: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids with PAD around each document, and where each id then stands."""
+    out = np.full(len(flat) + SIDE * (len(counts) + 1), PAD, np.uint16)
+    at = np.arange(len(flat)) + SIDE * (1 + np.repeat(np.arange(len(counts)), counts))
+    out[at] = flat
+    return out, at
+
+
+def neighbours(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Ids around the places ``at`` of :func:`padded`, a row each offset."""
+    return np.stack([ids[at + o] for o in OFFSETS])
 
 
 def batch_ids(column) -> tuple[np.ndarray, np.ndarray]:
     data = column.to_pylist()
-    return (np.frombuffer(b"".join(data), "<u2").astype(np.int64),
+    return (np.frombuffer(b"".join(data), "<u2"),
             np.fromiter((len(d) // 2 for d in data), np.int64, len(data)))
 
 
-def train(ids: DataFrame) -> np.ndarray:
-    weights = Network.start()
+def shard_count(tokens: int) -> int:
+    """Shards to train on: one per ``SHARD`` tokens at first, then growing as the square root, so
+    that neither a shard's work nor the weights sent for all shards run away with the input."""
+    m = -(-tokens // SHARD)
+    return max(1, math.isqrt(m * min(m, 1024)))
+
+
+def train(ids: DataFrame, weights: np.ndarray) -> np.ndarray:
+    """Rounds over shards of the documents. A document's shard and place in it come from hashes
+    of its id and words, not from files or tasks, so the layout does not change the result."""
+    shards = shard_count((ids.agg(F.sum(F.length("ids"))).first()[0] or 0) // 2)
+    own = F.xxhash64(F.col("doc_id"), F.col("ids"))
+    dealt = (ids.select(F.pmod(own, F.lit(shards)).cast("int").alias("shard"), own.alias("own"), "ids")
+             .repartitionById(shards, F.col("shard")).sortWithinPartitions("own", "ids").select("ids"))
     for turn in range(ROUNDS):
-        weights = average(ids.select("ids").mapInArrow(steps(weights, turn), "part long, piece int, seen long, w binary"),
-                          len(weights), ids.rdd.getNumPartitions(), weights)
+        weights = average(dealt.mapInArrow(steps(weights, turn), "part long, piece int, w binary"), shards, weights)
     return weights
 
 
@@ -331,76 +401,89 @@ def mask_of(counts: np.ndarray) -> np.ndarray:
 
 
 def steps(weights: np.ndarray, turn: int):
-    """A task's gradient steps (Adagrad) over the masked positions of its documents."""
+    """A shard's gradient steps (Adagrad) over the masked positions of its documents.
+
+    Gives the weights times their uses, and the uses, in pieces: an embedding is used by every
+    position beside it, a group's members by every target in it, the rest by all targets.
+    """
     def run(batches):
         from pyspark import TaskContext
-        net, seen = Network(weights), 0
-        grown = {n: np.full(s, 1e-6, np.float32) for n, s in Network.SHAPES.items()}
+        net, used = Network(weights), np.zeros(UNITS)
+        grown = {n: np.full(s, START, np.float32) for n, s in Network.SHAPES.items()}
         for batch in batches:
             for part in slices(batch, 0):
                 flat, counts = batch_ids(part.column(0))
+                ids, at = padded(flat, counts)
                 place = mask_of(counts)
                 for mask in range(turn, MASK, ROUNDS):
                     masked = np.flatnonzero(place == mask)
-                    near = neighbours(flat, counts, masked)
+                    near, targets = neighbours(ids, at[masked]), flat[masked]
+                    used += uses(near, targets)
                     for a in range(0, len(masked), BATCH):
-                        target = flat[masked[a:a + BATCH]]
-                        for name, g in net.gradient(near[a:a + BATCH], target).items():
-                            if name == "embed":
-                                rows, g = g
-                                grown[name][rows] += g * g
-                                net.w[name][rows] -= RATE * g / np.sqrt(grown[name][rows])
-                            else:
-                                grown[name] += g * g
-                                net.w[name] -= RATE * g / np.sqrt(grown[name])
-                    seen += len(masked)
-        if seen:
-            flat_w, part_no = net.flat(), TaskContext.get().partitionId()
-            cuts = range(0, len(flat_w), PIECE)
+                        for name, g in net.gradient(near[:, a:a + BATCH], targets[a:a + BATCH]).items():
+                            grown[name] += g * g
+                            net.w[name] -= RATE * g / np.sqrt(grown[name])
+        if used[-1]:
+            all_w = np.concatenate([net.flat().astype(np.float64) * spread(used), used])
+            cuts = range(0, len(all_w), PIECE)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([part_no] * len(cuts), pa.int64()), pa.array(range(len(cuts)), pa.int32()),
-                 pa.array([seen] * len(cuts), pa.int64()),
-                 pa.array([(flat_w[a:a + PIECE].astype(np.float64) * seen).tobytes() for a in cuts])],
-                names=["part", "piece", "seen", "w"])
+                [pa.array([TaskContext.get().partitionId()] * len(cuts), pa.int64()), pa.array(range(len(cuts)), pa.int32()),
+                 pa.array([all_w[a:a + PIECE].tobytes() for a in cuts])], names=["part", "piece", "w"])
 
     return run
 
 
-def average(sums: DataFrame, size: int, parts: int, old: np.ndarray) -> np.ndarray:
-    """Weighted mean of the tasks' weights, added up ``FAN_IN`` at a time."""
+#: Parts of the weights that are averaged by uses of their own: embeddings, groups, the rest.
+UNITS = WORDS + 1 + GROUP + 1
+
+
+def uses(near: np.ndarray, targets: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.bincount(near.ravel(), minlength=WORDS + 1),
+                           np.bincount(targets // GROUP, minlength=GROUP), [len(targets)]])
+
+
+def spread(used: np.ndarray) -> np.ndarray:
+    """The uses of every single weight."""
+    words, groups, rest = np.split(used, [WORDS + 1, WORDS + 1 + GROUP])
+    by = {"embed": words, "member": groups, "member_bias": groups}
+    return np.concatenate([np.repeat(by[n], int(np.prod(s[1:]))) if n in by else np.full(int(np.prod(s)), rest[0])
+                           for n, s in Network.SHAPES.items()])
+
+
+def average(sums: DataFrame, parts: int, old: np.ndarray) -> np.ndarray:
+    """Mean of the shards' weights by their uses, added up ``FAN_IN`` at a time; unused weights stay."""
     def add(group: pa.Table) -> pa.Table:
         group = group.sort_by("part")
         w = sum(np.frombuffer(x.as_py(), np.float64) for x in group.column("w"))
         return pa.table({"part": pa.array([group.column("part")[0].as_py() // FAN_IN], pa.int64()),
-                         "piece": group.column("piece").slice(0, 1),
-                         "seen": pa.array([sum(group.column("seen").to_pylist())], pa.int64()),
-                         "w": pa.array([w.tobytes()])})
+                         "piece": group.column("piece").slice(0, 1), "w": pa.array([w.tobytes()])})
 
     while True:
         sums = (sums.groupBy("piece", F.floor(F.col("part") / FAN_IN)).applyInArrow(
-            add, "part long, piece int, seen long, w binary"))
+            add, "part long, piece int, w binary"))
         parts = -(-parts // FAN_IN)
         if parts <= 1:
             break
-    out = old.copy()
-    for r in sums.collect():        # one row a piece
-        mean = np.frombuffer(r.w, np.float64) / r.seen
-        out[r.piece * PIECE:r.piece * PIECE + len(mean)] = mean
-    return out
+    rows = sorted(sums.collect(), key=lambda r: r.piece)        # one row a piece
+    if not rows:
+        return old
+    total, used = np.split(np.concatenate([np.frombuffer(r.w, np.float64) for r in rows]), [len(old)])
+    used = spread(used)
+    return np.where(used > 0, total / np.maximum(used, 1), old).astype(np.float32)
 
 
 def scores(ids: DataFrame, weights: np.ndarray) -> DataFrame:
     kind = ids.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        net = Network(weights)
+        net = Network(weights).fix()
         for batch in batches:
-            for part in slices(batch, 2, 1 << 17):
+            for part in slices(batch, 2, 1 << 19):
                 flat, counts = batch_ids(part.column(2))
                 total = np.zeros(len(flat))
-                near = neighbours(flat, counts, np.arange(len(flat)))
-                for a in range(0, len(flat), 1 << 16):
-                    total[a:a + (1 << 16)] = net.log_chance(near[a:a + (1 << 16)], flat[a:a + (1 << 16)])
+                ids, at = padded(flat, counts)
+                for a in range(0, len(flat), SCORED):
+                    total[a:a + SCORED] = net.log_chance(neighbours(ids, at[a:a + SCORED]), flat[a:a + SCORED])
                 doc = np.repeat(np.arange(len(counts)), counts)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), pa.array(counts),
@@ -411,14 +494,30 @@ def scores(ids: DataFrame, weights: np.ndarray) -> DataFrame:
         run, f"row long, doc_id {kind}, n_tokens long, log_likelihood double")
 
 
-def score(df: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, n_tokens, log_likelihood, mean_log_likelihood) of every row."""
+@dataclass
+class Model:
+    """What a corpus taught: the most frequent words, counts by entry, weights; and tables of it."""
+    top: list[tuple[bytes, int]]
+    totals: np.ndarray
+    weights: np.ndarray
+    others: DataFrame       # words outside the vocabulary
+    ids: DataFrame          # of the corpus itself
+
+
+def fit(df: DataFrame, doc_id: str, text: str) -> Model:
     counts = word_counts(df, text)
     top = frequent(counts, WORDS - GROUP + LISTED)
     others = staged(other_words(counts, [w for w, _ in top[:WORDS - GROUP]]), "lm-others")
     totals = entry_totals(others)
     ids = staged(token_ids(df, doc_id, text, top, totals), "lm-ids")
-    found = (scores(ids, train(ids)).join(joined(ids, others, totals), "row", "left")
+    n = np.concatenate([totals, [k for _, k in top[:WORDS - GROUP]], np.ones(max(0, WORDS - GROUP - len(top)))])
+    return Model(top, totals, train(ids, Network.start(n)), others, ids)
+
+
+def score(df: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(doc_id, n_tokens, log_likelihood, mean_log_likelihood) of every row."""
+    model = fit(df, doc_id, text)
+    found = (scores(model.ids, model.weights).join(joined(model.ids, model.others, model.totals), "row", "left")
              .withColumn("log_likelihood", F.col("log_likelihood") + F.coalesce("rare_sum", F.lit(0)) / UNIT))
     return found.select("doc_id", "n_tokens", "log_likelihood", F.when(
         F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")).alias("mean_log_likelihood"))
