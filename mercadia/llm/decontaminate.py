@@ -1,8 +1,8 @@
 """Benchmark decontamination by templates.
 
 Texts are cut at white space, words lose punctuation at their ends and A-Z case.
-Numbers, units behind a number and capitalised words inside a sentence (names)
-become typed placeholders. Windows of ``size`` template words are hashed; windows
+Numbers, also as words, units behind a number and capitalised words inside a sentence (names, also
+like McDonald, O'Brien, Jean-Luc) become typed placeholders. Windows of ``size`` template words are hashed; windows
 of documents that may be in the benchmark (a fixed-size bit set says which
 cannot) are hash-joined with the benchmark's windows. An item's
 capitalised first word is a plain word and, in a second window, a name, as it may
@@ -19,7 +19,9 @@ Beside them the plain words of every window are hashed and joined, so verbatim
 copies are found whatever a window holds; a document is also contaminated when
 windows of both kinds cover ``share`` of all the item's positions. An item shorter
 than ``size`` words is one window of its own length; one of less than ``ANYWHERE``
-words is found where it is a document's whole text. Null and empty texts have no window;
+words is found where it is a document's whole text. An item of up to ``FORM`` words that is mostly
+numbers (a calculation) has no usable window; its form as a whole, numbers replaced and signs kept, is
+joined instead. Null and empty texts have no window;
 null ids are kept as null; rows that repeat are judged each; empty tables give
 an empty result. Only the named columns are read.
 """
@@ -51,7 +53,15 @@ UNITS = frozenset(
     "litre litres gal s sec second seconds min minute minutes h hr hour hours day days week weeks month months "
     "year years % percent $ dollar dollars usd eur euro euros gbp pound pounds cent cents mph kmh c f k w kw v a "
     "hz khz mhz ghz b kb mb gb tb".split())
+# Number words, and signs that stand alone between the numbers of an expression.
+NUMBERS = frozenset(
+    "zero two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen "
+    "eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split())
+OPERATORS = frozenset("+ - * / = < > ^ x × ÷ · − ≤ ≥ ( ) ?".split())
+#: Longest item that is one form as a whole.
+FORM = 24
 LITERAL, NUMBER, UNIT, NAME, EMPTY = range(5)
+JOINTS = re.compile("['’-]")
 EDGES = re.compile(r"^[^\w%$]+|[^\w%$]+$")
 NUMERIC = re.compile(r"[+-]?[$]?\d[\d.,:/]*[%$]?")
 ENDS = re.compile(r"[.!?:][\"')\]]*$")
@@ -77,6 +87,7 @@ class Words:
         self.hash = np.zeros(0, np.uint64)
         self.kind = np.zeros(0, np.int8)
         self.ends = np.zeros(0, bool)
+        self.sign = np.zeros(0, bool)
 
     def look(self, raw: list[str]) -> np.ndarray:
         if len(self.index) > CACHE_WORDS:
@@ -91,19 +102,29 @@ class Words:
             self.hash = np.concatenate([self.hash, word_hash([w.translate(UPPER) for w in bare])])
             self.kind = np.concatenate([self.kind, np.array([kind(w) for w in bare], np.int8)])
             self.ends = np.concatenate([self.ends, np.array([ENDS.search(w) is not None for w in new], bool)])
+            sign = np.array([not b and w in OPERATORS for w, b in zip(new, bare)], bool)
+            self.sign = np.concatenate([self.sign, sign])
+            self.hash[first:][sign] = word_hash([w for w, s in zip(new, sign) if s])
             at[missing] = np.fromiter((self.index[raw[k]] for k in missing), np.int64, len(missing))
         return at
 
 
+def mixed(word: str) -> bool:
+    """Letters in parts, each with capitals that stand alone: McDonald, O'Brien, Jean-Luc."""
+    parts = JOINTS.split(word)
+    return (all(p.isalpha() and p[0].isupper() for p in parts) and not word.isupper()
+            and not any(a.isupper() and b.isupper() for p in parts for a, b in zip(p, p[1:])))
+
+
 def kind(word: str) -> int:
     if not word:
         return EMPTY
-    if NUMERIC.fullmatch(word):
+    if NUMERIC.fullmatch(word) or word.lower() in NUMBERS:
         return NUMBER
     if word.lower() in UNITS:
         return UNIT
-    if word[0].isupper() and word[1:].islower():
-        return NAME
+    if word[0].isupper() and (word[1:].islower() or mixed(word)):
+        return NAME     # Paris, McDonald, O'Brien, Jean-Luc
     return LITERAL
 
 
@@ -129,6 +150,44 @@ def templates(words: Words, texts: list[str], behind: bool = False):
     return doc, np.where(kinds == LITERAL, plain, PLACEHOLDER[kinds]), plain, kinds, [raw, kept]
 
 
+def forms(words: Words, texts: list[str], sizes: list[int] | None, mask: np.ndarray | None):
+    """Rows like those of :func:`windows` for items that are mostly numbers and signs, as a whole:
+    all their words and placeholders with the signs between them. Such an item has no usable
+    window. Sizes are negative, and an item's position is -1, apart from those of windows."""
+    split = [t.split() for t in texts]
+    raw = [w for s in split for w in s]
+    if not raw or sizes is not None and not sizes:
+        return []
+    doc = np.repeat(np.arange(len(texts)), [len(s) for s in split])
+    at = words.look(raw)
+    kinds, sign = words.kind[at].copy(), words.sign[at]
+    kinds[np.isin(kinds, (UNIT, NAME))] = LITERAL
+    kept = np.flatnonzero((kinds != EMPTY) | sign)
+    doc, kinds, sign = doc[kept], np.where(sign[kept], LITERAL, kinds[kept]), sign[kept]
+    code = np.where(kinds == LITERAL, words.hash[at[kept]], PLACEHOLDER[kinds])
+    length = np.bincount(doc, minlength=len(texts))
+    first = np.cumsum(length) - length
+    slots, signs = (np.concatenate([[0], np.cumsum(x)]) for x in (kinds != LITERAL, sign))
+    out = []
+    for size in sorted(set(length.tolist())) if sizes is None else [-s for s in sizes]:
+        if not LEAST <= size <= FORM or len(code) < size:
+            continue
+        n = len(code) - size + 1
+        some = doc[:n] == doc[size - 1:]
+        held, between = slots[size:] - slots[:n], signs[size:] - signs[:n]
+        some &= (held > 1) & (between > 0) & (2 * held > size - between)
+        if sizes is None:
+            some &= length[doc[:n]] == size
+        h = window_hashes(code, size)
+        if mask is not None:
+            some &= bits.holds(mask, h)
+        for p in np.flatnonzero(some).tolist():
+            values = [EDGES.sub("", raw[kept[q]]).translate(UPPER) for q in range(p, p + size) if kinds[q] != LITERAL]
+            out.append((int(doc[p]), -size, int(h[p].astype(np.int64)),
+                        -1 if sizes is None else p - int(first[doc[p]]), values, True))
+    return out
+
+
 def window_hashes(code: np.ndarray, size: int) -> np.ndarray:
     n = len(code) - size + 1
     h = np.full(n, size, np.uint64)
@@ -188,7 +247,9 @@ def window_rows(df: DataFrame, ident: str, text: str, name: str, sizes=None, mas
         words = Words()
         for batch in batches:
             for part in slices(batch, 2):
-                found = windows(words, [t or "" for t in part.column(2).to_pylist()], sizes, mask)
+                texts = [t or "" for t in part.column(2).to_pylist()]
+                found = windows(words, texts, sizes and [s for s in sizes if s > 0], mask)
+                found += forms(words, texts, sizes and [s for s in sizes if s < 0], mask)
                 if not found:
                     continue
                 at, size, h, pos, values, usable = zip(*found)
@@ -212,7 +273,7 @@ def leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: st
     mask = bits.build(known, F.col("hash"))
     found = window_rows(docs, doc_id, text, "doc", sizes, mask)
     total = known.groupBy("item_row").agg(
-        F.countDistinct("item_at").alias("all"),
+        F.countDistinct(F.when(F.col("item_at") >= 0, F.col("item_at"))).alias("all"),
         F.collect_set(F.when(F.col("item_usable"), F.col("item_at"))).alias("usable"))
     pairs = found.join(known, ["size", "hash"])
     differs = F.col("item_slots") != F.col("doc_slots")
@@ -227,8 +288,9 @@ def leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: st
                .agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"),
                     F.max(F.exists("slots", lambda s: s["a"] != s["b"])).alias("slots_changed")))
     # of the usable windows or of all positions, whichever are covered better
-    of_all = F.struct((F.size("places") / F.col("all")).alias("coverage"), F.col("all").alias("windows"),
-                      F.size("places").cast("long").alias("matched"))
+    in_windows = F.size(F.filter("places", lambda p: p >= 0))
+    of_all = F.struct((in_windows / F.col("all")).alias("coverage"), F.col("all").alias("windows"),
+                      in_windows.cast("long").alias("matched"))
     of_usable = F.size(F.array_intersect("places", "usable"))
     of_usable = F.when(F.size("usable") > 0, F.struct(
         (of_usable / F.size("usable")).alias("coverage"), F.size("usable").cast("long").alias("windows"),
@@ -244,9 +306,11 @@ def clean(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: st
     """The documents that leak no item, with all their columns."""
     held = [f"__dc{i}" for i in range(len(docs.columns))]
     at = {c: h for c, h in zip(docs.columns, held)}
-    named = docs.toDF(*held)
-    bad = staged(leaks(named, at[doc_id], at[text], items, item_id, item_text)
-                 .select("doc_row").distinct(), "leak-docs")
-    out = (named.withColumn("doc_row", F.monotonically_increasing_id())
-           .join(bad, "doc_row", "left_anti"))
-    return out.select(*[F.col(h).alias(c) for h, c in zip(held, docs.columns)])
+    # a document is known by a digest of its id and text, which every reading gives alike: equal rows
+    # get equal verdicts, and how the table is cut into splits, which may change between readings, does not matter
+    ident = F.coalesce(F.concat(F.lit("="), F.col(at[doc_id]).cast("string")), F.lit(""))
+    named = docs.toDF(*held).withColumn("__dc_key", F.md5(F.concat(
+        ident, F.lit("\0"), F.coalesce(F.col(at[text]), F.lit("")))))
+    bad = staged(leaks(named, "__dc_key", at[text], items, item_id, item_text)
+                 .select(F.col("doc").alias("__dc_key")).distinct(), "leak-docs")
+    return named.join(bad, "__dc_key", "left_anti").select(*[F.col(h).alias(c) for h, c in zip(held, docs.columns)])
