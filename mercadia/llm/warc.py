@@ -208,7 +208,10 @@ def timestamp(date: Column) -> Column:
 
 
 def record_id(file: Column, place: Column) -> Column:
-    h = F.sha1(F.concat_ws(" ", file, place.cast("string")).cast("binary"))
+    """From the number of the file and the record's place in it: the rest of a file's name is
+    another at every run."""
+    number = F.coalesce(F.nullif(F.regexp_extract(file, r"part-(\d+)", 1), F.lit("")), file)
+    h = F.sha1(F.concat_ws(" ", number, place.cast("string")).cast("binary"))
     return F.concat(F.lit("<urn:uuid:"), F.substring(h, 1, 8), F.lit("-"), F.substring(h, 9, 4), F.lit("-5"),
                     F.substring(h, 14, 3), F.lit("-8"), F.substring(h, 18, 3), F.lit("-"), F.substring(h, 21, 12),
                     F.lit(">"))
@@ -284,25 +287,28 @@ class WarcReader:
 
     def __init__(self, file: str):
         self.file = file
-        self.held: bytes | None = None
+        self.held: list[bytes] = []     # pieces of a record whose block holds the mark
+        self.size = self.need = 0
         self.first = True
 
     def feed(self, piece: bytes) -> dict | None:
         if self.first:              # what stands before the first mark: nothing
             self.first = False
             return None
-        data = piece if self.held is None else self.held + self.mark + piece
-        at = data.find(CRLF2)
-        if at < 0:
-            self.held = data
+        if not self.held:           # a record's first piece has its whole header, which cannot hold the mark
+            self.at = piece.find(CRLF2)
+            if self.at < 0:
+                raise ValueError(f"{self.file}: a record without the end of its header")
+            self.fields = dict(x.split(b": ", 1) for x in piece[:self.at].split(b"\r\n"))
+            self.need = self.at + 4 + int(self.fields[b"Content-Length"]) + 4
+            self.size = -len(self.mark)
+        self.held.append(piece)
+        self.size += len(self.mark) + len(piece)
+        if self.size < self.need:       # the mark stood inside the block
             return None
-        fields = dict(x.split(b": ", 1) for x in data[:at].split(b"\r\n"))
-        size = int(fields[b"Content-Length"])
-        if len(data) < at + 4 + size + 4:       # the mark stood inside the block
-            self.held = data
-            return None
-        self.held = None
-        block = data[at + 4:at + 4 + size]
+        data, self.held = self.mark.join(self.held), []
+        at, fields = self.at, self.fields
+        block = data[at + 4:self.need - 4]
         header, payload = b"", block
         kind = fields[b"WARC-Type"].decode()
         if block[:5] == b"HTTP/":
@@ -325,7 +331,7 @@ class WarcReader:
                 "refers_to": int(refers) if refers else None}
 
     def close(self) -> None:
-        if self.held is not None:
+        if self.held:
             raise ValueError(f"{self.file}: the last record is shorter than declared")
 
 
