@@ -7,10 +7,11 @@ against the rest); within the winning family one machine per pair of languages
 votes. A language that the table of families does not know is a family itself.
 
 The machines are fitted on at most ``per_lang`` rows a language and ``most`` rows
-in all, the ones with the smallest hash of their id: a bounded sample (the
-documented bound of the fit); every row is scored, on its whole text.
+in all, the same number for every language (see :func:`train`), the ones with the smallest
+hash of their id: a bounded sample (the documented bound of the fit); every row is
+scored, on its whole text.
 
-Defined cases: a text that is null or has no letter is ``und`` with score 0; so
+Defined cases: a text that is null or has no letter (``str.isalpha``) is ``und`` with score 0; so
 is every text when there is no row to learn from; with one language, that one is
 predicted; ties go to the language that sorts first; rows that repeat are scored
 each; an empty table gives an empty table. Other columns are carried through.
@@ -18,15 +19,15 @@ each; an empty table gives an empty table. Other columns are carried through.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from mercadia.llm.common import aside
 from mercadia.llm.tokens import slices
 
 # Common languages by family (ISO 639-1 codes).
@@ -37,11 +38,14 @@ FAMILIES = {
 }
 BUCKETS = 2048
 UND = "und"
-LETTER = re.compile(r"[^\W\d_]")
 #: Steepness of the logistic curve that turns margins into scores.
 STEEP = 4.0
 
 
+def has_letter(text: str) -> bool:
+    return any(map(str.isalpha, text))
+
+
 def features(texts: list[str]) -> np.ndarray:
     """Unit-length hashed n-gram vectors, a row per text."""
     data = [t.lower().encode("utf-8", "replace") for t in texts]
@@ -145,15 +149,22 @@ def fit(x: np.ndarray, langs: list[str]) -> Model:
 
 
 def train(df: DataFrame, doc_id: str, text: str, lang: str, rows: Column,
-          per_lang: int = 1000, most: int = 6000) -> Model:
-    """The model of the rows where ``rows`` holds and ``lang`` is not null."""
+          per_lang: int = 1000, most: int = 6000, least: int = 20) -> Model:
+    """The model of the rows where ``rows`` holds and ``lang`` is not null.
+
+    Every language gives as many rows as any other, if it has them: ``most`` divided by their
+    number, at most ``per_lang`` and at least ``least``. Of more than ``most / least``
+    languages the rarest are not learned.
+    """
     source = df.where(rows & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
         F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
-    ids = source.select("doc_id", "lang", (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / (1 << 30)).alias("draw"))
-    # a little more than needed, as draws scatter; the limits are exact
-    share = ids.groupBy("lang").agg((F.lit(1.2 * per_lang) / F.count(F.lit(1))).alias("share"))
-    drawn = (ids.join(share, "lang").where("draw < share").orderBy("draw", "doc_id").limit(most)
-             .select("doc_id").distinct())
+    ids = source.select("doc_id", "lang")
+    known = [r.lang for r in ids.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+             .orderBy(F.desc("n"), "lang").limit(max(1, most // least)).collect()]
+    each = min(per_lang, max(least, most // max(1, len(known))))
+    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")     # Spark cuts to ``each`` before it shuffles
+    drawn = (ids.where(F.col("lang").isin(known)).withColumn("place", F.row_number().over(first))
+             .where(F.col("place") <= each).select("doc_id", "lang").distinct())
 
     def run(batches):
         for batch in batches:
@@ -163,18 +174,23 @@ def train(df: DataFrame, doc_id: str, text: str, lang: str, rows: Column,
                     [part.column(1), part.column(2), pa.array([r.tobytes() for r in x], pa.binary())],
                     names=["doc_id", "lang", "x"])
 
-    # ``most`` ids at most
-    sample = (source.join(F.broadcast(drawn), "doc_id", "left_semi").select("text", "doc_id", "lang")
+    # at most ``each`` ids a language
+    sample = (source.join(F.broadcast(drawn), ["doc_id", "lang"], "left_semi").select("text", "doc_id", "lang")
               .mapInArrow(run, T.StructType([source.schema["doc_id"], source.schema["lang"],
                                              T.StructField("x", T.BinaryType())])))
-    found = sorted(sample.limit(most).collect(), key=lambda r: (str(r.doc_id), r.lang, r.x))
+    # an id that repeats may bring more rows: as many of each language again
+    few = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "x")
+    sample = sample.withColumn("place", F.row_number().over(few)).where(F.col("place") <= each)
+    found = sorted(sample.collect(), key=lambda r: (str(r.doc_id), r.lang, r.x))
     x = np.array([np.frombuffer(r.x, np.float16) for r in found], np.float32)
     return fit(x, [r.lang for r in found])
 
 
 def predict(df: DataFrame, text: str, model: Model, lang_out: str = "lang_pred",
             score_out: str = "score", drop_text: bool = False) -> DataFrame:
-    """``df`` with the predicted language and its score (0 to 1)."""
+    """``df`` with the predicted language and its score (0 to 1); input columns of these names get
+    trailing underscores."""
+    df = aside(df, [lang_out, score_out], keep=[text])
     at = df.columns.index(text)
     rest = [k for k in range(len(df.columns)) if not (drop_text and k == at)]
     schema = T.StructType([*[df.schema[k] for k in rest], T.StructField(lang_out, T.StringType(), False),
@@ -185,7 +201,7 @@ def predict(df: DataFrame, text: str, model: Model, lang_out: str = "lang_pred",
             for part in slices(batch, at):
                 texts = [t or "" for t in part.column(at).to_pylist()]
                 lang, score = model.predict(features(texts))
-                bare = np.array([LETTER.search(t) is None for t in texts], bool)
+                bare = np.array([not has_letter(t) for t in texts], bool)
                 lang = [UND if b else v for b, v in zip(bare, lang)]
                 yield pa.RecordBatch.from_arrays(
                     [*[part.column(k) for k in rest], pa.array(lang, pa.string()),
