@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from mercadia.llm.common import aside
 from mercadia.llm.tokens import CACHE_CHARS, PieceIds, ragged, slices
 
 #: Pairs whose verdict a worker keeps before it starts over.
@@ -263,7 +264,9 @@ def load(path: str) -> ByteBpe:
 
 
 def round_trip(df: DataFrame, text: str, path: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
-    """``df`` without ``text``, with its token ids and the text decoded from them."""
+    """``df`` without ``text``, with its token ids and the text decoded from them; input columns of
+    these names get trailing underscores."""
+    df = aside(df, [ids, decoded], keep=[text])
     rest = [c for c in df.columns if c != text]
     schema = T.StructType([*[df.schema[c] for c in rest],
                            T.StructField(ids, T.ArrayType(T.IntegerType(), False), False),
@@ -284,6 +287,7 @@ def round_trip(df: DataFrame, text: str, path: str, ids: str = "ids", decoded: s
 
 def with_ids(df: DataFrame, text: str, path: str, ids: str = "ids") -> DataFrame:
     """``df`` with the token ids of ``text`` in one more column."""
+    df = aside(df, [ids], keep=[text])
     schema = T.StructType([*df.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType(), False), False)])
     at = df.columns.index(text)
 
@@ -302,6 +306,7 @@ def with_ids(df: DataFrame, text: str, path: str, ids: str = "ids") -> DataFrame
 
 def decode_ids(df: DataFrame, ids: str, path: str, decoded: str = "decoded") -> DataFrame:
     """``df`` with the text of its ``ids`` in one more column."""
+    df = aside(df, [decoded], keep=[ids])
     schema = T.StructType([*df.schema.fields, T.StructField(decoded, T.StringType(), False)])
     at = df.columns.index(ids)
 

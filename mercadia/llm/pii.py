@@ -213,8 +213,6 @@ def spans(text: str, hits) -> list[tuple[str, int, int]]:
 def find(df: DataFrame, text: str, out: str = "spans") -> DataFrame:
     """``df`` with ``out``: array of (kind, start, end), base kinds first."""
     df = aside(df, [out], keep=[text])
-    if out.lower() == text.lower():
-        raise ValueError(f"the output column {out!r} is the text column")
     names = df.columns
     held = df.toDF(*[f"c{k}" for k in range(len(names))])
     at, target = names.index(text), pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()),

@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from mercadia.llm.common import aside
 from mercadia.llm.tokens import slices
 
 NAMES = ["log_chars", "upper", "digits", "symbols", "exclaims", "bars", "stops", "blanks", "newlines",
@@ -215,7 +216,8 @@ def train(df: DataFrame, doc_id: str, text: str, labels: DataFrame, label_id: st
 
 
 def score(df: DataFrame, text: str, model: Model, score_out: str = "score", drop_text: bool = False) -> DataFrame:
-    """``df`` with the probability of label 1."""
+    """``df`` with the probability of label 1; an input column of that name gets a trailing underscore."""
+    df = aside(df, [score_out], keep=[text])
     rest = [c for c in df.columns if not (drop_text and c == text)]
     source = df.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{text}`").alias("__q_text"))
     schema = T.StructType([*[df.schema[c] for c in rest], T.StructField(score_out, T.DoubleType(), False)])

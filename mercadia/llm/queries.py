@@ -147,7 +147,29 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
         "windows", "matched", "coverage", "slots_changed")
 
 
-@register("op7_ngram_join")
+@register("op7_ngram_join", """
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+         ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s
+  FROM w),
+e AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n
+  HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+links AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs),
+reach(doc_id, comp) AS (
+  SELECT doc_id, doc_id FROM s
+  UNION
+  SELECT links.b, reach.comp FROM reach JOIN links ON links.a = reach.doc_id)
+SELECT s.doc_id, len(s.s) AS n_shingles, min(reach.comp) AS component_id
+FROM s JOIN reach ON reach.doc_id = s.doc_id GROUP BY s.doc_id, s.s
+""")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return ngram_join.near_duplicates(docs, "doc_id", "text").select("doc_id", "n_shingles", "component_id")

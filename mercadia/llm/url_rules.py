@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mercadia.llm.common import staged, width
+from mercadia.llm.common import aside, staged, width
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPLIT = "/"     # a host holds no slash, so it ends the host part of a key
@@ -88,13 +88,15 @@ def stab(points: DataFrame, prefixes: DataFrame, name: str) -> DataFrame:
 
 
 def judge(df: DataFrame, url: str, rules: DataFrame, default: str = "allow") -> DataFrame:
-    """``df`` with columns host, path, rule and verdict.
+    """``df`` with columns host, path, rule and verdict; input columns of these names get
+    trailing underscores.
 
     ``rules`` has host, path and verdict ('allow' or 'block'). A rule fits its host
     and all subdomains when the url's path starts with the rule's path; the fitting
     rule with the most characters wins; without one, rule is null and the verdict
     is ``default``.
     """
+    df = aside(df, ["host", "path", "rule", "verdict"], keep=[url])
     held = [f"c{i}" for i in range(len(df.columns))]
     at = held[df.columns.index(url)]
     host, path = parts(F.col(at))

@@ -39,7 +39,7 @@ def test_stages_on_planted_rows(spark):
     last = corpus_pipeline.STAGES[-1][1](spark, docs, sf).collect()
     assert sorted(r.doc_id for r in last) == left[3] and all(r.n_tokens == len(r.ids) for r in last)
     assert sorted(r.doc_id for r in corpus_pipeline.run(spark, sf).collect()) == left[3]
-    assert corpus_pipeline.run(spark, sf).columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"]
+    assert corpus_pipeline.run(spark, sf).columns == ["doc_id", "lang", "n_tokens", "ids_sha256", "decoded_sha256", "ids"]
 
 
 def test_empty_documents(spark):
@@ -48,3 +48,42 @@ def test_empty_documents(spark):
         f"{sf}/documents.parquet")
     spark.createDataFrame([(1, LEAK)], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
     assert corpus_pipeline.run(spark, sf).count() == 0
+
+
+def test_odd_documents(spark):
+    """Nulls in every column, repeats, a very long text, and columns named as the operators' own."""
+    sf = scratch(spark, "sf")
+    long = " ".join(f"word{k} und so weiter" for k in range(60_000))
+    rows = [(None, "a text without id, seen once only", None, None, None), (1, None, None, None, None), (2, "", "en", "s", 0),
+            (3, "the same row twice, as it is", "en", "s", 1), (3, "the same row twice, as it is", "en", "s", 1),
+            (4, long, "de", "s", 1), (5, "½ ² ①", "en", "s", 1), (6, "une autre langue de la ville", None, "s", 1)]
+    rows += [(10 + k, LONG.replace("{k}", f"p{k}q{k}"), "en", "s", 1) for k in range(3)]
+    rows += [(20 + k, f"und der die das {k} ist nicht mit von zu {k} haus und hof", "de", "s", 1) for k in range(3)]
+    names = ["row", "kept", "score", "ids", "lang_pred", "doc", "token", "node", "key"]
+    (spark.createDataFrame([(*r, *["x"] * len(names)) for r in rows],
+                           "doc_id long, text string, lang string, source string, n_chars long, "
+                           + ", ".join(f"{n} string" for n in names))
+     .repartition(3).write.parquet(f"{sf}/documents.parquet"))
+    spark.createDataFrame([(None, LEAK), (1, None), (2, "")], "item_id long, text string").write.parquet(
+        f"{sf}/benchmark.parquet")
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, sf).columns == docs.columns, name
+    out = corpus_pipeline.run(spark, sf).collect()
+    # the short texts of one pattern differ in most of their shingles
+    assert sorted((r.doc_id or 0) for r in out) == [0, 3, 4, 6, 10, 11, 12, 20, 21, 22]
+    assert {r.doc_id: r.lang for r in out}[4] == "de" and all(r.lang in ("de", "en") for r in out)
+
+
+def test_stages_leave_no_scratch_behind(spark):
+    import os
+    from mercadia.session import checkpoint_dir
+    sf = scratch(spark, "sf")
+    spark.createDataFrame([(k, f"text number {k} of some words", "en", "s", 1) for k in range(20)],
+                          "doc_id long, text string, lang string, source string, n_chars long").write.parquet(
+        f"{sf}/documents.parquet")
+    spark.createDataFrame([(1, LEAK)], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    folder = checkpoint_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    assert corpus_pipeline.run(spark, sf).count() > 0
+    assert {n.rsplit("-", 1)[0] for n in set(os.listdir(folder)) - before} == {"pipeline-decontaminate"}

@@ -91,7 +91,9 @@ def test_pii_query_on_documents_and_odd_rows(spark):
 
 def test_columns_of_an_output_name_step_aside(spark):
     df = spark.createDataFrame([(1, 2, 3)], "a int, B int, b_ int")
-    assert aside(df, ["b"]).columns == ["a", "B__", "b_"] and aside(df, ["b"], keep=["B"]).columns == df.columns
+    assert aside(df, ["b"]).columns == ["a", "B__", "b_"] and aside(df, ["c"], keep=["B"]).columns == df.columns
+    with pytest.raises(ValueError):
+        aside(df, ["b"], keep=["B"])
 
 
 # -- 12 spelling variants --------------------------------------------------------------

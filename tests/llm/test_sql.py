@@ -13,7 +13,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("key", sorted(SQL))
 def test_query_matches_sql(spark, key):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "embeddings"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     df, res = QUERIES[key](spark, SF), con.sql(SQL[key])
     columns = sorted(df.columns)
@@ -25,7 +25,7 @@ def test_query_matches_sql(spark, key):
         for r in want.itertuples(index=False))
 
 
-def test_eleven_queries_are_registered():
+def test_all_queries_are_registered():
     import __spark_entry__ as E
     names = set(E.queries())
-    assert {"pipeline"} | set(QUERIES) <= names and len(QUERIES) == 10
+    assert {"pipeline"} | set(QUERIES) <= names and len(QUERIES) == 13
