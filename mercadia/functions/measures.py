@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mercadia.fixed import GOLD_PARTNER, OPERATIONAL_RISK
+from mercadia.functions import order_sets
 from mercadia.functions.expressions import YEAR_MONTH, quotient, with_region, with_scalars, year_month
 
 if TYPE_CHECKING:
@@ -94,7 +95,8 @@ def _attach(star: Star, rows: DataFrame, fact: str, attrs: Sequence[str]) -> Dat
     by_dim: dict[str, list[Attribute]] = {}
     for a in attrs:
         at = ATTRIBUTES[a]
-        by_dim.setdefault(at.dim, []).append(at)
+        if at.name != FACT_KEYS[fact][at.dim][0]:       # a key is in the rows already
+            by_dim.setdefault(at.dim, []).append(at)
     for dim, ats in by_dim.items():
         key, _ = FACT_KEYS[fact][dim]
         d = _dimension(star, dim, any(a.column == "region" for a in ats))
@@ -229,7 +231,9 @@ def measures(star: Star, names: Sequence[str], by: Sequence[str] = (),
 
     Facts that a measure needs are aggregated separately and the per-fact
     results are joined on the slice (NULL-safe, full outer). Seller counts are
-    taken over the seller attributes of the slice only and repeat along the others.
+    taken over the seller attributes of the slice only and repeat along the others. Where
+    only order counts are asked of a published star, by attributes that its order sets
+    know, these are read instead of the fact.
     """
     where = dict(where or {})
     unknown = [n for n in names if n not in MEASURE_FACT]
@@ -241,7 +245,12 @@ def measures(star: Star, names: Sequence[str], by: Sequence[str] = (),
     facts = list(dict.fromkeys(MEASURE_FACT[n] for n in names))
     own = [b for b in by if ATTRIBUTES[b].dim == "seller"]
     own_where = {a: v for a, v in where.items() if ATTRIBUTES[a].dim == "seller"}
-    parts = [(list(by), _BUILDERS[f](star, list(by), where)) for f in facts if f != "sellers"]
+    cells = getattr(star, "order_cells", None)
+    of_orders = [n for n in names if MEASURE_FACT[n] == "orders"]
+    builders = dict(_BUILDERS)
+    if cells is not None and set(of_orders) <= set(order_sets.NAMES) and order_sets.covers([*by, *where]):
+        builders["orders"] = lambda s, b, w: order_sets.measures_of(s, cells, b, w)
+    parts = [(list(by), builders[f](star, list(by), where)) for f in facts if f != "sellers"]
     if "sellers" in facts:
         if not parts and len(own) < len(by):
             parts.append((list(by), _slices(star, by, where)))

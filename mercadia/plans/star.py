@@ -208,6 +208,15 @@ class PublishedStar(Star):
         for n in self.NAMES:
             self.__dict__[n] = (published.read(spark, f"star/{n}") if published
                                 else spark.read.parquet(f"{folder.rstrip('/')}/{n}"))
+        if published:
+            self._cells = published.read(spark, "star/order_cells") if "order_cells" in published.names("star") else None
+        else:
+            self._cells = (spark.read.parquet(f"{folder.rstrip('/')}/order_cells")
+                           if "order_cells" in versions.children(spark, folder) else None)
+
+    @cached_property
+    def order_cells(self) -> DataFrame | None:
+        return self._cells
 
     @property
     def region_lookup(self) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mercadia import fixed
-from mercadia.functions import expressions, measures
+from mercadia.functions import expressions, measures, order_sets
 from mercadia.operators import gates, quality, ranking
 from mercadia.plans import financial, logistics, reports, star, supplier
 from mercadia.plans.thresholds import FinancialTiers, SupplierTiers
@@ -310,6 +310,22 @@ register("measures_where_year")(_measures(M.FINANCIAL + M.LOGISTICS, ["customer_
 register("measures_by_seller_segment")(_seller_measures(
     M.FINANCIAL + M.LOGISTICS + M.QUALITY + M.SELLERS, ["segment_tier"]))
 
+
+def _order_sets(by=(), where=None):
+    def run(spark, sf_dir):
+        s = _star(spark, sf_dir).stored("fact_orders", "dim_seller")
+        return order_sets.measures_of(s, order_sets.order_cells(s), list(by), dict(where or {})).select(
+            *by, *order_sets.NAMES)
+    return run
+
+
+register("order_sets_total")(_order_sets())
+register("order_sets_by_region")(_order_sets(["customer_region"]))
+register("order_sets_by_category")(_order_sets(["category"]))
+register("order_sets_by_weekend")(_order_sets(["is_weekend"]))
+register("order_sets_where_category")(_order_sets(["year"], {"category": ["category_11", "category_22"]}))
+register("order_sets_by_seller_segment")(_order_sets(["segment_tier"]))
+
 # --- load gates ---------------------------------------------------------------------
 # The driver tables have no bad rows, so these fixtures make some by arithmetic
 # (FIXTURES.md): every row of the child table is still processed.

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mercadia.functions.expressions import YEAR_MONTH, year_month
+from mercadia.functions.order_sets import order_cells
 
 #: Facts, and the key that spreads a month's rows.
 FACTS = {"fact_orders": "order_id", "fact_reviews": "review_id"}
@@ -49,6 +50,24 @@ def register_all(t, star=None, supplier_tiers=None, logistics_tiers=None,
     return register_views(frames)
 
 
+def register_published(spark, folder: str, database: str) -> list[str]:
+    """Catalog views of a refresh's current version: base tables, marts, dimensions and facts, each
+    under its own name in ``database``. They are stored objects, so with a metastore they outlive the
+    session; registering again after a refresh moves them to its version."""
+    from mercadia.sources import versions
+    published = versions.current(spark, folder)
+    if published is None:
+        raise ValueError(f"nothing is published in {folder}")
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}`")
+    names = []
+    for name, path in published.paths().items():
+        group, _, table = name.partition("/")
+        if group in ("base", "marts", "star"):
+            spark.sql(f"CREATE OR REPLACE VIEW `{database}`.`{table}` AS SELECT * FROM parquet.`{path}`")
+            names.append(f"{database}.{table}")
+    return names
+
+
 def write_tables(frames: Mapping[str, DataFrame], out_dir: str) -> dict[str, str]:
     """Full reload of base tables: one Parquet folder per table, overwritten."""
     paths = {}
@@ -59,9 +78,11 @@ def write_tables(frames: Mapping[str, DataFrame], out_dir: str) -> dict[str, str
     return paths
 
 
-def publish_star(star, out_dir: str) -> dict[str, str]:
-    """Write the five dimensions and two facts for a BI tool to import."""
-    paths = {}
+def publish_star(star, out_dir: str, sets: bool = True) -> dict[str, str]:
+    """Write the five dimensions and two facts for a BI tool to import and, with ``sets``, the
+    order sets from which distinct orders are counted (see ``order_sets``)."""
+    paths: dict[str, str] = {}
+    spark = star.fact_orders.sparkSession
     for name, df in star.as_dict().items():
         path = f"{out_dir.rstrip('/')}/{name}"
         w = df
@@ -77,4 +98,11 @@ def publish_star(star, out_dir: str) -> dict[str, str]:
             writer = w.write.mode("overwrite").partitionBy("year", YEAR_MONTH)
         writer.parquet(path)
         paths[name] = path
+    if sets:
+        # from the written star, so nothing before it is computed again
+        from mercadia.plans.star import read_star
+        path = f"{out_dir.rstrip('/')}/order_cells"
+        cells = order_cells(read_star(spark, out_dir))
+        cells.sortWithinPartitions("date_key").write.mode("overwrite").parquet(path)
+        paths["order_cells"] = path
     return paths

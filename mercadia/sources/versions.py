@@ -48,7 +48,7 @@ def _path(spark: SparkSession, path: str):
     return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def _children(spark: SparkSession, folder: str) -> list[str]:
+def children(spark: SparkSession, folder: str) -> list[str]:
     p, fs = _path(spark, folder)
     return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
 
@@ -59,7 +59,7 @@ def remove(spark: SparkSession, folder: str) -> None:
 
 
 def _numbers(spark: SparkSession, root: str) -> list[int]:
-    return [int(n.removesuffix(".json")) for n in _children(spark, f"{root}/{MANIFESTS}")
+    return [int(n.removesuffix(".json")) for n in children(spark, f"{root}/{MANIFESTS}")
             if n.endswith(".json") and not n.startswith((".", "_"))]
 
 
@@ -127,7 +127,7 @@ class Version:
                 if table.get("layout"):
                     buckets.forget(self.spark, old.path(name))
             remove(self.spark, f"{self.root}/{MANIFESTS}/{n:012d}.json")
-        for folder in _children(self.spark, f"{self.root}/{VERSIONS}"):
+        for folder in children(self.spark, f"{self.root}/{VERSIONS}"):
             # an attempt of this number may still be at work
             if folder not in kept and int(folder.split("-")[0]) < self.number:
                 remove(self.spark, f"{self.root}/{VERSIONS}/{folder}")

@@ -104,3 +104,82 @@ def test_supplier_ranks_need_two_written_tables(spark, monkeypatch):
         monkeypatch.setattr(module, "materialized", lambda df, name, real=real: written.append(name) or real(df, name))
     df = supplier.supplier_performance(testdata.load(spark, SF))
     assert written == ["sellers", "rank"] and df.count() > 0
+
+
+def scanned(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return {n for n in ("fact_orders", "order_cells") if f"/{n}" in plan}
+
+
+@pytest.mark.parametrize("by, where", [
+    ([], {}), (["year"], {}), (["category"], {"month": 3}), (["segment_tier", "customer_region"], {}),
+    (["seller_region", "is_weekend"], {"category": ["category_11", "category_22"]}),
+    (["seller_state", "customer_state"], {"year": 1996, "segment_tier": "Operational Risk"}), (["date_key"], {})])
+def test_order_counts_from_sets(spark, stars, by, where):
+    from mercadia.functions import order_sets
+    base, read = stars
+    one, two = (measures.measures(s, order_sets.NAMES, by, where) for s in stars)
+    assert scanned(two) == {"order_cells"}
+    got = sorted(map(repr, two.collect()))
+    assert got == sorted(map(repr, one.collect())) and (got or where)
+
+
+def test_other_measures_and_slices_read_the_fact(spark, stars):
+    _, read = stars
+    assert scanned(measures.measures(read, ["total_orders", "total_revenue"], ["year"])) == {"fact_orders"}
+    assert scanned(measures.measures(read, ["total_orders"], ["customer_city"])) == {"fact_orders"}
+    mixed = measures.measures(read, ["total_orders", "avg_review_score", "total_sellers"], ["seller_region"])
+    assert scanned(mixed) == {"order_cells"} and mixed.count() > 0
+    from mercadia.functions import order_sets
+    with pytest.raises(ValueError, match="customer_city"):
+        order_sets.measures_of(read, read.order_cells, ["customer_city"], {})
+
+
+def test_sets_of_an_order_in_many_cells(spark):
+    """An order counts once in every union; words hold up to 64 orders; a missing date or state is a value too."""
+    from mercadia.functions import order_sets
+    rng = random.Random(1)
+    rows = [(f"o{k % 700}", f"c{k % 700 % 9}", f"s{rng.randrange(5)}", f"p{rng.randrange(4)}",
+             None if k % 700 % 50 == 0 else 20170101 + k % 700 % 3, k % 700 % 4 == 0, k % 700 % 7 == 0) for k in range(3000)]
+    cast = "order_id string, customer_key string, seller_key string, product_key string, date_key int, "
+    fact = spark.createDataFrame([(*r[:5], int(r[5]), int(r[6])) for r in rows], cast + "is_delayed int, is_cancelled int")
+
+    class Small:
+        fact_orders = fact
+        dim_customer = spark.createDataFrame([(f"c{k}", None if k == 8 else f"S{k % 2}") for k in range(9)],
+                                             "customer_key string, state string")
+        dim_seller = spark.createDataFrame([(f"s{k}", f"S{k % 2}", f"tier{k % 3}") for k in range(5)],
+                                           "seller_key string, state string, segment_tier string")
+        dim_product = spark.createDataFrame([(f"p{k}", f"cat{k % 3}") for k in range(4)],
+                                            "product_key string, category_name_en string")
+
+    cells = order_sets.order_cells(Small)
+    got = {(r.category, r.segment_tier): (r.total_orders, r.delayed_orders, r.cancelled_orders)
+           for r in order_sets.measures_of(Small, cells, ["category", "segment_tier"], {}).collect()}
+    want = {}
+    for r in rows:
+        key = (f"cat{int(r[3][1:]) % 3}", f"tier{int(r[2][1:]) % 3}")
+        for name, on in zip("odc", (True, r[5], r[6])):
+            if on:
+                want.setdefault(key, {}).setdefault(name, set()).add(r[0])
+    assert got == {k: tuple(len(v.get(n, ())) for n in "odc") for k, v in want.items()}
+    whole = order_sets.measures_of(Small, cells, [], {}).first()
+    assert (whole.total_orders, whole.delayed_orders, whole.cancelled_orders) == (700, 175, 100)
+    assert order_sets.measures_of(Small, cells, ["customer_state"], {"date_key": 20170103}).count() == 3
+
+
+def test_published_names_in_a_catalog(spark, tmp_path):
+    from mercadia import jobs
+    from tests.test_load import CSV, TRANSLATION, write
+    paths = {k: write(str(tmp_path), k, v) for k, v in CSV.items()}
+    out = str(tmp_path / "out")
+    jobs.refresh(spark, paths, write(str(tmp_path), "translation", TRANSLATION), out)
+    names = publish.register_published(spark, out, "market")
+    assert {"market.orders", "market.supplier_performance", "market.fact_orders", "market.dim_date"} <= set(names)
+    other = spark.newSession()      # stored objects, not temporary views of one session
+    assert other.sql("SELECT count(*) FROM market.fact_orders JOIN market.dim_date USING (date_key)").first()[0] == 1
+    paths["customers"] = write(str(tmp_path), "customers2", CSV["customers"] + "c7,u7,1,x,SP\n")
+    jobs.refresh(spark, paths, write(str(tmp_path), "translation", TRANSLATION), out)
+    publish.register_published(spark, out, "market")
+    assert other.sql("SELECT count(*) FROM market.dim_customer").first()[0] == 3
+    spark.sql("DROP DATABASE market CASCADE")
