@@ -646,6 +646,25 @@ def test_splits_cut_anew_at_every_reading(spark, monkeypatch):
         spark.conf.unset("spark.sql.files.openCostInBytes")
 
 
+def test_a_common_footer_makes_nobody_meet(spark, monkeypatch):
+    """Short texts of own words and one footer: no pair is similar, and none is looked at."""
+    footer = " ".join(f"footer{k}" for k in range(12))
+    rows = [(k, " ".join(f"own{k}x{j}" for j in range(12)) + " " + footer) for k in range(400)]
+    pairs = []
+    met = ngram_join.met
+
+    def counted(askers, listed):
+        out = met(askers, listed)
+        pairs.append(out.agg(F.sum(F.size("xs") * F.size("ys"))).first()[0] or 0)
+        return out
+
+    monkeypatch.setattr(ngram_join, "met", counted)
+    path = scratch(spark, "footer")
+    spark.createDataFrame(rows, DOCS).repartition(4).write.parquet(path)
+    out = ngram_join.near_duplicates(spark.read.parquet(path), "doc_id", "text").collect()
+    assert len(out) == 400 and all(r.component_id == r.doc_id for r in out) and pairs == [0]
+
+
 def test_prefix_elements_that_fall_together_lower_the_need():
     h = np.array([1 << 40, (1 << 40) + 1, 2 << 40, 1 << 40, 3 << 40], np.uint64)
     assert ngram_join.fallen_together(h, np.array([0, 0, 0, 1, 1]), 2, 32).tolist() == [1, 0]
