@@ -154,9 +154,11 @@ def forms(words: Words, texts: list[str], sizes: list[int] | None, mask: np.ndar
     """Rows like those of :func:`windows` for items that are mostly numbers and signs, as a whole:
     all their words and placeholders with the signs between them. Such an item has no usable
     window. Sizes are negative, and an item's position is -1, apart from those of windows."""
+    if sizes is not None and not sizes:     # no such item
+        return []
     split = [t.split() for t in texts]
     raw = [w for s in split for w in s]
-    if not raw or sizes is not None and not sizes:
+    if not raw:
         return []
     doc = np.repeat(np.arange(len(texts)), [len(s) for s in split])
     at = words.look(raw)
