@@ -65,7 +65,7 @@ JOINTS = re.compile("['’-]")
 EDGES = re.compile(r"^[^\w%$]+|[^\w%$]+$")
 NUMERIC = re.compile(r"[+-]?[$]?\d[\d.,:/]*[%$]?")
 ENDS = re.compile(r"[.!?:][\"')\]]*$")
-MIX = np.uint64(0x9E3779B97F4A7C15)
+MIX, PART = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 PLACEHOLDER = np.array([0, 0xA5A5A5A5A5A5A5A5, 0xC3C3C3C3C3C3C3C3, 0x9696969696969696, 0], np.uint64)
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -190,15 +190,28 @@ def forms(words: Words, texts: list[str], sizes: list[int] | None, mask: np.ndar
     return out
 
 
-def window_hashes(code: np.ndarray, size: int) -> np.ndarray:
-    n = len(code) - size + 1
-    h = np.full(n, size, np.uint64)
-    for k in range(size):
-        h = (h ^ code[k:k + n]) * MIX
-        h ^= h >> np.uint64(29)
+def joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Hash of a run from the hashes of its two parts, in this order."""
+    h = left * MIX
+    h += right
+    h ^= h >> np.uint64(29)
+    h *= PART
     return h
 
 
+def window_hashes(code: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all runs of ``size`` codes, put together from runs of 1, 2, 4, ... codes."""
+    run, length, out, done = code, 1, None, 0
+    while size:
+        if size & 1:
+            out = run if out is None else joined(out[:len(run) - done], run[done:])
+            done += length
+        size >>= 1
+        if size:
+            run, length = joined(run[:-length], run[length:]), 2 * length
+    return out
+
+
 def windows(words: Words, texts: list[str], sizes: list[int] | None, mask: np.ndarray | None, behind: bool = False):
     """Rows (text, size, hash, position, slot values, usable as template); with ``sizes`` None a
     text's size is ``SIZE`` or its length, if shorter; with ``mask`` only windows whose bit is set.
