@@ -159,12 +159,16 @@ def train(df: DataFrame, doc_id: str, text: str, lang: str, rows: Column,
     source = df.where(rows & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
         F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
     ids = source.select("doc_id", "lang")
-    known = [r.lang for r in ids.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-             .orderBy(F.desc("n"), "lang").limit(max(1, most // least)).collect()]
+    known = (ids.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+             .orderBy(F.desc("n"), "lang").limit(max(1, most // least)).collect())
     each = min(per_lang, max(least, most // max(1, len(known))))
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")     # Spark cuts to ``each`` before it shuffles
-    drawn = (ids.where(F.col("lang").isin(known)).withColumn("place", F.row_number().over(first))
-             .where(F.col("place") <= each).select("doc_id", "lang").distinct())
+    # by the draw first, twice as many as needed, so that few rows of a language come together
+    share = df.sparkSession.createDataFrame([(r.lang, 2.0 * each / r.n) for r in known],
+                                            T.StructType([source.schema["lang"], T.StructField("share", T.DoubleType())]))
+    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / (1 << 30)
+    first = Window.partitionBy("lang").orderBy(draw, "doc_id")
+    drawn = (ids.join(F.broadcast(share), "lang").where(draw < F.col("share")).select("doc_id", "lang").distinct()
+             .withColumn("place", F.row_number().over(first)).where(F.col("place") <= each).select("doc_id", "lang"))
 
     def run(batches):
         for batch in batches:
