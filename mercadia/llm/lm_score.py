@@ -31,9 +31,7 @@ are read.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from dataclasses import dataclass
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -58,8 +56,10 @@ BATCH, RATE, START = 6144, 0.15, 1e-6
 SCORED = 1 << 13
 #: Tokens of a shard.
 SHARD = 1 << 22
-FLUSH_WORDS = 400_000
-CACHE_WORDS = 600_000
+#: Words counted together in a task.
+FLUSH_WORDS = 2_000_000
+#: Bytes and rows of text whose words are looked up together: a lookup lays out the listed words anew.
+WORD_BYTES, WORD_ROWS = 8 << 20, 1 << 14
 #: Weight sets averaged in one task at a time, in pieces of PIECE numbers.
 FAN_IN, PIECE = 256, 8192
 
@@ -68,25 +68,34 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").lower().split()
 
 
+def column_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts in a row, as :func:`words_of` gives them, and how many each text has."""
+    import pyarrow.compute as pc
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    words = split.flatten()
+    full = pc.greater(pc.binary_length(words), 0)       # space at a text's ends leaves empty pieces
+    text = np.repeat(np.arange(len(split)), split.value_lengths().to_numpy(zero_copy_only=False))
+    sizes = np.bincount(text[full.to_numpy(zero_copy_only=False)], minlength=len(split))
+    return words.filter(full).cast(pa.binary()), sizes
+
+
 def word_counts(df: DataFrame, text: str) -> DataFrame:
     """(word, n) of all words of all texts."""
-    def count(batches):
-        found: Counter = Counter()
-
-        def flush():
-            words, counts = zip(*found.items())
-            found.clear()
-            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(counts, pa.int64())],
-                                              names=["word", "n"])
+    def counted(parts):
+        words, counts = pa.chunked_array(parts, pa.binary()).value_counts().flatten()
+        return pa.RecordBatch.from_arrays([words, counts], names=["word", "n"])
 
+    def count(batches):
+        parts, held = [], 0
         for batch in batches:
             for part in slices(batch, 0):
-                for t in part.column(0).to_pylist():
-                    found.update(words_of(t))
-                if len(found) > FLUSH_WORDS:
-                    yield flush()
-        if found:
-            yield flush()
+                parts.append(column_words(part.column(0))[0])
+                held += len(parts[-1])
+                if held > FLUSH_WORDS:
+                    yield counted(parts)
+                    parts, held = [], 0
+        if held:
+            yield counted(parts)
 
     return staged(df.select(F.col(f"`{text}`").alias("text")).mapInArrow(count, "word binary, n long")
                   .groupBy("word").agg(F.sum("n").alias("n")), "lm-counts")
@@ -151,31 +160,24 @@ class Ids:
 
     def __init__(self, top: list[tuple[bytes, int]], totals: np.ndarray):
         size = WORDS - GROUP
-        self.fixed = {w: k for k, (w, _) in enumerate(top)}
+        self.listed = pa.array([w for w, _ in top], pa.binary())
         others = entries([w for w, _ in top[size:]])
         n = np.array([n for _, n in top[size:]], float)
-        self.start = (np.concatenate([GROUP + np.arange(min(size, len(top))), others]).astype(np.int32),
-                      np.concatenate([np.zeros(min(size, len(top))), np.log(n) - np.log(totals[others])]),
-                      np.zeros(len(top), np.int64))
-        self.reset()
-
-    def reset(self):
-        self.known = dict(self.fixed)
-        self.ids, self.inner, self.hash = self.start
-
-    def __call__(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        if len(self.known) > CACHE_WORDS:
-            self.reset()
-        at = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
-        missing = np.flatnonzero(at < 0)
+        known = min(size, len(top))
+        # the last place is that of a word which is not listed
+        self.ids = np.concatenate([GROUP + np.arange(known), others, [0]]).astype(np.int32)
+        self.inner = np.concatenate([np.zeros(known), np.log(n) - np.log(totals[others]), [0]])
+
+    def __call__(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        import pyarrow.compute as pc
+        at = pc.fill_null(pc.index_in(words, value_set=self.listed), len(self.listed)).to_numpy()
+        ids, inner, hashes = self.ids[at], self.inner[at], np.zeros(len(at), np.int64)
+        missing = np.flatnonzero(at == len(self.listed))
         if len(missing):
-            new = list(dict.fromkeys([words[k] for k in missing.tolist()]))
-            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
-            self.ids = np.concatenate([self.ids, entries(new)])
-            self.inner = np.concatenate([self.inner, np.zeros(len(new))])
-            self.hash = np.concatenate([self.hash, word_hashes(new)])
-            at[missing] = np.fromiter((self.known[words[k]] for k in missing.tolist()), np.int64, len(missing))
-        return self.ids[at], self.inner[at], self.hash[at]
+            rest = words.take(pa.array(missing)).dictionary_encode()
+            new, each = rest.dictionary.to_pylist(), rest.indices.to_numpy()
+            ids[missing], hashes[missing] = entries(new)[each], word_hashes(new)[each]
+        return ids, inner, hashes
 
 
 def token_ids(df: DataFrame, doc_id: str, text: str, top: list[tuple[bytes, int]], totals: np.ndarray) -> DataFrame:
@@ -188,12 +190,11 @@ def token_ids(df: DataFrame, doc_id: str, text: str, top: list[tuple[bytes, int]
     def run(batches):
         ids = Ids(top, totals)
         for batch in batches:
-            for part in slices(batch, 2):
-                split = [words_of(t) for t in part.column(2).to_pylist()]
-                flat, inner, hashes = ids([w for s in split for w in s])
+            for part in slices(batch, 2, WORD_BYTES, WORD_ROWS):
+                words, sizes = column_words(part.column(2))
+                flat, inner, hashes = ids(words)
                 flat = flat.astype("<u2")
-                sizes = np.fromiter(map(len, split), np.int64, len(split))
-                doc = np.repeat(np.arange(len(split)), sizes)
+                doc = np.repeat(np.arange(len(sizes)), sizes)
                 cuts = np.concatenate([[0], np.cumsum(sizes)])
                 rare = np.flatnonzero(hashes)
                 edge = np.searchsorted(rare, cuts)
@@ -201,7 +202,7 @@ def token_ids(df: DataFrame, doc_id: str, text: str, top: list[tuple[bytes, int]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1),
                      pa.array([flat[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])], pa.binary()),
-                     pa.array(np.bincount(doc, inner, len(split))),
+                     pa.array(np.bincount(doc, inner, len(sizes))),
                      pa.array([hashes[a:b].tobytes() if b > a else None for a, b in zip(edge[:-1], edge[1:])],
                               pa.binary())], names=["row", "doc_id", "ids", "inner", "rare"])
 
@@ -263,9 +264,10 @@ class Network:
 
     def hidden(self, near: np.ndarray) -> np.ndarray:
         """Rows of the window's sum behind tanh; ``tables`` holds one product table per offset."""
-        total = self.tables[0][near[0]]
+        near = near.astype(np.intp)
+        total = self.tables[0].take(near[0], 0)
         for k in range(1, len(OFFSETS)):
-            total += self.tables[k][near[k]]
+            total += self.tables[k].take(near[k], 0)
         return np.tanh(total, out=total)
 
     def fix(self) -> Network:
@@ -299,8 +301,8 @@ class Network:
         """Gradient of the mean negative log-probability."""
         scale = np.float32(1 / len(target))
         order, group, member, cuts, present = by_group(target)
-        near = near[:, order]
-        parts = [self.w["embed"][ids] for ids in near]
+        near = near[:, order].astype(np.intp)
+        parts = [self.w["embed"].take(ids, 0) for ids in near]
         h = parts[0] * self.w["place"][0]
         for part, place in zip(parts[1:], self.w["place"][1:]):
             h += part * place
@@ -316,8 +318,10 @@ class Network:
         out["group"], out["group_bias"] = h.T @ p, ones @ p
         dh = p @ self.w["group"].T
         for g, a, b in zip(present.tolist(), cuts[:-1].tolist(), cuts[1:].tolist()):
-            out["member"][g], out["member_bias"][g] = h[a:b].T @ q[a:b], ones[:b - a] @ q[a:b]
-            dh[a:b] += q[a:b] @ self.w["member"][g].T
+            part = q[a:b]
+            np.matmul(h[a:b].T, part, out=out["member"][g])
+            np.matmul(ones[:b - a], part, out=out["member_bias"][g])
+            dh[a:b] += part @ self.w["member"][g].T
         dh *= 1 - h * h
         out["bias"] = ones @ dh
         back = np.ascontiguousarray(dh.T, np.float64)
@@ -325,9 +329,10 @@ class Network:
         for k, part in enumerate(parts):
             out["place"][k] = np.einsum("ij,ij->j", dh, part)
             np.multiply(back, self.w["place"][k][:, None], out=pieces[:, k * len(dh):(k + 1) * len(dh)])
-        ids = near.ravel().astype(np.int64)
+        ids, sums = near.ravel(), np.empty((WIDTH, WORDS + 1))
         for c in range(WIDTH):
-            out["embed"][:, c] = np.bincount(ids, pieces[c], WORDS + 1)
+            sums[c] = np.bincount(ids, pieces[c], WORDS + 1)
+        out["embed"][:] = sums.T
         return out
 
 

@@ -460,6 +460,28 @@ def test_lm_scores_do_not_depend_on_files(spark, monkeypatch):
     assert max(abs(found[0][d] - found[1][d]) for d in found[0]) < 1e-5
 
 
+def test_lm_words_are_split_and_found_by_column():
+    """Words and ids of whole columns are those of one text and word after the other."""
+    import pyarrow as pa
+    texts = [" a  b ", "", None, "x\x0b\x0cY\x1f\x1cz\x85\u00c9\u2003q\u00a0", "\t\r\n", "a\0B b\na", "\u0130 I"]
+    for column in (pa.array(texts), pa.array(["", *texts]).slice(1), pa.array([], pa.string())):
+        words, sizes = lm_score.column_words(column)
+        want = [lm_score.words_of(t) for t in column.to_pylist()]
+        assert sizes.tolist() == [len(w) for w in want] and words.to_pylist() == [x for w in want for x in w]
+    size = lm_score.WORDS - lm_score.GROUP
+    top = [(b"w%d" % k, size + 9 - k) for k in range(size + 5)]
+    totals = np.full(lm_score.GROUP, 1e6)
+    asked = [b"w0", b"new", b"w%d" % (size + 2), b"w7", b"new", b"other"]
+    for listed in (top, top[:3], []):
+        ids, inner, hashes = lm_score.Ids(listed, totals)(pa.array(asked, pa.binary()))
+        at = {w: k for k, (w, _) in enumerate(listed)}
+        for k, w in enumerate(asked):
+            known, rare = at.get(w, size) < size, w in at and at[w] >= size
+            assert ids[k] == (lm_score.GROUP + at[w] if known else lm_score.entry(w))
+            assert inner[k] == (np.log(float(listed[at[w]][1])) - np.log(1e6) if rare else 0)
+            assert hashes[k] == (0 if w in at else lm_score.word_hashes([w])[0])
+
+
 def test_lm_scores_word_by_word(spark):
     """A small table's scores from the trained weights, one word after the other."""
     rng = random.Random(4)
