@@ -6,8 +6,9 @@ before it is taken, shorter prefixes are tried next, and a position from which
 no choice leads on is marked dead and left for good. Two tokens are compatible
 when merging their joined bytes gives back just these two, which the merges along
 the seam decide (:meth:`ByteBpe.compatible`); a sequence whose neighbours are all compatible is the exact result of the merges, whatever the
-length, so every position is entered once and the work is linear. Verdicts on
-pairs are kept in a table. Decoding gathers every id's bytes from one blob by
+length, so every position is entered once and the work is linear. The words of a
+batch go side by side in arrays, a token of every word at each step; very long words, and
+the last few of a batch, are walked alone. Verdicts on pairs are kept in a table of fixed size. Decoding gathers every id's bytes from one blob by
 its offset table.
 
 Defined cases: a null text counts as empty; an empty text has no ids and decodes
@@ -21,7 +22,10 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
+from bisect import bisect_left
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,12 +35,19 @@ from pyspark.sql import types as T
 from mercadia.llm.common import aside
 from mercadia.llm.tokens import CACHE_CHARS, PieceIds, ragged, slices
 
-#: Pairs whose verdict a worker keeps before it starts over.
-PAIR_TABLE = 300_000
-#: Words whose ids a worker keeps before it starts over.
-WORD_TABLE = 200_000
-#: One pre-token of letters, and a full stop or comma; all letters of these blocks.
-PLAIN_WORD = re.compile("( [A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([.,]?)")
+#: Slots (a power of two) of the table of verdicts on pairs; a pair takes the place of the one in its slot.
+PAIR_SLOTS = 1 << 19
+#: Bytes of words that are matched at once, and the bytes from which a word is walked alone.
+CHUNK_BYTES = 1 << 17
+LONG_WORD = 256
+#: So few words are walked one by one.
+FEW_WORDS = 8
+#: Pieces whose ids a worker keeps before it starts over.
+PIECE_TABLE = 200_000
+#: Stands between words where many are matched at once; no byte.
+BETWEEN_WORDS = "\u0100"
+#: One pre-token of letters, and a full stop or comma; all letters of these blocks. The same once more after a line break.
+PLAIN_WORD = re.compile("( ?{0}+)([.,]?)(?:(\n)({0}+)([.,]?))?".format("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]"))
 
 
 def byte_chars() -> dict[str, int]:
@@ -46,6 +57,27 @@ def byte_chars() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+#: Odd multiplier that spreads pairs over their slots by the top bits of the product.
+PAIR_MIX = 0x9E3779B97F4A7C15
+
+
+class Steps:
+    """Steps of symbols by token id, in flat arrays: a token's run ends at the merge that never comes."""
+
+    def __init__(self, size: int):
+        self.start = array("i", [-1]) * size
+        self.symbol, self.taken = array("i"), array("i")
+
+    def put(self, token: int, steps: list[tuple[int, int]]) -> None:
+        self.start[token] = len(self.symbol)
+        for x, r in steps:
+            self.symbol.append(x)
+            self.taken.append(r)
+
+    def arrays(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return tuple(np.frombuffer(v, np.int32) for v in (self.start, self.symbol, self.taken))
+
+
 class ByteBpe:
     def __init__(self, path: str):
         import ahocorasick
@@ -58,32 +90,54 @@ class ByteBpe:
             return "".join(chr(to_byte[c]) for c in token)
 
         vocab = spec["model"]["vocab"]
-        self.id_of = {raw(t): i for t, i in vocab.items()}
-        self.rank = {(raw(a), raw(b)): r for r, (a, b) in enumerate(spec["model"]["merges"])}
+        names = {t: raw(t) for t in vocab}
+        self.id_of = {names[t]: i for t, i in vocab.items()}
+        self.rank = {(names.get(a) or raw(a), names.get(b) or raw(b)): r
+                     for r, (a, b) in enumerate(spec["model"]["merges"])}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.pre = Tokenizer.from_file(path).pre_tokenizer
         self.split = re.compile("(" + "|".join(
             re.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
+        size = 1 + max([*vocab.values(), *self.special.values()])
+        # the steps of a token's last and first symbol, from its place in ``last`` and ``first``: symbol, merge that
+        # takes it up
+        symbols: dict[str, int] = {}
+        self.last, self.first = Steps(size), Steps(size)
         # tokens that their own bytes do not merge to can never come out of the merges
-        whole, self.first, self.last = {}, {}, {}
+        whole: dict[str, int] = {}
         for t, i in self.id_of.items():
             parts, first, last = self._merge(t)
             if parts == [t]:
-                whole[t], self.first[i], self.last[i] = i, first, last
+                whole[t] = i
+                self.first.put(i, [(symbols.setdefault(x, len(symbols)), r) for x, r in first])
+                self.last.put(i, [(symbols.setdefault(x, len(symbols)), r) for x, r in last])
+        self.n_symbols = len(symbols)
+        seams = sorted((symbols[x] * len(symbols) + symbols[y], r) for (x, y), r in self.rank.items()
+                       if x in symbols and y in symbols)
+        self.seams, self.seam_rank = array("q", [k for k, _ in seams]), array("i", [r for _, r in seams])
+        # tokens of one and of two bytes, by their bytes (256: a place between words); longer ones in the automaton
+        self.short = np.full((257, 257), -1, np.int32)
         self.automaton = ahocorasick.Automaton()
+        self.automaton.add_word("\u0101", 0)       # never met; an automaton is not empty
+        for t, i in whole.items():
+            if len(t) == 1:
+                row = self.short[ord(t)]
+                row[row < 0] = i
+            elif len(t) == 2:
+                self.short[ord(t[0]), ord(t[1])] = i
         for t, i in whole.items():
-            self.automaton.add_word(t, (i, len(t)))
+            if len(t) > 2:
+                self.automaton.add_word(t, i)
         self.automaton.make_automaton()
-        size = 1 + max([*vocab.values(), *self.special.values()])
-        self.length, self.shorter = [0] * size, [-1] * size     # by id
+        self.length, self.shorter = array("i", [0]) * size, array("i", [-1]) * size     # by id
         for t, i in whole.items():
             cut = len(t) - 1
             while cut and t[:cut] not in whole:
                 cut -= 1
             self.shorter[i] = whole[t[:cut]] if cut else -1
             self.length[i] = len(t)
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self.words: dict[str, list[int]] = {}
+        self.pair = np.full(PAIR_SLOTS, -1, np.int64)
+        self.verdict = np.zeros(PAIR_SLOTS, bool)
         blobs = [b""] * size
         for t, i in self.id_of.items():
             blobs[i] = t.encode("latin-1")
@@ -91,7 +145,7 @@ class ByteBpe:
             blobs[i] = t.encode("utf-8")
         self.blob = np.frombuffer(b"".join(blobs), np.uint8)
         self.offset = np.concatenate([[0], np.cumsum([len(b) for b in blobs])]).astype(np.int64)
-        self.cache = PieceIds(self._pieces)
+        self.cache = PieceIds(self._pieces, PIECE_TABLE)
 
     def merged(self, text: str) -> list[str]:
         """The merges applied one by one, lowest rank first (for single tokens)."""
@@ -124,21 +178,24 @@ class ByteBpe:
         two symbols at the seam merge before either is taken up on its own side.
         Of equal ranks the one further left goes first.
         """
-        known = self.pairs.get((left, right))
-        if known is None:
-            if len(self.pairs) >= PAIR_TABLE:
-                self.pairs.clear()
-            known = self.pairs[left, right] = self._apart(self.last[left], self.first[right])
-        return known
-
-    def _apart(self, last, first) -> bool:
-        i = j = 0
+        key = left << 32 | right
+        slot = key * PAIR_MIX % (1 << 64) >> 45
+        if self.pair[slot] == key:
+            return bool(self.verdict[slot])
+        return self._apart(left, right)
+
+    def _apart(self, left: int, right: int) -> bool:
+        i, j = self.last.start[left], self.first.start[right]
+        lasts, firsts = self.last, self.first
         never = len(self.rank)
         while True:
-            (x, taken_x), (y, taken_y) = last[i], first[j]
-            seam = self.rank.get((x, y), never)
-            if seam < never and seam < taken_x and seam <= taken_y:
-                return False
+            taken_x, taken_y = lasts.taken[i], firsts.taken[j]
+            key = lasts.symbol[i] * self.n_symbols + firsts.symbol[j]
+            at = bisect_left(self.seams, key)
+            if at < len(self.seams) and self.seams[at] == key:
+                seam = self.seam_rank[at]
+                if seam < taken_x and seam <= taken_y:
+                    return False
             if taken_x <= taken_y:
                 if taken_x == never:
                     return True
@@ -146,15 +203,51 @@ class ByteBpe:
             else:
                 j += 1
 
+    def _compatible(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """:meth:`compatible` for many pairs."""
+        key = left.astype(np.int64) << 32 | right
+        slot = (key.astype(np.uint64) * np.uint64(PAIR_MIX) >> np.uint64(45)).astype(np.int64)
+        out = self.verdict[slot]
+        miss = np.flatnonzero(self.pair[slot] != key)
+        if len(miss):
+            new, at = np.unique(key[miss], return_inverse=True)
+            found = self._all_apart(new >> 32, new & 0xFFFFFFFF)
+            out[miss] = found[at]
+            slot = (new.astype(np.uint64) * np.uint64(PAIR_MIX) >> np.uint64(45)).astype(np.int64)
+            slot, one = np.unique(slot, return_index=True)
+            self.pair[slot], self.verdict[slot] = new[one], found[one]
+        return out
+
+    def _all_apart(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """:meth:`_apart` for many pairs."""
+        never, seams = len(self.rank), np.frombuffer(self.seams, np.int64)
+        seam_rank = np.frombuffer(self.seam_rank, np.int32)
+        (last, x_of, x_taken), (first, y_of, y_taken) = self.last.arrays(), self.first.arrays()
+        out = np.zeros(len(left), bool)
+        at, i, j = np.arange(len(left)), last[left], first[right]
+        while len(at):
+            taken_x, taken_y = x_taken[i], y_taken[j]
+            seam = np.full(len(at), never, np.int64)
+            if len(seams):
+                key = x_of[i].astype(np.int64) * self.n_symbols + y_of[j]
+                place = np.minimum(np.searchsorted(seams, key), len(seams) - 1)
+                seam = np.where(seams[place] == key, seam_rank[place], never)
+            joined = (seam < taken_x) & (seam <= taken_y)
+            ahead = taken_x <= taken_y
+            apart = ~joined & ahead & (taken_x == never)
+            out[at[apart]] = True
+            go = np.flatnonzero(~joined & ~apart)
+            at, i, j = at[go], (i + ahead)[go], (j + ~ahead)[go]
+        return out
+
     def word(self, text: str) -> list[int]:
         """Ids of one word given as latin-1 characters, one per byte."""
         known = self.id_of.get(text)
         if known is not None and self.length[known]:
             return [known]
-        size, length, shorter, verdict = len(text), self.length, self.shorter, self.pairs.get
-        longest = [-1] * size
-        for end, (token, n) in self.automaton.iter(text):
-            longest[end - n + 1] = token    # ends come in order: the last is the longest
+        size, length, shorter = len(text), self.length, self.shorter
+        verdicts: dict[tuple[int, int], bool] = {}
+        longest = self._longest(text).tolist()
         out: list[int] = []
         dead: set[int] = set()
         at, token = 0, longest[0]
@@ -170,9 +263,10 @@ class ByteBpe:
             to = at + length[token]
             fits = to not in dead
             if fits and out:
-                fits = verdict((out[-1], token))
+                pair = (out[-1], token)
+                fits = verdicts.get(pair)
                 if fits is None:
-                    fits = self.compatible(out[-1], token)
+                    fits = verdicts[pair] = self.compatible(*pair)
             if fits:
                 out.append(token)
                 at = to
@@ -182,36 +276,103 @@ class ByteBpe:
             else:
                 token = shorter[token]
 
+    def _longest(self, text: str) -> np.ndarray:
+        """The longest token at every place of ``text`` and at its end, -1 for none."""
+        codes = np.frombuffer((text + BETWEEN_WORDS).encode("utf-16-le"), np.uint16)
+        out = np.full(len(codes), -1, np.int32)
+        out[:-1] = self.short[codes[:-1], codes[1:]]
+        found = np.fromiter(chain.from_iterable(self.automaton.iter(text)), np.int64).reshape(-1, 2)
+        # ends come in order: the last is the longest
+        out[found[:, 0] - np.frombuffer(self.length, np.int32)[found[:, 1]] + 1] = found[:, 1]
+        return out
+
+    def words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids of many words (:meth:`word`), and ids per word."""
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        part = np.cumsum(sizes) // CHUNK_BYTES
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(texts)]
+        done = [self._side_by_side(texts[a:b], sizes[a:b]) for a, b in zip(cuts, cuts[1:]) if b > a]
+        if not done:
+            return np.zeros(0, np.int32), np.zeros(0, np.int64)
+        return np.concatenate([d[0] for d in done]), np.concatenate([d[1] for d in done])
+
+    def _side_by_side(self, texts: list[str], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        length, shorter = np.frombuffer(self.length, np.int32), np.frombuffer(self.shorter, np.int32)
+        joined = BETWEEN_WORDS.join(texts)
+        ends = np.cumsum(sizes + 1) - 1
+        starts = ends - sizes
+        # by place in the joined words: the longest token, the token taken, the place of the one before it, whether it
+        # still holds, and whether no choice leads on
+        longest = self._longest(joined)
+        chosen, back = np.full(len(joined) + 1, -1, np.int32), np.full(len(joined) + 1, -1, np.int32)
+        holds, dead = np.zeros(len(joined) + 1, bool), np.zeros(len(joined) + 1, bool)
+        word = np.flatnonzero((sizes > 0) & (sizes < LONG_WORD))
+        alone = np.flatnonzero(sizes >= LONG_WORD).tolist()
+        at, end = starts[word], ends[word]
+        token, before = longest[at], np.full(len(word), -1, np.int64)
+        while len(word) > FEW_WORDS:
+            stuck = np.flatnonzero(token < 0)
+            if len(stuck):      # nothing leads on from here
+                last = before[stuck]
+                if last.min() < 0:
+                    raise ValueError("a byte is missing from the vocabulary")
+                dead[at[stuck]], holds[last] = True, False
+                at[stuck], before[stuck], token[stuck] = last, back[last], shorter[chosen[last]]
+            to = at + length[token]
+            fits = (token >= 0) & ~dead[to]
+            later = np.flatnonzero(fits & (before >= 0))
+            fits[later] = self._compatible(chosen[before[later]], token[later])
+            take = np.flatnonzero(fits)
+            here = at[take]
+            chosen[here], back[here], holds[here] = token[take], before[take], True
+            other = np.flatnonzero(~fits & (token >= 0))
+            token[other] = shorter[token[other]]
+            before[take], at[take] = here, to[take]
+            token[take] = longest[at[take]]
+            on = np.flatnonzero(at < end)
+            if len(on) < len(word):
+                word, at, end, token, before = word[on], at[on], end[on], token[on], before[on]
+        for k in [*alone, *word.tolist()]:
+            ids = np.array(self.word(texts[k]), np.int32)
+            place = starts[k] + np.cumsum(length[ids]) - length[ids]
+            holds[starts[k]:ends[k]] = False
+            holds[place], chosen[place] = True, ids
+        upto = np.concatenate([[0], np.cumsum(holds)])
+        return chosen[holds], upto[ends] - upto[starts]
+
     def _words(self, piece: str) -> list[str]:
+        if piece[0] == " " and piece.isascii() and piece[1:].isalpha():
+            return [piece]
         plain = PLAIN_WORD.fullmatch(piece)
         if plain:
-            word, end = plain.groups()
-            if not word.isascii():
-                word = word.encode().decode("latin-1")
-            return [word, end] if end else [word]
-        return ["".join(map(chr, map(self._byte, w))) for w, _ in self.pre.pre_tokenize_str(piece)]
+            return [w if w.isascii() else w.encode().decode("latin-1") for w in plain.groups() if w]
+        return ["".join(map(self._raw, w)) for w, _ in self.pre.pre_tokenize_str(piece)]
 
-    _byte = staticmethod(byte_chars().__getitem__)
+    _raw = staticmethod({c: chr(b) for c, b in byte_chars().items()}.__getitem__)
 
     def _pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        flat: list[int] = []
-        counts = np.zeros(len(pieces), np.int64)
+        index: dict[str, int] = {}      # the different words; a special token is one too, in its own name
+        at: list[int] = []
+        sizes = np.zeros(len(pieces), np.int64)
         for k, piece in enumerate(pieces):
-            before = len(flat)
+            before = len(at)
             if piece in self.special:
-                flat.append(self.special[piece])
+                at.append(-1 - self.special[piece])
             elif piece:
                 for w in self._words(piece):
-                    known = self.words.get(w)
-                    if known is None:
-                        known = self.word(w)
-                        if len(w) <= CACHE_CHARS:
-                            if len(self.words) >= WORD_TABLE:
-                                self.words.clear()
-                            self.words[w] = known
-                    flat += known
-            counts[k] = len(flat) - before
-        return np.array(flat, np.int32), counts
+                    at.append(index.setdefault(w, len(index)))
+            sizes[k] = len(at) - before
+        flat, counts = self.words(list(index))
+        # special tokens come after the words
+        named = np.array(at, np.int64)
+        special = np.flatnonzero(named < 0)
+        start = np.concatenate([np.cumsum(counts) - counts, len(flat) + np.arange(len(special))])
+        flat = np.concatenate([flat, (-1 - named[special]).astype(np.int32)])
+        counts = np.concatenate([counts, np.ones(len(special), np.int64)])
+        named[special] = len(index) + np.arange(len(special))
+        lens = counts[named]
+        edge = np.concatenate([[0], np.cumsum(lens)])[np.concatenate([[0], np.cumsum(sizes)])]
+        return flat[ragged(start[named], lens)], np.diff(edge)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of all texts, and ids per text."""

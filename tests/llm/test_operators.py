@@ -131,6 +131,22 @@ def test_byte_bpe_equals_the_library(odd, none, library):
     assert all(r.decoded == (r.text or "") for r in two)
 
 
+def test_words_side_by_side_equal_the_library(library):
+    bpe, rng = byte_bpe.load(BYTE_BPE), random.Random(7)
+    parts = ["ing", "tion", "th", "auré", "é", "er", "ou", "\U0001f600", "4", "x", "wh", "ß", "中"]
+    words = ["".join(rng.choice(parts) for _ in range(rng.randint(1, n))) for n in (12, 12, 12, 90) for _ in range(700)]
+    raw = [w.encode().decode("latin-1") for w in words]
+    flat, counts = bpe.words(["", *raw])
+    assert counts[0] == 0
+    got = [list(map(int, v)) for v in np.split(flat, np.cumsum(counts))][1:-1]
+    assert got == [bpe.word(w) for w in raw]
+    texts = [" ".join(words[k:k + 40]) + rng.choice([".\nOf", "\n", " \n x", ",\nÉa, b", "<|endoftext|>", "\n\nno"])
+             for k in range(0, len(words), 40)]
+    flat, counts = bpe.encode(texts)
+    assert [list(map(int, v)) for v in np.split(flat, np.cumsum(counts))][:-1] == [
+        library[0].encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_pair_verdicts_equal_merging():
     bpe = byte_bpe.load(BYTE_BPE)
     rng, text = random.Random(3), {i: t for t, i in bpe.id_of.items()}
