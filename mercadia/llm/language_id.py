@@ -40,6 +40,8 @@ BUCKETS = 2048
 UND = "und"
 #: Steepness of the logistic curve that turns margins into scores.
 STEEP = 4.0
+#: Texts whose n-grams are counted at once, in several arrays of 16 KiB a text.
+ROWS = 128
 
 
 def has_letter(text: str) -> bool:
@@ -48,6 +50,13 @@ def has_letter(text: str) -> bool:
 
 def features(texts: list[str]) -> np.ndarray:
     """Unit-length hashed n-gram vectors, a row per text."""
+    out = np.empty((len(texts), BUCKETS), np.float32)
+    for k in range(0, len(texts), ROWS):
+        out[k:k + ROWS] = _counted(texts[k:k + ROWS])
+    return out
+
+
+def _counted(texts: list[str]) -> np.ndarray:
     data = [t.lower().encode("utf-8", "replace") for t in texts]
     sizes = np.fromiter(map(len, data), np.int64, len(data))
     raw = np.frombuffer(b"".join(data), np.uint8)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -147,6 +148,31 @@ def test_words_side_by_side_equal_the_library(library):
         library[0].encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def held_mb(job) -> tuple[float, float]:
+    """Memory kept by and at most taken by ``job``."""
+    tracemalloc.start()
+    try:
+        kept = job()
+        now, peak = tracemalloc.get_traced_memory()
+        return now / 1e6, peak / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_memory_of_the_encoder_and_of_language_features():
+    rng = random.Random(5)
+    texts = [" ".join("".join(rng.choices("abcdefghijklmnop", k=9)) for _ in range(250)) for _ in range(80)]
+
+    def encoder():
+        bpe = byte_bpe.ByteBpe(BYTE_BPE)
+        for k in range(0, len(texts), 20):
+            bpe.encode(texts[k:k + 20])
+        return bpe
+
+    assert held_mb(encoder)[0] < 45
+    assert held_mb(lambda: language_id.features(["a short text"] * 1024))[1] < 30     # the result is 8
+
+
 def test_pair_verdicts_equal_merging():
     bpe = byte_bpe.load(BYTE_BPE)
     rng, text = random.Random(3), {i: t for t, i in bpe.id_of.items()}
